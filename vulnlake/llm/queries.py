@@ -31,6 +31,26 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), [parse_rule(x) for x in URL_RULES]).drop("tried")
 
 
+def _classified(scored: DataFrame, threshold: float) -> DataFrame:
+    from vulnlake.llm.common import is_held_out
+
+    return scored.select("doc_id", is_held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.toxicity import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return _classified(score_documents(docs, train(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.quality import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return _classified(score_documents(docs, train(docs, _table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vulnlake.llm.sharding import assign_shards
 
@@ -45,7 +65,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op9_sampled_splitters, op10_bpe_trie)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op5_compression_toxicity, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
 
 
 _OP1 = """
