@@ -44,6 +44,12 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(score_documents(docs, train(docs, _table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op7_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vulnlake.llm.quality import score_documents, train
 
@@ -65,7 +71,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op5_compression_toxicity, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op5_compression_toxicity, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
 
 
 _OP1 = """
