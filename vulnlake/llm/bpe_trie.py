@@ -4,7 +4,7 @@ For BPE the tokens of a prefix follow from its last token alone: the prefix befo
 by itself.  So the distinct words of a slice of texts go into a trie, and one depth-first walk gives every node its
 last token: of the vocabulary's entries that end there, the one that BPE leaves beside the last token of the node where
 the entry begins.  What words share at their start is worked out once.  Encodings are then read back token by token,
-and kept in a bounded cache (emptied when full: words are worked out again, never dropped).
+and kept in a bounded table (words that fall out of it are worked out again, never dropped).
 
 Special tokens that stand in a text become their ids, as the public library has it.
 
@@ -37,6 +37,30 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Recent(dict):
+    """A bounded table in two generations: what the last `size` admissions used stays, the rest goes."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def admit(self, keys: set) -> list:
+        """Keys that are not held; those that are held, and the ones returned (once the caller sets them), stay for now."""
+        missing = [k for k in keys if k not in self]
+        if len(self) + len(missing) > self.size:
+            self.old = dict(self)
+            self.clear()
+            missing = list(keys)
+        old, rest = self.old, []
+        for k in missing:
+            found = old.get(k)
+            if found is None:
+                rest.append(k)
+            else:
+                self[k] = found
+        return rest
+
+
 class TrieBpe:
     """Encoder and decoder for one vocabulary file."""
 
@@ -61,9 +85,7 @@ class TrieBpe:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.splitter = regex.compile(SPLIT)
         self.special_splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache_words = cache_words
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.cache, self.words = Recent(cache_words), Recent(cache_words * 2 // 3)
         self.beside: dict[tuple[int, int], bool] = {}
 
     def stays(self, left: int, right: int) -> bool:
@@ -162,18 +184,11 @@ class TrieBpe:
     def encode_texts(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
         """For each text its chunks as (number of ids, ids joined by commas, decoded bytes)."""
         chunked = [self.chunks(t) for t in texts]
-        cache = self.cache
-        missing = {c for c in set().union(*chunked) if c not in cache}
-        if len(cache) + len(missing) > self.cache_words:
-            cache.clear()
-            missing = set().union(*chunked)
+        cache, known = self.cache, self.words
+        missing = cache.admit(set().union(*chunked))
         split = self.splitter.findall
         pieces = {c: split(c) if c.__class__ is str else [] for c in missing}
-        known = self.words
-        todo = sorted({w for p in pieces.values() for w in p if w not in known})
-        if len(known) + len(todo) > self.cache_words // 2:
-            known.clear()
-            todo = sorted(set().union(*pieces.values()))
+        todo = sorted(known.admit({w for p in pieces.values() for w in p}))
         for start in range(0, len(todo), 20_000):  # a bounded trie; neighbours in order share the most
             for word, ids in self.encode_words(todo[start : start + 20_000]).items():
                 known[word] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
