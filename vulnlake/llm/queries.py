@@ -31,6 +31,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), [parse_rule(x) for x in URL_RULES]).drop("tried")
 
 
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.decontaminate import find_leaks, fit_space
+
+    docs = _table(spark, sf_dir, "documents")
+    return find_leaks(docs, fit_space(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def _classified(scored: DataFrame, threshold: float) -> DataFrame:
     from vulnlake.llm.common import is_held_out
 
@@ -71,7 +78,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op5_compression_toxicity, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op4_latent_decontamination, op5_compression_toxicity, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
 
 
 _OP1 = """
