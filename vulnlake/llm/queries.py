@@ -51,6 +51,12 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(score_documents(docs, train(docs, _table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, 20)
+
+
 def op7_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vulnlake.llm.ngram_join import near_duplicates
 
@@ -78,7 +84,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op4_latent_decontamination, op5_compression_toxicity, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
 
 
 _OP1 = """
