@@ -31,6 +31,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), [parse_rule(x) for x in URL_RULES]).drop("tried")
 
 
+def op3_attention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vulnlake.llm.lm_score import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vulnlake.llm.decontaminate import find_leaks, fit_space
 
@@ -84,7 +92,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
 
 
 _OP1 = """
