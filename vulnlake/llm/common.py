@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, everything else as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased (A-Z) words of a text; none for null."""
-    return WORD.findall(lower_ascii(text)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of a text in UTF-8: runs of anything but ASCII white space; none for null."""
+    return text.encode().lower().split() if text else []
 
 
 def lower_ascii_col(c: Column) -> Column:
