@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vulnlake.plans import evaluation, links, portfolios, texts
+from vulnlake.plans import evaluation, links, portfolios, retrieval, texts
 
-_MODULES = (evaluation, links, texts, portfolios)
+_MODULES = (evaluation, links, texts, portfolios, retrieval)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
