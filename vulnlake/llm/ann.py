@@ -100,9 +100,10 @@ def fit(rows: DataFrame, n: int, k: int, tables: int = 2, per_bucket: int = 256,
     x, ids = np.array([r["v"] for r in found]), np.array([r["id"] for r in found])
     rng = np.random.default_rng(seed)
     dims = x.shape[1] + 1 if len(x) else 2
-    m = max(1, int(round(np.log2(max(n / per_bucket, 2)) / 1.6)))  # a projection tells about 1.6 bits
+    # a projection tells about 1.6 bits; so few vectors that they are one bucket need none, and all of them are compared
+    m = max(1, int(round(np.log2(n / per_bucket) / 1.6))) if n > per_bucket else 0
     index = Index(rng.standard_normal((tables, m, dims)), rng.random((tables, m)), width, float(largest), 1, x, ids)
-    if len(x) > k + 1:
+    if m and len(x) > k + 1:
         asked = rng.permutation(len(x))[: min(300, len(x))]
         scores = x[asked] @ x.T
         scores[np.arange(len(asked)), asked] = -np.inf

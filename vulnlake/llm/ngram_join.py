@@ -371,8 +371,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all their columns, one of each component: the first row that has the component's smallest id.
 
-    Rows without a shingle are all kept; so is a component of which no row has an id.
+    Rows without a shingle are all kept; so is a component of which no row has an id.  The rows are read twice and have to
+    come in the same order, as they do from files; what is no plain scan of files is written to such first.
     """
+    if docs._jdf.queryExecution().optimizedPlan().nodeName() != "LogicalRelation":
+        docs = materialise(docs, "jaccard-rows")
     ranked = near_duplicates(docs, id_col, text_col)
     keep = ranked.where((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
     group = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("rid")).otherwise(F.xxhash64("component_id"))
