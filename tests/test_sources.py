@@ -2,7 +2,7 @@
 
 import json
 
-from vulnlake.sources import readers, sinks
+from vulnlake.sources import external, readers, sinks
 from vulnlake.streaming import resume
 
 
@@ -53,3 +53,20 @@ def test_increments_resume(spark, tmp_path):
     run()
     run()
     assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_external_interfaces(spark):
+    waits = []
+
+    def flaky(key, seen={}):  # noqa: B006
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] < 3:
+            raise OSError
+        return f"page of {key}"
+
+    tried = external.with_retries(flaky, 4, 1.0, sleep=waits.append)
+    assert tried("a") == "page of a" and waits == [1.0, 2.0]
+    assert external.with_retries(lambda k: 1 / 0, 2, sleep=waits.append)("a") is None
+    df = spark.createDataFrame([("x",), (None,)], "k string")
+    assert {r["content"] for r in external.fetch(df, "k", lambda k: None if k is None else k * 2).collect()} == {"xx", None}
+    assert {r["answer"] for r in external.ask(df, "k", lambda batch: [f"a {p}" for p in batch]).collect()} == {"a x", "a "}

@@ -18,3 +18,12 @@ def session(app: str = "vulnlake", master: str | None = None, **conf: str) -> Sp
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or (as in tests) one of our own."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vulnlake-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
