@@ -122,5 +122,16 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 """
 
 
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+ x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+ e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ m AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r AS (SELECT DISTINCT a AS v, a AS c FROM m UNION SELECT m.b, r.c FROM r JOIN m ON m.a = r.v)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(k.c, s.doc_id) AS component_id FROM s LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) k ON k.v = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": _OP1, "op2_url_filter": _OP2}
+    return {"op7_jaccard_trie": _OP7, "op1_preference_format": _OP1, "op2_url_filter": _OP2}
