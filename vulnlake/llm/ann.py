@@ -10,8 +10,9 @@ The number of projections grows with the logarithm of the number of vectors, so
 of probes is fitted: on a bounded sample, the true neighbours' buckets have to come early enough in the queries' order
 that the share `recall` of them is found in some table.  All vectors are indexed, and all queries use that number.
 
-Work in a bucket is one matrix product for a block of at most BLOCK vectors; larger buckets have several blocks, and the
-queries go to each.  A block answers with each query's best k at most, and only those that reach a floor: the 3k-th best
+Buckets stand on shelves by their hash, about BLOCK vectors to a shelf; a query goes once to each shelf that holds a bucket it
+visits, and only vectors of those buckets are its candidates.  A shelf is one matrix product for a block of vectors; larger
+shelves have several blocks, and the queries go to each.  A block answers with each query's best k at most, and only those that reach a floor: the 3k-th best
 score among the sampled vectors (where k in all the vectors are certain to be better, were all found).  Of equal vectors,
 the k + 1 smallest ids can be in a result, and only they are indexed; how many equal vectors there are does not matter.
 
@@ -59,28 +60,51 @@ class Index:
             lifted = np.column_stack([x / self.largest, np.sqrt(np.maximum(0, 1 - share * share))])
         return np.einsum("nd,tmd->ntm", lifted, self.lines) / self.width + self.offsets
 
-    def probe(self, place: np.ndarray, most: int) -> list[tuple]:
-        """Buckets of one table for one query's projections, in the order of their estimated success."""
-        cell = np.floor(place).astype(int)
-        inside = place - cell
-        away = lambda i, d: float(inside[i]) - d - 1 if d < 0 else d - float(inside[i])
-        moves = sorted((away(i, d) ** 2, i, d) for i in range(len(cell)) for d in range(-REACH, REACH + 1) if d)
-        out = [tuple(cell.tolist())]
-        heap = [(moves[0][0], (0,))] if moves else []
+    def costs(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of one table for one query, and what it costs to move REACH cells down to REACH up in each projection."""
+        cell = np.floor(place).astype(np.int64)
+        inside = (place - cell)[:, None]
+        move = np.arange(-REACH, REACH + 1)[None, :]
+        return cell, np.where(move < 0, inside - move - 1, np.where(move > 0, move - inside, 0.0)) ** 2
+
+    def probe(self, place: np.ndarray, most: int) -> np.ndarray:
+        """Codes of one table's buckets for one query's projections, in the order of their estimated success."""
+        cell, cost = self.costs(place)
+        m, span = cost.shape
+        if m == 0:
+            return code_of(np.zeros((1, 0), np.int64))
+        if span**m <= 20_000:  # all perturbations at once
+            total = cost[0]
+            for row in cost[1:]:
+                total = (total[:, None] + row[None, :]).ravel()
+            order = np.argsort(total, kind="stable")[:most]
+            moves = np.stack(np.unravel_index(order, (span,) * m), axis=1) - REACH
+            return code_of(cell + moves)
+        moves = sorted((float(cost[i, d + REACH]), i, d) for i in range(m) for d in range(-REACH, REACH + 1) if d)
+        out, heap = [cell], [(moves[0][0], (0,))]
         while heap and len(out) < most:
-            cost, chosen = heapq.heappop(heap)
+            sum_, chosen = heapq.heappop(heap)
             last = chosen[-1]
-            if last + 1 < len(moves):
+            if last + 1 < len(moves):  # the next larger perturbations: one more move, or the last one exchanged
                 step = moves[last + 1][0]
-                heapq.heappush(heap, (cost - moves[last][0] + step, (*chosen[:-1], last + 1)))
-                heapq.heappush(heap, (cost + step, (*chosen, last + 1)))
+                heapq.heappush(heap, (sum_ - moves[last][0] + step, (*chosen[:-1], last + 1)))
+                heapq.heappush(heap, (sum_ + step, (*chosen, last + 1)))
             axes = [moves[i][1] for i in chosen]
             if len(set(axes)) == len(axes):
                 moved = cell.copy()
                 for i in chosen:
                     moved[moves[i][1]] += moves[i][2]
-                out.append(tuple(moved.tolist()))
-        return out
+                out.append(moved)
+        return code_of(np.array(out))
+
+
+def code_of(cells: np.ndarray) -> np.ndarray:
+    """One number for each row of cells; should two buckets share one, they are visited together."""
+    code = np.full(len(cells), 17, np.uint64)
+    for column in cells.T.astype(np.int64).view(np.uint64):
+        code = (code ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    return code.view(np.int64)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -108,15 +132,16 @@ def fit(rows: DataFrame, n: int, k: int, tables: int = 2, per_bucket: int = 256,
         scores = x[asked] @ x.T
         scores[np.arange(len(asked)), asked] = -np.inf
         near = np.argsort(-scores, axis=1)[:, :k]
-        cells = np.floor(index.places(x, False)).astype(int)
+        own = index.places(x, False)
+        codes = np.stack([code_of(np.floor(own[:, t]).astype(np.int64)) for t in range(tables)], axis=1)
         at = index.places(x[asked], True)
-        most = min(5**m, 4096)
+        most = min((2 * REACH + 1) ** m, 8192)
         late = []
         for i in range(len(asked)):
             first = np.full(k, most + 1)
             for t in range(tables):
-                order = {code: j + 1 for j, code in enumerate(index.probe(at[i, t], most))}
-                first = np.minimum(first, [order.get(tuple(c), most + 1) for c in cells[near[i], t].tolist()])
+                order = {code: j + 1 for j, code in enumerate(index.probe(at[i, t], most).tolist())}
+                first = np.minimum(first, [order.get(c, most + 1) for c in codes[near[i], t].tolist()])
             late.append(first)
         index.probes = int(np.quantile(np.concatenate(late), recall))
     return index
@@ -136,56 +161,68 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     def matrix(column) -> np.ndarray:
         return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).reshape(len(column), -1)
 
+    shelves = max(1, -(-n // BLOCK))
+
+    def shelf_of(code: np.ndarray) -> np.ndarray:
+        return (code.view(np.uint64) >> np.uint64(7)) % np.uint64(shelves)
+
     def placed(batches):
         own = sent.value
         for batch in batches:
             if batch.num_rows:
-                cells = np.floor(own.places(matrix(batch.column(1)), False)).astype(int)
-                for t in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{t}:" + ",".join(map(str, c)) for c in cells[:, t].tolist()]), batch.column(0), batch.column(1)], ["bucket", "id", "v"])
+                at = own.places(matrix(batch.column(1)), False)
+                for t in range(at.shape[1]):
+                    code = code_of(np.floor(at[:, t]).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t, np.int32)), pa.array(shelf_of(code).astype(np.int64)), pa.array(code), batch.column(0), batch.column(1)], ["t", "shelf", "code", "id", "v"])
 
     def probing(batches):
         own = sent.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
                 q, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
                 scores = q @ own.sample.T
                 scores[own.sample_ids[None, :] == ids[:, None]] = -np.inf
                 floor = np.full(len(q), -np.inf) if scores.shape[1] <= 3 * k else -np.partition(-scores, 3 * k - 1, axis=1)[:, 3 * k - 1]
-                places, bucket, at = own.places(q, True), [], []
+                places, table, shelf, codes, at = own.places(q, True), [], [], [], []
                 for i in range(len(q)):
                     for t in range(places.shape[1]):
-                        codes = own.probe(places[i, t], own.probes)
-                        bucket += [f"{t}:" + ",".join(map(str, c)) for c in codes]
-                        at += [i] * len(codes)
+                        code = own.probe(places[i, t], own.probes)
+                        where = shelf_of(code)
+                        turn = np.argsort(where, kind="stable")
+                        cuts = np.flatnonzero(np.diff(where[turn])) + 1
+                        for part in np.split(turn, cuts):  # all of a query's buckets on one shelf go in one row
+                            table.append(t), shelf.append(int(where[part[0]])), codes.append(code[part].tobytes()), at.append(i)
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(take), batch.column(1).take(take), pa.array(floor).take(take)], ["bucket", "query", "q", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(shelf, pa.int64()), pa.array(codes, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(floor).take(take)], ["t", "shelf", "codes", "query", "q", "floor"])
 
-    members = kept.mapInArrow(placed, "bucket string, id long, v array<double>")
-    asked = rows.where(queries).mapInArrow(probing, "bucket string, query long, q array<double>, floor double")
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = members.join(blocks, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    right = asked.join(blocks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query", "q", "floor")
+    members = kept.mapInArrow(placed, "t int, shelf long, code long, id long, v array<double>")
+    asked = rows.where(queries).mapInArrow(probing, "t int, shelf long, codes binary, query long, q array<double>, floor double")
+    blocks = members.groupBy("t", "shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = members.join(blocks, ["t", "shelf"]).select("t", "shelf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "code", "id", "v")
+    right = asked.join(blocks, ["t", "shelf"]).select("t", "shelf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "codes", "query", "q", "floor")
 
     def best(key, own, asking):
         out_q, out_id, out_s = [], [], []
         if own.num_rows and asking.num_rows:
-            x, ids = matrix(own.column("v")), own.column("id").to_numpy()
+            x, ids, code = matrix(own.column("v")), own.column("id").to_numpy(), own.column("code").to_numpy()
             turn = np.argsort(ids, kind="stable")
             x, ids = x[turn], ids[turn]
-            qs, names, floors = asking.column("q").combine_chunks(), asking.column("query").to_numpy(), asking.column("floor").to_numpy()
-            for start in range(0, len(names), 512):
-                name, floor = names[start : start + 512], floors[start : start + 512]
-                scores = matrix(qs.slice(start, 512)) @ x.T
+            distinct, bucket = np.unique(code[turn], return_inverse=True)
+            qs, names, floors, codes = asking.column("q").combine_chunks(), asking.column("query").to_numpy(), asking.column("floor").to_numpy(), asking.column("codes").to_pylist()
+            for start in range(0, len(names), 256):
+                name, floor = names[start : start + 256], floors[start : start + 256]
+                scores = matrix(qs.slice(start, 256)) @ x.T
                 for i in range(len(name)):
-                    at = np.flatnonzero((scores[i] >= floor[i]) & (ids != name[i]))
+                    visited = np.isin(distinct, np.frombuffer(codes[start + i], np.int64))
+                    at = np.flatnonzero(visited[bucket] & (scores[i] >= floor[i]) & (ids != name[i]))
                     at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
                     out_q.append(np.full(len(at), name[i])), out_id.append(ids[at]), out_s.append(scores[i, at])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
         return pa.table({"query_id": join(out_q, np.int64), "id": join(out_id, np.int64), "score": join(out_s, np.float64)})
 
-    found = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(best, "query_id long, id long, score double")
+    place = ["t", "shelf", "block"]
+    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(best, "query_id long, id long, score double")
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
