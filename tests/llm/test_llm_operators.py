@@ -197,7 +197,7 @@ def test_neighbours_equal_brute_force(spark):
 
 @pytest.mark.parametrize("m", [1, 3, 7])
 def test_probes_come_in_the_order_of_their_cost(m):
-    index = ann.Index(np.zeros((1, m, 3)), np.zeros((1, m)), 1.0, 1.0, 1, np.empty((0, 2)), np.empty(0))
+    index = ann.Index(np.zeros((1, m, 3)), np.zeros((1, m)), 1.0, 1.0, 1, np.empty((0, 2)), np.empty(0), np.empty((0, 1), np.int64))
     place = np.random.default_rng(m).random(m)
     moves = np.array(np.meshgrid(*[range(-2, 3)] * m)).reshape(m, -1).T
     cost = np.where(moves < 0, place - moves - 1, np.where(moves > 0, moves - place, 0)) ** 2

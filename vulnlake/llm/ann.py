@@ -12,9 +12,10 @@ that the share `recall` of them is found in some table.  All vectors are indexed
 
 Buckets stand on shelves by their hash, about BLOCK vectors to a shelf; a query goes once to each shelf that holds a bucket it
 visits, and only vectors of those buckets are its candidates.  A shelf is one matrix product for a block of vectors; larger
-shelves have several blocks, and the queries go to each.  A block answers with each query's best k at most, and only those that reach a floor: the 3k-th best
-score among the sampled vectors (where k in all the vectors are certain to be better, were all found).  Of equal vectors,
-the k + 1 smallest ids can be in a result, and only they are indexed; how many equal vectors there are does not matter.
+shelves have several blocks, and the queries go to each.  A block answers with each query's best k at most, and only those
+that reach a floor: the k-th best score among the vectors of a bounded sample that stand in buckets the query visits, so at
+least k that it finds reach it.  Of equal vectors, the k + 1 smallest ids can be in a result, and only they are indexed;
+how many equal vectors there are does not matter.
 
 Defined cases: vectors that are null, zero, of another length than the most common one, or that hold null or non-finite
 components take no part, nor do rows without an id; rows that are repeated count once; ties go to the smaller id; other
@@ -49,6 +50,7 @@ class Index:
     probes: int
     sample: np.ndarray
     sample_ids: np.ndarray
+    sample_codes: np.ndarray  # their buckets, one column a table
 
     def places(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Projections in units of cells: (rows, tables, m)."""
@@ -116,7 +118,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0)).dropDuplicates(["id", "v"])
 
 
-def fit(rows: DataFrame, n: int, k: int, tables: int = 2, per_bucket: int = 256, width: float = 1.25, sample_rows: int = 4_000, recall: float = 0.97, seed: int = 11) -> Index:
+def fit(rows: DataFrame, n: int, k: int, tables: int = 2, per_bucket: int = 256, width: float = 1.25, sample_rows: int = 16_000, fit_rows: int = 4_000, recall: float = 0.97, seed: int = 11) -> Index:
     """Projections for n vectors and the number of probes that finds enough of the sample's neighbours."""
     rate = min(1.0, sample_rows / max(n, 1))
     found = rows.where(F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).orderBy("id").collect()
@@ -126,14 +128,17 @@ def fit(rows: DataFrame, n: int, k: int, tables: int = 2, per_bucket: int = 256,
     dims = x.shape[1] + 1 if len(x) else 2
     # a projection tells about 1.6 bits; so few vectors that they are one bucket need none, and all of them are compared
     m = max(1, int(round(np.log2(n / per_bucket) / 1.6))) if n > per_bucket else 0
-    index = Index(rng.standard_normal((tables, m, dims)), rng.random((tables, m)), width, float(largest), 1, x, ids)
+    index = Index(rng.standard_normal((tables, m, dims)), rng.random((tables, m)), width, float(largest), 1, x, ids, np.zeros((len(x), tables), np.int64))
+    if len(x):
+        own = index.places(x, False)
+        index.sample_codes = np.stack([code_of(np.floor(own[:, t]).astype(np.int64)) for t in range(tables)], axis=1)
     if m and len(x) > k + 1:
+        some = rng.permutation(len(x))[:fit_rows]
+        x, codes = x[some], index.sample_codes[some]
         asked = rng.permutation(len(x))[: min(300, len(x))]
         scores = x[asked] @ x.T
         scores[np.arange(len(asked)), asked] = -np.inf
         near = np.argsort(-scores, axis=1)[:, :k]
-        own = index.places(x, False)
-        codes = np.stack([code_of(np.floor(own[:, t]).astype(np.int64)) for t in range(tables)], axis=1)
         at = index.places(x[asked], True)
         most = min((2 * REACH + 1) ** m, 8192)
         late = []
@@ -183,16 +188,22 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 q, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
                 scores = q @ own.sample.T
                 scores[own.sample_ids[None, :] == ids[:, None]] = -np.inf
-                floor = np.full(len(q), -np.inf) if scores.shape[1] <= 3 * k else -np.partition(-scores, 3 * k - 1, axis=1)[:, 3 * k - 1]
+                floor = np.full(len(q), -np.inf)
                 places, table, shelf, codes, at = own.places(q, True), [], [], [], []
                 for i in range(len(q)):
+                    met = np.zeros(len(own.sample), bool)
                     for t in range(places.shape[1]):
                         code = own.probe(places[i, t], own.probes)
+                        met |= np.isin(own.sample_codes[:, t], code)
                         where = shelf_of(code)
                         turn = np.argsort(where, kind="stable")
                         cuts = np.flatnonzero(np.diff(where[turn])) + 1
                         for part in np.split(turn, cuts):  # all of a query's buckets on one shelf go in one row
                             table.append(t), shelf.append(int(where[part[0]])), codes.append(code[part].tobytes()), at.append(i)
+                    met = scores[i, met]
+                    if len(met) >= k:
+                        floor[i] = np.partition(met, len(met) - k)[len(met) - k]
+                        floor[i] -= 1e-9 * max(1.0, abs(floor[i]))  # products of other shapes are rounded otherwise
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(shelf, pa.int64()), pa.array(codes, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(floor).take(take)], ["t", "shelf", "codes", "query", "q", "floor"])
 
