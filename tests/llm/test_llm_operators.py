@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact libraries and defined edge cases."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import zlib
@@ -195,6 +196,38 @@ def test_neighbours_equal_brute_force(spark):
     assert sorted(q["vec_id"] for q in few) == [1, 2, 3, 4]
 
 
+def test_neighbours_reach_the_recall_with_many_projections(spark):
+    """Eight projections are asked for, where 8,192 probes miss more than they may; and an outlier has no full buckets near it."""
+    x = np.random.default_rng(4).normal(0, 1, (3000, 24)) + np.array([3.0] + [0.0] * 23)
+    x[0] = -50.0 * np.eye(24)[0]
+    df = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "vec_id long, id long, embedding array<double>")
+    rows = ann.usable(df, "vec_id", "embedding")
+    index = ann.fit(rows, 3000, 20, per_bucket=0.4)
+    assert index.probes <= min(5 ** index.lines.shape[1], ann.PROBES)
+    got = collections.defaultdict(set)
+    for r in ann.search(df, F.pmod("id", F.lit(50)) == 0, 20, per_bucket=0.4).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(np.argsort(-s)[:20].tolist())
+        assert len(got[q]) == 20
+        hit += len(want & got[q])
+    assert hit / (60 * 20) >= 0.96
+
+
+def test_short_neighbour_lists_are_filled_from_all_buckets(spark, monkeypatch):
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **o: dataclasses.replace(fit(*a, **o), probes=1))
+    x = np.random.default_rng(6).normal(0, 1, (1500, 12))
+    df = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "vec_id long, id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.pmod("id", F.lit(100)) == 0, 20, per_bucket=2).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == set(range(0, 1500, 100)) and all(len(set(v)) == len(v) == 20 for v in got.values())
+
+
 @pytest.mark.parametrize("m", [1, 3, 7])
 def test_probes_come_in_the_order_of_their_cost(m):
     index = ann.Index(np.zeros((1, m, 3)), np.zeros((1, m)), 1.0, 1.0, 1, np.empty((0, 2)), np.empty(0), np.empty((0, 1), np.int64))

@@ -8,7 +8,9 @@ tables are ranked by the exact inner product, in double precision, of the origin
 
 The number of projections grows with the logarithm of the number of vectors, so that buckets keep their size.  The number
 of probes is fitted: on a bounded sample, the true neighbours' buckets have to come early enough in the queries' order
-that the share `recall` of them is found in some table.  All vectors are indexed, and all queries use that number.
+that the share `recall` of them is found in some table.  Where more than PROBES of them would be needed, fewer projections
+are used instead, down to none, which compares everything; so the share is reached at every number of vectors.  All vectors
+are indexed, and all queries use that number.  A query that then holds fewer than k is asked again in all buckets of a table.
 
 Buckets stand on shelves by their hash, about BLOCK vectors to a shelf; a query goes once to each shelf that holds a bucket it
 visits, and only vectors of those buckets are its candidates.  A shelf is one matrix product for a block of vectors; larger
@@ -36,6 +38,7 @@ from pyspark.sql.window import Window
 from vulnlake.llm.common import materialise
 
 BLOCK = 4096
+PROBES = 8192  # buckets of a table that a query visits at most; with more projections than that allows, recall would be lost
 REACH = 2  # cells to either side that a probe may move in one projection
 
 
@@ -75,7 +78,7 @@ class Index:
         m, span = cost.shape
         if m == 0:
             return code_of(np.zeros((1, 0), np.int64))
-        if span**m <= 20_000:  # all perturbations at once
+        if span**m <= 100_000:  # all perturbations at once
             total = cost[0]
             for row in cost[1:]:
                 total = (total[:, None] + row[None, :]).ravel()
@@ -124,32 +127,42 @@ def fit(rows: DataFrame, n: int, k: int, tables: int = 2, per_bucket: int = 256,
     found = rows.where(F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).orderBy("id").collect()
     largest = rows.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     x, ids = np.array([r["v"] for r in found]), np.array([r["id"] for r in found])
-    rng = np.random.default_rng(seed)
-    dims = x.shape[1] + 1 if len(x) else 2
     # a projection tells about 1.6 bits; so few vectors that they are one bucket need none, and all of them are compared
-    m = max(1, int(round(np.log2(n / per_bucket) / 1.6))) if n > per_bucket else 0
-    index = Index(rng.standard_normal((tables, m, dims)), rng.random((tables, m)), width, float(largest), 1, x, ids, np.zeros((len(x), tables), np.int64))
-    if len(x):
-        own = index.places(x, False)
-        index.sample_codes = np.stack([code_of(np.floor(own[:, t]).astype(np.int64)) for t in range(tables)], axis=1)
-    if m and len(x) > k + 1:
-        some = rng.permutation(len(x))[:fit_rows]
-        x, codes = x[some], index.sample_codes[some]
-        asked = rng.permutation(len(x))[: min(300, len(x))]
-        scores = x[asked] @ x.T
-        scores[np.arange(len(asked)), asked] = -np.inf
-        near = np.argsort(-scores, axis=1)[:, :k]
-        at = index.places(x[asked], True)
-        most = min((2 * REACH + 1) ** m, 8192)
-        late = []
-        for i in range(len(asked)):
-            first = np.full(k, most + 1)
-            for t in range(tables):
-                order = {code: j + 1 for j, code in enumerate(index.probe(at[i, t], most).tolist())}
-                first = np.minimum(first, [order.get(c, most + 1) for c in codes[near[i], t].tolist()])
-            late.append(first)
-        index.probes = int(np.quantile(np.concatenate(late), recall))
-    return index
+    wanted = max(1, int(round(np.log2(n / per_bucket) / 1.6))) if n > per_bucket and len(x) > k + 1 else 0
+    for m in range(wanted + 1):
+        rng = np.random.default_rng(seed)
+        dims = x.shape[1] + 1 if len(x) else 2
+        index = Index(rng.standard_normal((tables, m, dims)), rng.random((tables, m)), width, float(largest), 1, x, ids, np.zeros((len(x), tables), np.int64))
+        if len(x):
+            own = index.places(x, False)
+            index.sample_codes = np.stack([code_of(np.floor(own[:, t]).astype(np.int64)) for t in range(tables)], axis=1)
+        most = min((2 * REACH + 1) ** m, PROBES)
+        if m:
+            index.probes = _probes(index, rng, k, most, fit_rows, recall)
+        if index.probes <= most:
+            best = index
+        elif most == PROBES:  # more projections need still more probes
+            break
+    return best
+
+
+def _probes(index: Index, rng: np.random.Generator, k: int, most: int, fit_rows: int, recall: float) -> int:
+    """How many probes find the share `recall` of the sample's true neighbours; most + 1 if so many do not."""
+    some = rng.permutation(len(index.sample))[:fit_rows]
+    x, codes = index.sample[some], index.sample_codes[some]
+    asked = rng.permutation(len(x))[: min(300, len(x))]
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, :k]
+    at = index.places(x[asked], True)
+    late = []
+    for i in range(len(asked)):
+        first = np.full(k, most + 1)
+        for t in range(at.shape[1]):
+            order = {code: j + 1 for j, code in enumerate(index.probe(at[i, t], most).tolist())}
+            first = np.minimum(first, [order.get(c, most + 1) for c in codes[near[i], t].tolist()])
+        late.append(first)
+    return int(np.quantile(np.concatenate(late), recall, method="higher"))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
@@ -211,7 +224,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     asked = rows.where(queries).mapInArrow(probing, "t int, shelf long, codes binary, query long, q array<double>, floor double")
     blocks = members.groupBy("t", "shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     left = members.join(blocks, ["t", "shelf"]).select("t", "shelf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "code", "id", "v")
-    right = asked.join(blocks, ["t", "shelf"]).select("t", "shelf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "codes", "query", "q", "floor")
+    each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    right = asked.join(blocks, ["t", "shelf"]).select("t", "shelf", each_block, "codes", "query", "q", "floor")
 
     def best(key, own, asking):
         out_q, out_id, out_s = [], [], []
@@ -225,15 +239,28 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 name, floor = names[start : start + 256], floors[start : start + 256]
                 scores = matrix(qs.slice(start, 256)) @ x.T
                 for i in range(len(name)):
-                    visited = np.isin(distinct, np.frombuffer(codes[start + i], np.int64))
+                    sought = codes[start + i]  # null asks all buckets
+                    visited = np.isin(distinct, np.frombuffer(sought, np.int64)) if sought is not None else np.ones(len(distinct), bool)
                     at = np.flatnonzero(visited[bucket] & (scores[i] >= floor[i]) & (ids != name[i]))
                     at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
                     out_q.append(np.full(len(at), name[i])), out_id.append(ids[at]), out_s.append(scores[i, at])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
         return pa.table({"query_id": join(out_q, np.int64), "id": join(out_id, np.int64), "score": join(out_s, np.float64)})
 
-    place = ["t", "shelf", "block"]
-    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(best, "query_id long, id long, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def answers(members: DataFrame, asking: DataFrame) -> DataFrame:
+        place = ["t", "shelf", "block"]
+        found = members.groupBy(*place).cogroup(asking.groupBy(*place)).applyInArrow(best, "query_id long, id long, score double")
+        found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    found = answers(left, right)
+    if index.lines.shape[1] == 0:  # everything was compared
+        return found
+    found = materialise(found, "ann-found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = materialise(rows.where(queries).join(full, "id", "left_anti"), "ann-short")
+    if short.isEmpty():
+        return found
+    again = short.crossJoin(blocks.where("t = 0")).select(F.lit(0).alias("t"), F.col("shelf").alias("shelf"), each_block, F.lit(None).cast("binary").alias("codes"), F.col("id").alias("query"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*found.columns).unionByName(answers(left.where("t = 0"), again))
