@@ -345,6 +345,18 @@ def test_lm_base_score_and_model(spark, docs, empty):
     assert run(empty).count() == 0
 
 
+def test_lm_learns_from_all_of_a_long_text(spark, monkeypatch):
+    import public_tokenizers
+
+    seen, classes_of = [], lm_score.classes_of
+    monkeypatch.setattr(lm_score, "classes_of", lambda texts, coder: (seen.extend(coder.encoder.decode(t.tolist()) for t in texts), classes_of(texts, coder))[1])
+    texts = ["a short one", "ab " * 30_000 + "zebra", None, ""]
+    learnt = [i for i in range(20) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    df = spark.createDataFrame(list(zip(learnt, texts, strict=True)), "doc_id long, text string")
+    lm_score.score_documents(df, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN).count()
+    assert any("zebra" in t for t in seen) and "a short one" in seen and max(map(len, seen)) <= 20_000
+
+
 def test_attention_sees_no_later_id_and_no_other_text():
     r = np.random.default_rng(2)
     n = 60
