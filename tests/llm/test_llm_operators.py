@@ -357,6 +357,31 @@ def test_lm_learns_from_all_of_a_long_text(spark, monkeypatch):
     assert any("zebra" in t for t in seen) and "a short one" in seen and max(map(len, seen)) <= 20_000
 
 
+def test_all_pairs_of_ids_are_held(spark):
+    import public_tokenizers
+
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 1 << 40, 5000))
+    counts = r.integers(1, 1000, len(keys))
+    table = lm_score.PairTable(keys, counts, 10)  # a fifth of them have a place at most
+    assert (table.of(keys) == counts).all() and (table.of(keys + (1 << 41)) == 0).all()
+    assert dict(zip(*(x.tolist() for x in table.held()), strict=True)) == dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = (f.read(), public_tokenizers.PATTERN)
+    coder = lm_score.Subwords(*ranks)
+    # one id before 40,000 others, all in one part of the old split, which kept 16,384 of a part
+    ends = [i for i in range(coder.end) if coder.spaced[i] and (t := coder.encoder.decode_single_token_bytes(i)).isascii() and t[1:].isalpha()]
+    pairs = collections.Counter()
+    texts = ["".join(coder.encoder.decode([ends[0], i]) for i in ends[a : a + 500]) for a in range(0, len(ends), 500)]
+    for t in texts:
+        own = [coder.end, *coder.ids(t).tolist(), coder.end]
+        pairs.update(zip(own[:-1], own[1:], strict=True))
+    assert max(collections.Counter(a % 64 for a, _ in pairs).values()) > 16_384
+    held = lm_score._counts(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, np.zeros(coder.end + 1, np.int16), {})[4]
+    both = np.array(list(pairs), np.int64)
+    assert (held.of(both[:, 0] * (coder.end + 1) + both[:, 1]) == np.array(list(pairs.values()))).all()
+
+
 def test_attention_sees_no_later_id_and_no_other_text():
     r = np.random.default_rng(2)
     n = 60
