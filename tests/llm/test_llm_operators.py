@@ -326,6 +326,17 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark, docs, empty):
     assert decontaminate.find_leaks(docs, decontaminate.fit_space(docs, bench.limit(0))).count() == 0
 
 
+def test_leaks_of_many_and_of_short_items_are_found_word_for_word(spark):
+    r = random.Random(12)
+    words = prose(1500, 77).split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [text(r.randint(3, 7)) for _ in range(600)] + [text(r.randint(15, 59)) for _ in range(600)]
+    df = spark.createDataFrame([(i, f"{text(60)} {t} {text(60)}") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(df, decontaminate.fit_space(df, bench)).collect()}
+    assert {(i, i) for i in range(len(items))} <= found
+
+
 def test_lm_base_score_and_model(spark, docs, empty):
     import public_tokenizers
 

@@ -6,12 +6,14 @@ passages' matrix A with a random test matrix and back, the sums A'(A O) are adde
 basis spans the leading right singular vectors.  The space is fitted on a bounded sample of texts (`fit_rows`), as an
 index may be; all passages of all texts are then projected and compared with all items, in blocks of items.
 
-A passage whose cosine with an item reaches `cosine`, and which reaches far enough along the item's direction to hold
+A passage whose cosine with an item reaches `cosine` (less for items of fewer than 15 words, which fill less of a window), and which reaches far enough along the item's direction to hold
 about half of it (`reach`), is a candidate.  Around a candidate the item must be found again:
 its longest common subsequence with that stretch of the text covers `whole` of its words, or `part` of them and also its
 answer (the last quarter of its words, of which two thirds must be in the stretch).
 
-Items of fewer than `least` words say too little for that and must occur word for word; items without words are left out.
+Items that occur word for word are also looked up directly, by the hash of their first words (HEAD at most), whatever their
+cosine.  Items of fewer than `least` words say too little for anything else; items without words are left out.  The rank
+grows with the square root of the number of items.
 
 Defined cases: null and empty texts have no passages and are never contaminated; a text shorter than a window is one
 passage; ties and repeated rows are judged alike; an empty benchmark finds nothing; an empty table gives an empty result;
@@ -34,6 +36,9 @@ WINDOW, STRIDE = 32, 16
 _TABLE = bytes(32 if (b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128) else b + 32 if 65 <= b < 91 else b for b in range(256))
 #: Items compared with a batch of passages at a time.
 ITEM_BLOCK = 2048
+#: First words of an item by which it is looked up, and what their hash is made of.
+HEAD = 8
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_in(text: str | None) -> list[bytes]:
@@ -50,6 +55,8 @@ class Space:
     latent: np.ndarray = None  # items x rank, unit length
     masks: list[dict[int, int]] = field(default_factory=list)
     lengths: np.ndarray = None  # how far along an item's direction a passage has to reach
+    cosines: np.ndarray = None  # and how near it
+    heads: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = field(default_factory=dict)  # by their number of words: sorted hashes, items of a hash
     cosine: float = 0.5
     reach: float = 0.5
     whole: float = 0.8
@@ -77,9 +84,6 @@ class Space:
         lo, hi = max(0, window * STRIDE - m), min(len(own), window * STRIDE + WINDOW + m)
         near = own[lo:hi].tolist()
         mask = self.masks[at]
-        if m < self.least:
-            found = any(near[i : i + m] == words for i in range(len(near) - m + 1))
-            return 1.0 if found else 0.0
         known = [mask[w] for w in near if w in mask]
         if len(known) < self.part * m:
             return 0.0
@@ -97,6 +101,24 @@ class Space:
                 return share
         return 0.0
 
+    def verbatim(self, owns: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(text, item) of all items that occur word for word."""
+        out: set[tuple[int, int]] = set()
+        gap = np.array([len(self.vocabulary)], np.int32)  # stands in no item
+        flat = np.concatenate([x for own in owns for x in (own, gap)])
+        ends = np.cumsum([len(own) + 1 for own in owns])
+        for size, code in _codes(flat, max(self.heads, default=0)):
+            if size not in self.heads:
+                continue
+            hashes, items = self.heads[size]
+            at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, code), len(hashes) - 1)] == code)
+            for place, text, key in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), code[at].tolist(), strict=True):
+                for item in items[key]:
+                    words = self.items[item][1]
+                    if (text, item) not in out and flat[place : place + len(words)].tolist() == words:
+                        out.add((text, item))
+        return out
+
     def matches(self, owns: list[np.ndarray]) -> list[list[tuple[int, float]]]:
         """For each text the items found in it, with the share of words found."""
         out: list[list[tuple[int, float]]] = [[] for _ in owns]
@@ -108,10 +130,10 @@ class Space:
         window = np.concatenate([np.arange(len(p)) for p in parts])
         latent = np.concatenate(parts)
         length = np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
-        best: dict[tuple[int, int], float] = {}
+        best: dict[tuple[int, int], float] = dict.fromkeys(self.verbatim(owns), 1.0)
         for start in range(0, len(self.items), ITEM_BLOCK):
             near = latent @ self.latent[start : start + ITEM_BLOCK].T  # the passage along the item's direction
-            enough = (near >= self.cosine * length) & (near >= self.lengths[start : start + ITEM_BLOCK])
+            enough = (near >= self.cosines[start : start + ITEM_BLOCK] * length) & (near >= self.lengths[start : start + ITEM_BLOCK])
             for row, col in np.argwhere(enough).tolist():
                 key = (int(text[row]), start + col)
                 if best.get(key, 0.0) < 1.0:
@@ -123,6 +145,17 @@ class Space:
         return out
 
 
+def _codes(flat: np.ndarray, most: int):
+    """(n, hash of the n words from each place on) for n up to most."""
+    mixed = (flat.astype(np.uint64) + np.uint64(1)) * _MIX
+    mixed ^= mixed >> np.uint64(31)
+    code, power = np.zeros(len(flat) + 1, np.uint64), np.uint64(1)
+    for n in range(1, min(most, len(flat)) + 1):
+        code = code[:-1] + mixed[n - 1 :] * power
+        power = np.uint64(int(power) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
+        yield n, code
+
+
 def _read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> Space:
     """The stated query set; it is held by the driver and every worker."""
     vocabulary: dict[bytes, int] = {}
@@ -137,6 +170,11 @@ def _read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> Space:
         for i, w in enumerate(words):
             mask[w] = mask.get(w, 0) | 1 << i
         space.masks.append(mask)
+    by: dict[int, dict[int, list[int]]] = {}
+    for at, (_, words) in enumerate(items):
+        n, code = list(_codes(np.array(words[:HEAD], np.int32), HEAD))[-1]
+        by.setdefault(n, {}).setdefault(int(code[0]), []).append(at)
+    space.heads = {n: (np.array(sorted(x), np.uint64), x) for n, x in by.items()}
     return space
 
 
@@ -164,7 +202,7 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_rows: i
     for w, n in texts.mapInArrow(frequencies, "w long, n long").groupBy("w").agg(F.sum("n")).collect():
         df[w] = n
     idf = np.log((df[v] + 1) / (df[:v] + 1)) + 0.1
-    rank = min(rank, v, len(space.items))
+    rank = min(max(rank, int(4 * np.sqrt(len(space.items)))), v, len(space.items))
     test = np.random.default_rng(7).standard_normal((v + 1, rank)).astype(np.float32)
     scale = np.append(idf, 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast((scale, test))
@@ -202,8 +240,12 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_rows: i
     latent = np.array([space.basis[words].sum(axis=0) for _, words in space.items])
     length = np.linalg.norm(latent, axis=1)
     space.latent = (latent / np.maximum(length[:, None], 1e-9)).astype(np.float32)
+    size = np.array([len(words) for _, words in space.items])
+    # an item's share of a window's length grows with the root of its number of words
+    space.cosines = (space.cosine * np.minimum(1.0, np.sqrt(size / 15))).astype(np.float32)
     # of an item longer than a window, some window holds at least the words that a stride leaves
-    space.lengths = (space.reach * length * np.minimum(1.0, [0.75 * WINDOW / len(words) for _, words in space.items])).astype(np.float32)
+    space.lengths = (space.reach * length * np.minimum(1.0, 0.75 * WINDOW / size)).astype(np.float32)
+    space.lengths[size < space.least] = np.inf  # they are looked up only
     return space
 
 
