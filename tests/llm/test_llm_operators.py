@@ -337,6 +337,30 @@ def test_leaks_of_many_and_of_short_items_are_found_word_for_word(spark):
     assert {(i, i) for i in range(len(items))} <= found
 
 
+def test_latent_range_covers_all_passages(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v = 40
+    scale = np.append(r.random(v) + 0.1, 0.0).astype(np.float32)
+    test = r.standard_normal((v + 1, 6)).astype(np.float32)
+    owns = [r.integers(0, v + 1, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 200)] + [np.full(40, v, np.int32)]
+    want, got = np.zeros((v + 1, 6)), np.zeros((v + 1, 6))
+    for own in owns:
+        for i in range(0, max(1, len(own) - decontaminate.STRIDE), decontaminate.STRIDE):
+            a = np.bincount(own[i : i + decontaminate.WINDOW], minlength=v + 1) * scale
+            if a.any():
+                want += np.outer(a, a @ test) / (a @ a)
+    decontaminate._add_range(got, owns, scale, scale[:, None] * test)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+    # more texts than the old sample of 4,000; all of them are in the sum
+    seen, qr = [], np.linalg.qr
+    monkeypatch.setattr(np.linalg, "qr", lambda y: (seen.append(y), qr(y))[1])
+    words = [f"w{i}" for i in range(9000)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    decontaminate.fit_space(df, spark.createDataFrame([(0, " ".join(words)), (1, "other words")], "item_id long, text string"))
+    # each text is one word, which adds its row of the test matrix; what the items add is the same for all these words
+    assert len(np.unique(seen[0][:9000].round(12), axis=0)) == 9000
+
+
 def test_lm_base_score_and_model(spark, docs, empty):
     import public_tokenizers
 

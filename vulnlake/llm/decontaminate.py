@@ -3,8 +3,8 @@
 Passages are windows of 32 words, 16 apart, over whole texts.  Their TF-IDF vectors are over the benchmark's words
 (document frequencies are counted over all texts).  A randomised SVD gives the latent space: every task multiplies its
 passages' matrix A with a random test matrix and back, the sums A'(A O) are added up across tasks, and their orthonormal
-basis spans the leading right singular vectors.  The space is fitted on a bounded sample of texts (`fit_rows`), as an
-index may be; all passages of all texts are then projected and compared with all items, in blocks of items.
+basis spans the leading right singular vectors.  The space is fitted on all passages of all texts and on all items; all
+passages are then projected and compared with all items, in blocks of items.
 
 A passage whose cosine with an item reaches `cosine` (less for items of fewer than 15 words, which fill less of a window), and which reaches far enough along the item's direction to hold
 about half of it (`reach`), is a candidate.  Around a candidate the item must be found again:
@@ -178,7 +178,45 @@ def _read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> Space:
     return space
 
 
-def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_rows: int = 4_000, text_col: str = "text", item_col: str = "item_id") -> Space:
+def _add_range(total: np.ndarray, owns: list[np.ndarray], scale: np.ndarray, weighted: np.ndarray) -> None:
+    """Add A'(A O) of the texts' passages, each of unit length, to total; weighted is the test matrix O times scale."""
+    own = np.concatenate(owns) if owns else np.empty(0, np.int32)
+    if not len(own):
+        return
+    size = np.array([len(x) for x in owns])
+    halves = -(-size // STRIDE)
+    first = np.cumsum(halves) - halves
+    half = np.repeat(first, size) + (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)) // STRIDE
+    n = int(halves.sum())
+    last = np.zeros(n, bool)
+    last[(first + halves - 1)[halves > 0]] = True
+    begins = np.zeros(n, bool)
+    begins[first[halves > 0]] = True
+    window = ~last | begins  # a window begins at each half but the last, unless that is all of the text
+    known = scale[own] > 0
+    own, half = own[known], half[known]
+    if not len(own):
+        return
+    # squared lengths: a word counts as often as it stands in both halves of a window
+    v, two = len(scale), window[half - 1] & ~begins[half]
+    inside = window[half]
+    key, tf = np.unique(np.concatenate([half[inside], half[two] - 1]) * v + np.concatenate([own[inside], own[two]]), return_counts=True)
+    unit = np.bincount(key // v, (tf * scale[key % v]) ** 2, n)
+    cuts = np.flatnonzero(np.diff(half, prepend=-1))
+    sums = np.zeros((n, weighted.shape[1]), np.float32)
+    sums[half[cuts]] = np.add.reduceat(weighted[own], cuts, axis=0)
+    along = sums.copy()
+    along[:-1][~last[:-1]] += sums[1:][~last[:-1]]
+    along *= np.where(window & (unit > 0), 1 / np.maximum(unit, 1e-30), 0)[:, None].astype(np.float32)
+    back = along.copy()
+    back[1:][~begins[1:]] += along[:-1][~begins[1:]]
+    turn = np.argsort(own, kind="stable")
+    own, half = own[turn], half[turn]
+    cuts = np.flatnonzero(np.diff(own, prepend=-1))
+    total[own[cuts]] += scale[own[cuts], None] * np.add.reduceat(back[half], cuts, axis=0)
+
+
+def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, text_col: str = "text", item_col: str = "item_id") -> Space:
     """The latent space for one corpus and benchmark."""
     spark = docs.sparkSession
     space = _read_benchmark(benchmark, item_col, "text")
@@ -206,35 +244,27 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, fit_rows: i
     test = np.random.default_rng(7).standard_normal((v + 1, rank)).astype(np.float32)
     scale = np.append(idf, 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast((scale, test))
-    sample = texts.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, fit_rows / max(df[v], 1))))))
-
     def ranges(batches):
         scale, test = shared.value
         weighted = scale[:, None] * test
-        total = np.zeros_like(test)
+        total = np.zeros(test.shape)
         for batch in batches:
-            for _, part in slices(batch.column(0)):
-                for text in part:
-                    own = sent.value.numbers(text)
-                    for i in range(0, max(1, len(own) - STRIDE), STRIDE):
-                        w, tf = np.unique(own[i : i + WINDOW], return_counts=True)
-                        a = (tf * scale[w])[:, None]
-                        unit = (a * a).sum()
-                        if unit:
-                            total[w] += a * ((tf[:, None] * weighted[w]).sum(axis=0) / unit)
+            for _, part in slices(batch.column(0), max(20_000, 16_000_000 // rank)):
+                _add_range(total, [sent.value.numbers(t) for t in part], scale, weighted)
         at = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.float64).tolist(), pa.list_(pa.float64()))], ["w", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["w", "y"])
 
-    summed = sample.mapInArrow(ranges, "w long, y array<double>").select("w", *[F.col("y")[i].alias(f"y{i}") for i in range(rank)]).groupBy("w").agg(*[F.sum(f"y{i}").alias(f"y{i}") for i in range(rank)])
+    summed = texts.mapInArrow(ranges, "w long, y array<double>").select("w", *[F.col("y")[i].alias(f"y{i}") for i in range(rank)]).groupBy("w").agg(*[F.sum(f"y{i}").alias(f"y{i}") for i in range(rank)])
     y = np.zeros((v, rank))
     for row in summed.collect():  # at most one row a word of the benchmark
         y[row[0]] = row[1:]
-    # the items are passages too, so the basis spans them even where the sample has none of their words
-    a = np.zeros((len(space.items), v))
-    for i, (_, words) in enumerate(space.items[:20_000]):
-        np.add.at(a[i], words, idf[words])
-    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-    y = y / max(np.linalg.norm(y), 1e-9) + (own := a.T @ (a @ test[:v])) / max(np.linalg.norm(own), 1e-9)
+    # the items are passages too, so the basis spans them even where no text has their words
+    own = np.zeros((v, rank))
+    for _, words in space.items:
+        w, tf = np.unique(words, return_counts=True)
+        a = tf * idf[w]
+        own[w] += a[:, None] * (a @ test[w] / (a @ a))
+    y = y / max(np.linalg.norm(y), 1e-9) + own / max(np.linalg.norm(own), 1e-9)
     basis, _ = np.linalg.qr(y)
     space.basis = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
     latent = np.array([space.basis[words].sum(axis=0) for _, words in space.items])
