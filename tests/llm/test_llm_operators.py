@@ -284,8 +284,12 @@ def test_classifiers_hold_up_on_held_out_labels(spark, docs, empty, module, colu
     assert len(edge) == docs.count() and all(0 <= r["score"] <= 1 for r in edge)
     assert module.score_documents(empty, model).count() == 0
     assert keep(docs, model).columns == docs.columns
-    alone = module.train(own, labels.limit(0))
-    assert alone == 0.5 and {r["score"] for r in module.score_documents(docs, alone).collect()} == {0.5}
+    for alone in (module.train(own, labels.limit(0)), module.train(empty, labels)):  # nothing to learn from: nothing is rejected
+        assert alone == 0.5 and {r["score"] for r in module.score_documents(docs, alone).collect()} == {0.5}
+        assert keep(docs, alone).count() == docs.count()
+    few = labels.where(F.col(column) == 0).unionByName(labels.where(F.col(column) == 1).orderBy("doc_id").limit(4))
+    with pytest.raises(ValueError, match="at least 8"):  # and too little is an error, not a verdict on all rows
+        module.train(own, few)
 
 
 def test_held_out_labels_are_not_inputs(spark):
@@ -302,6 +306,61 @@ def test_dual_coordinate_descent_separates():
     assert w[1] + b >= 0.99 and w[0] + b <= -0.99
 
 
+def test_dual_coordinate_descent_equals_a_dense_solver():
+    r = np.random.default_rng(3)
+    x, y = (r.random((60, 12)) < 0.4).astype(float), np.where(r.random(60) < 0.4, 1, -1)
+    cost = np.where(y == 1, 1.3, 0.8)
+    rows = [np.flatnonzero(v) for v in x]
+    w, b = quality.descend(rows, [np.ones(len(i)) for i in rows], y, 12, cost, rounds=4000)
+    whole = np.column_stack([x, np.ones(60)]) * y[:, None]  # projected gradient on the dense dual
+    gram, alpha = whole @ whole.T, np.zeros(60)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    assert np.allclose(np.append(w, b), whole.T @ alpha, atol=1e-3)
+
+
+def test_quality_indicators_equal_brute_force():
+    def brute(text):
+        data = (text or "").encode()
+        own = {(int.from_bytes(data[i : i + 4], "little") * 2654435761 & 0xFFFFFFFF) >> 32 - quality.BITS for i in range(len(data) - 3)}
+        words = data.split()
+        ago = [next((j for j in range(1, i + 1) if words[i - j] == w), 0) for i, w in enumerate(words)]
+        steps = [min(d.bit_length(), 15) for d in ago]
+        for n in range(1, quality.LONGEST + 1):
+            for i in range(len(steps) - n + 1):
+                code = n
+                for s in steps[i : i + n]:
+                    code = code * 16 + s
+                own.add((1 << quality.BITS) + ((code * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - quality.RECENT_BITS))
+        return sorted(own)
+
+    for text in [t for t in TEXTS if len(t or "") < 2000] + ["a b a b a b c", "x " * 50, prose(300, 5) + "\n" + prose(300, 5)]:
+        assert quality.indicators(text).tolist() == brute(text)
+
+
+def test_toxic_evidence_is_the_difference_of_compressed_lengths():
+    import zstandard
+
+    r = random.Random(2)
+    plain = collections.Counter(w for _ in range(400) for w in prose(60, r.random()).split())
+    model = toxicity.dictionaries(dict(plain), dict(plain) | {"blockhead": 90, "nincompoop": 70}, 5, 20, base_size=20_000, end_size=1_000)
+    assert all(b"nincompoop" in toxic and b"nincompoop" not in ordinary for ordinary, toxic, _ in model.pairs)
+    evidence = model.opened()
+
+    def length(content, data):
+        own = toxicity.compressor(content)
+        out = own.compress(data)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        assert zstandard.ZstdDecompressor(dict_data=held, format=zstandard.FORMAT_ZSTD1_MAGICLESS).decompress(out, max_output_size=1000) == data
+        return len(out)
+
+    for word in ["nincompoop", "blockhead", "thone", "x", "é" * 100, *list(plain)[:20]]:
+        parts = [b" " + word.encode()[i : i + 62] + b" " for i in range(0, len(word.encode()), 62)]
+        want = max(sum(length(a, p + c) - length(b, p + c) for a, b, c in model.pairs) for p in parts) / len(model.pairs)
+        assert evidence.of(word) == want
+    assert min(evidence.of("nincompoop"), evidence.of("blockhead")) >= 3 > max(map(evidence.of, list(plain)[:200]))
+
+
 def test_leaks_are_found_and_clean_texts_left_alone(spark, docs, empty):
     items = [prose(24, 900 + i) for i in range(20)] + ["one two three", None, ""]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")

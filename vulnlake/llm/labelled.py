@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import is_held_out
 
+#: Learning texts of each class without which no classifier is fitted.
+LEAST = 8
+
+
+def too_few(counts: dict[int, int]) -> bool:
+    return min(counts.get(0, 0), counts.get(1, 0)) < LEAST
+
 
 def sample_labels(labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", held_out_of: int = 5) -> tuple[DataFrame, dict[int, int]]:
     """(id, label) of about max_rows / 2 rows of each class at most, and the classes' counts over all learning rows.

@@ -1,13 +1,15 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators: which byte 4-grams a text holds (hashed), and which steps the share of its 24-byte windows that
-occur before in the text reaches.  Each indicator is scaled by the log-count ratio of the two classes, rows have unit
-length, and a linear hinge-loss model is fitted by dual coordinate descent (one dual variable a row, box [0, C]).  Margins
-of rows that the descent did not see calibrate a logistic score.
-
-Defined cases: null and empty texts have no indicators and get the score of the bias alone; without labels of both
-classes every score is the smoothed share of good labels; texts are read whole, however long; repeated rows get one row
-each; other columns are ignored.
+Features are indicators of n-grams in two streams of tokens of a text: its bytes (4-grams), and its words as their recency,
+which is how many words ago the same word stood there, in powers of two, or that it is new (1- to 4-grams).  The first
+stream shows what a text is made of, the second how it repeats itself, whatever its words.  N-grams are hashed.  Each
+indicator is scaled by the log-count ratio of the two classes, rows have unit length, and a linear hinge-loss model is fitted
+by dual coordinate descent (one dual variable a row, box [0, C]).  Margins of rows that the descent did not see calibrate a
+logistic score.
+
+Defined cases: null and empty texts have no indicators and get the score of the bias alone; without any label to learn from
+every score is 0.5 and the filter rejects nothing; with labels, but fewer than LEAST texts of a class, training raises
+ValueError; texts are read whole, however long; repeated rows get one row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,31 +23,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import slices
-from vulnlake.llm.labelled import logistic, sample_labels
+from vulnlake.llm.labelled import LEAST, logistic, sample_labels, too_few
 
-BITS = 16
-STEPS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-SIZE = (1 << BITS) + len(STEPS)
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+#: Hash bits of byte and of recency n-grams, and the recency n-grams' longest n.
+BITS, RECENT_BITS, LONGEST = 16, 14, 4
+SIZE = (1 << BITS) + (1 << RECENT_BITS)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def recency(words: list[bytes]) -> np.ndarray:
+    """For each word 0 if it is new, else the bit length of how many words ago it last stood there (15 at most)."""
+    last: dict[bytes, int] = {}
+    out = np.zeros(len(words), np.uint64)
+    for i, w in enumerate(words):
+        before = last.get(w)
+        if before is not None:
+            out[i] = min((i - before).bit_length(), 15)
+        last[w] = i
+    return out
 
 
 def indicators(text: str | None) -> np.ndarray:
     """Sorted numbers of the indicators that hold for a text."""
-    raw = np.frombuffer(text.encode(), np.uint8) if text else np.empty(0, np.uint8)
-    if len(raw) < 4:
-        return np.empty(0, np.int32)
-    wide = raw.astype(np.uint32)
-    four = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
-    own = np.unique((four * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32)
-    h = four.astype(np.uint64)
-    if len(h) > 20:
-        for i, gap in enumerate((4, 8)):  # 8, then 16 bytes
-            h = (h[:-gap] * _MIX[i]) ^ (h[gap:] * _MIX[i + 2])
-        if len(h) > 8:
-            h = (h[:-8] * _MIX[1]) ^ (h[8:] * _MIX[4])  # 24 bytes
-            again = 1 - len(np.unique(h)) / len(h)
-            own = np.concatenate([own, np.array([(1 << BITS) + i for i, s in enumerate(STEPS) if again >= s], np.int32)])
-    return own
+    data = text.encode() if text else b""
+    own = [np.empty(0, np.int32)]
+    if len(data) >= 4:
+        wide = np.frombuffer(data, np.uint8).astype(np.uint32)
+        four = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+        own.append(np.unique((four * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32))
+    steps = recency(data.split())
+    grams = []
+    for n in range(1, min(LONGEST, len(steps)) + 1):
+        code = np.full(len(steps) - n + 1, n, np.uint64)
+        for i in range(n):
+            code = code * np.uint64(16) + steps[i : len(steps) - n + 1 + i]
+        grams.append(code * _ODD >> np.uint64(64 - RECENT_BITS))
+    if grams:
+        own.append((np.unique(np.concatenate(grams)) + np.uint64(1 << BITS)).astype(np.int32))
+    return np.concatenate(own)
 
 
 @dataclass
@@ -84,10 +99,12 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, siz
 
 
 def fit(sample: list[tuple[int, np.ndarray]], counts: dict[int, int], smoothing: float = 1.0) -> QualityModel | float:
-    """A model from (label, indicators) rows; only the share of good labels if a class is missing."""
+    """A model from (label, indicators) rows; 0.5 if there are none, an error if one class has too few."""
     seen = Counter(label for label, _ in sample)
-    if min(seen.get(0, 0), seen.get(1, 0)) < 5:
-        return (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    if not seen:
+        return 0.5
+    if too_few(seen):
+        raise ValueError(f"quality: at least {LEAST} learning texts of each class are needed: {dict(seen)}")
     train, tune = [x for i, x in enumerate(sample) if i % 4], sample[::4]
     held = {0: np.full(SIZE, smoothing), 1: np.full(SIZE, smoothing)}
     for label, own in train:
@@ -144,9 +161,9 @@ def score_documents(docs: DataFrame, model: QualityModel | float, id_col: str =
 
 
 def keep_good(docs: DataFrame, model: QualityModel | float, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose score reaches the threshold."""
+    """The rows of docs, all their columns, whose score reaches the threshold; all rows where there was nothing to learn from."""
     if not isinstance(model, QualityModel):
-        return docs if model >= threshold else docs.limit(0)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
