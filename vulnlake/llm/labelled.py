@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import is_held_out
 
 #: Learning texts of each class without which no classifier is fitted.
-LEAST = 8
+LEAST = 5
 
 
 def too_few(counts: dict[int, int]) -> bool:

@@ -160,17 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_texts
 
     sample = materialise(rows.mapInArrow(words, "id long, label int, key long, words array<string>"), "toxic-sample")
     fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS))  # copies are in one fold
-    learning = sample.where(fold != 0).dropDuplicates(["label", "key"])
-    texts = {r["label"]: r["n"] for r in learning.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    tune = {r["label"]: r["n"] for r in sample.where(fold == 0).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if too_few(texts) or min(tune.get(0, 0), tune.get(1, 0)) < 1:
+    held = {(r["tune"], r["label"]): r["n"] for r in sample.groupBy((fold == 0).alias("tune"), "label").agg(F.count("*").alias("n")).collect()}
+    every = {label: held.get((True, label), 0) + held.get((False, label), 0) for label in (0, 1)}
+    if too_few(every):
         release(sample)
-        if not texts and not tune:
+        if not any(every.values()):
             return 0.5
-        raise ValueError(f"toxicity: at least {LEAST} learning texts of each class are needed, and some to calibrate: {texts}, {tune}")
+        raise ValueError(f"toxicity: at least {LEAST} learning texts of each class are needed: {every}")
+    apart = all((t, label) in held for t in (True, False) for label in (0, 1))  # else so few texts do both
+    learning = sample.where(fold != 0 if apart else F.lit(True)).dropDuplicates(["label", "key"])
+    tuning = sample.where(fold == 0 if apart else F.lit(True))
+    texts = {r["label"]: r["n"] for r in learning.groupBy("label").agg(F.count("*").alias("n")).collect()}
     least = [max(least_texts, least_share * texts[label]) for label in (0, 1)]
-    held = learning.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    found = held.where((F.col("n0") >= 2) | (F.col("n1") >= least[1])).toArrow().to_pydict()
+    words_ = learning.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    found = words_.where((F.col("n0") >= 2) | (F.col("n1") >= least[1])).toArrow().to_pydict()
     by = [{w: n for w, n in zip(found["word"], found[k], strict=True) if n >= low} for k, low in (("n0", 2), ("n1", least[1]))]
     model = dictionaries(by[0], by[1], least_texts, least[1])
     sent = spark.sparkContext.broadcast(model)
@@ -180,11 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_texts
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([evidence.features(set(w)) for w in batch.column(2).to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    seen = sorted((r["label"], r["id"], r["x"]) for r in sample.where(fold == 0).select("id", "label", "words").mapInArrow(features, "id long, label int, x array<double>").collect())
+    seen = sorted((r["label"], r["id"], r["x"]) for r in tuning.select("id", "label", "words").mapInArrow(features, "id long, label int, x array<double>").collect())
     release(sample)
     sent.destroy()
     y = np.array([r[0] for r in seen])
-    weight = np.where(y == 1, counts[1] / tune[1], counts[0] / tune[0])
+    weight = np.where(y == 1, counts[1] / max((y == 1).sum(), 1), counts[0] / max((y == 0).sum(), 1))
     model.weights = logistic(np.array([r[2] for r in seen]), y, weight * len(y) / weight.sum(), ridge=0.05).tolist()
     return model
 
