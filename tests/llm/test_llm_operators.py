@@ -356,8 +356,8 @@ def test_toxic_evidence_is_the_difference_of_compressed_lengths():
 
     for word in ["nincompoop", "blockhead", "thone", "x", "é" * 100, *list(plain)[:20]]:
         parts = [b" " + word.encode()[i : i + 62] + b" " for i in range(0, len(word.encode()), 62)]
-        want = max(sum(length(a, p + c) - length(b, p + c) for a, b, c in model.pairs) for p in parts) / len(model.pairs)
-        assert evidence.of(word) == want
+        saved = [np.cumsum([length(a, p + c) - length(b, p + c) for a, b, c in model.pairs]) for p in parts]
+        assert evidence.of(word) == max(s[-1] / len(s) if s.min() >= toxicity.FIRST else 0 for s in saved)
     assert min(evidence.of("nincompoop"), evidence.of("blockhead")) >= 3 > max(map(evidence.of, list(plain)[:200]))
 
 

@@ -9,7 +9,7 @@ than what the trainer picks at once is repeated to fill that.
 
 A window's evidence is how many bytes shorter the toxic dictionary makes it than the ordinary one, averaged over PAIRS
 pairs whose trainers read the windows in other orders: a single pair counts in whole bytes and knows some windows only by
-chance.  How many distinct windows of a text reach each of several thresholds goes into a logistic calibration, fitted on
+chance.  Where the first pairs save nothing, the window's evidence is 0 and the others are not asked.  How many distinct windows of a text reach each of several thresholds goes into a logistic calibration, fitted on
 labelled texts that took no part in the dictionaries.
 
 Equal windows have equal evidence, so a worker keeps a bounded table of it (emptied when full).
@@ -38,6 +38,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 WINDOW = 62  # bytes of a word in one window
 THRESHOLDS = tuple(x / 2 for x in range(3, 15))
 PAIRS = 3
+FIRST = 1  # bytes that the pairs so far have to have saved together, or the rest is not asked
 SEGMENT, LEVEL, TABLE_BITS = 24, 12, 17  # zstandard's trainer and compressor
 CACHE = 400_000
 #: Of the sample's texts, one in so many calibrates.
@@ -86,12 +87,21 @@ class Evidence:
     def of(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            found = max(sum(len(plain.compress(w + carrier)) - len(toxic.compress(w + carrier)) for plain, toxic, carrier in self.pairs) for w in window_bytes(word)) / len(self.pairs)
+            found = max(map(self._saved, window_bytes(word)))
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def _saved(self, window: bytes) -> float:
+        total = 0.0
+        for plain, toxic, carrier in self.pairs:
+            subject = window + carrier
+            total += len(plain.compress(subject)) - len(toxic.compress(subject))
+            if total < FIRST:
+                return 0.0
+        return total / len(self.pairs)
+
     def features(self, words: set[str]) -> list[float]:
         found = sorted(x for x in map(self.of, words) if x >= THRESHOLDS[0])
         return [float(np.log1p(len(found) - np.searchsorted(found, t))) for t in THRESHOLDS] + [max(found, default=0.0), float(np.log1p(len(words))), sum(found[-3:])]
