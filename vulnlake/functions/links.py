@@ -29,6 +29,11 @@ COMMIT_HASH = [
 GIT_BUCKETS = ["git.kernel.org", "github.com/torvalds/linux", "cgit.kernel.org", "lore.kernel.org", "patchwork.kernel.org"]
 
 
+def once(c: Column, use) -> Column:
+    """use(c) with c computed once, however often it is used."""
+    return F.transform(F.array(c), use)[0]
+
+
 def domain(url: Column) -> Column:
     """Authority in lower case without `www.`; port and user stay; empty without a scheme."""
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
@@ -36,20 +41,22 @@ def domain(url: Column) -> Column:
 
 def decoded(url: Column) -> Column:
     """Percent signs decoded, plus signs kept; an address with a bad escape stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+    return F.when(F.contains(url, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)).otherwise(url)
 
 
 def is_kernel_git(url: Column) -> Column:
-    hit = F.lit(False)
-    for p in KERNEL_GIT:
-        hit = hit | url.rlike(f"(?i){p}")
-    return hit
+    return url.rlike("(?i)" + "|".join(KERNEL_GIT))
 
 
 def commit_hashes(url: Column) -> Column:
     """Sorted distinct hashes, in lower case."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(decoded(url), F.lit(f"(?i){p}"), 1) for p in COMMIT_HASH]))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda h: h.rlike("^[0-9A-Za-z]{7,40}$")), lambda h: F.lower(h))))
+
+    def found(u: Column) -> Column:
+        hits = F.flatten(F.array(*[F.regexp_extract_all(u, F.lit(f"(?i){p}"), 1) for p in COMMIT_HASH]))
+        return F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.lower(h))))
+
+    none = F.array().cast("array<string>")  # every pattern needs seven digits in a row
+    return once(url, lambda raw: once(decoded(raw), lambda u: F.when(~u.rlike("[A-Fa-f0-9]{7}"), none).otherwise(found(u))))
 
 
 def git_bucket(url: Column) -> Column:
@@ -67,11 +74,13 @@ def number_in(url: Column, before: str) -> Column:
 def repository_item(url: Column) -> Column:
     """struct(kind, owner, repo, id) of a repository host's address; null if it names no repository."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return once(F.filter(F.split(path, "/"), lambda p: p != ""), _item_of)
+
+
+def _item_of(parts: Column) -> Column:
     n = F.size(parts)
     at = lambda i: F.try_element_at(parts, F.lit(i))
     rest = lambda i: F.array_join(F.slice(parts, i, F.greatest(n - i + 1, F.lit(0))), "/")
-    repo = F.regexp_replace(at(2), r"\.git$", "")
     section = at(3)
     cases = [
         (n == 2, "repo", F.lit(None).cast("string")),
@@ -84,21 +93,21 @@ def repository_item(url: Column) -> Column:
         ((section == "compare") & (n >= 4), "compare", rest(4)),
         (F.lit(True), "other", rest(3)),
     ]
-    kind = id_ = None
+    found = None
     for test, name, value in cases:
-        kind = F.when(test, name) if kind is None else kind.when(test, name)
-        id_ = F.when(test, value) if id_ is None else id_.when(test, value)
-    return F.when(n >= 2, F.struct(kind.alias("kind"), at(1).alias("owner"), repo.alias("repo"), id_.alias("id")))
+        own = F.struct(F.lit(name).alias("kind"), value.alias("id"))
+        found = F.when(test, own) if found is None else found.when(test, own)
+    repo = F.regexp_replace(at(2), r"\.git$", "")
+    return F.when(n >= 2, once(found, lambda f: F.struct(f["kind"].alias("kind"), at(1).alias("owner"), repo.alias("repo"), f["id"].alias("id"))))
 
 
 def api_address(item: Column) -> Column:
     """Where the item's record is served; null for kinds without one."""
-    base = F.concat(F.lit("https://api.github.com/repos/"), item["owner"], F.lit("/"), item["repo"])
     paths = {"commit": "/commits/", "pull": "/pulls/", "issue": "/issues/", "advisory": "/security-advisories/", "release": "/releases/tags/", "compare": "/compare/"}
-    out = F.when(item["kind"] == "repo", base)
+    tail = F.when(item["kind"] == "repo", F.lit(""))
     for kind, path in paths.items():
-        out = out.when(item["kind"] == kind, F.concat(base, F.lit(path), item["id"]))
-    return out
+        tail = tail.when(item["kind"] == kind, F.concat(F.lit(path), item["id"]))
+    return F.concat(F.lit("https://api.github.com/repos/"), item["owner"], F.lit("/"), item["repo"], tail)
 
 
 def patch_address(item: Column) -> Column:

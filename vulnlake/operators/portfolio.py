@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.functions.links import once
+
 
 def last_wins(df: DataFrame, key: str, seq: str) -> DataFrame:
     """One row a key, the one with the largest sequence number."""
@@ -22,6 +24,11 @@ def attach(spine: DataFrame, source: DataFrame, key: str = "cve") -> DataFrame:
     return spine.join(source, key, "left")
 
 
+def not_rejected(df: DataFrame, status: str) -> DataFrame:
+    """Records whose status is anything but Rejected, or missing."""
+    return df.where(F.coalesce(F.col(status), F.lit("")) != "Rejected")
+
+
 def english(descriptions: Column) -> Column:
     """Value of the first description in English."""
     return F.try_element_at(F.filter(descriptions, lambda d: d["lang"] == "en"), F.lit(1))["value"]
@@ -73,3 +80,92 @@ def item_record(kind: Column, fields: dict[str, dict[str, Column]]) -> Column:
         made = F.struct(*[v.alias(k) for k, v in own.items()])
         out = F.when(kind == name, made) if out is None else out.when(kind == name, made)
     return out
+
+
+#: Names under which an update guide's payload may have a field, the first that is filled counts.
+_SCALARS = {
+    "title": ["title", "name", "cveTitle"],
+    "description": ["description", "executiveSummary", "summary", "tag"],
+    "impact": ["impact"],
+    "vuln_type": ["vulnType"],
+    "publicly_disclosed": ["publiclyDisclosed"],
+    "exploited": ["exploited", "publiclyDisclosed"],
+    "exploitability_assessment": ["exploitabilityAssessment", "latestSoftwareRelease", "olderSoftwareRelease"],
+    "mitre_url": ["mitreUrl"],
+    "release_date": ["releaseDate", "releasedDate"],
+    "last_modified": ["lastModifiedDate", "latestRevisionDate"],
+}
+_LISTS = {
+    "cwe": ["cweDetailsList", "cweList", "cwe"],
+    "acknowledgements": ["acknowledgements", "credits"],
+    "articles": ["articles"],
+    "revisions": ["revisions"],
+}
+_CVSS = {"base_score": ["baseScore", "score", "value"], "vector": ["vector", "vectorString"], "severity": ["baseSeverity", "severity"], "temporal_score": ["temporalScore"], "vector_source": ["vectorStringSource"]}
+_PRODUCTS = {"name": ["name", "productName", "product"], "platform": ["platform", "productFamily"]}
+_REMEDIES = {"type": ["type", "remediationType"], "kb": ["kbArticle", "kb", "id"], "url": ["url", "downloadUrl"], "description": ["description", "fixedBuildNumber"]}
+_REFERENCES = {"url": ["url", "href"], "label": ["label", "description", "title"]}
+_VERSIONS, _AFFECTED = ["versions", "versionList"], ["products", "affectedProducts"]
+
+
+def _pick(record: Column, names: list[str]) -> Column:
+    """The first of a map's entries that holds something, as text."""
+    filled = lambda v: F.when(~v.isin("", "null", "[]"), v)
+    return F.coalesce(*[filled(F.try_element_at(record, F.lit(n))) for n in names])
+
+
+def _fields(record: Column, names: dict[str, list[str]]) -> list[Column]:
+    return [_pick(record, own).alias(name) for name, own in names.items()]
+
+
+def _array(text: Column) -> Column:
+    """Elements of a JSON array, as text; none if there is no array."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def _records(text: Column, use) -> Column:
+    """use(map of its fields) of each element of a JSON array that is an object."""
+    return F.transform(F.filter(_array(text), lambda x: x.startswith("{")), lambda x: use(F.from_json(x, "map<string,string>")))
+
+
+def product_list(payload: Column) -> Column:
+    return _records(_pick(payload, ["affectedProducts", "products"]), lambda p: F.struct(*_fields(p, _PRODUCTS), _array(_pick(p, _VERSIONS)).alias("versions")))
+
+
+def remediation_list(payload: Column) -> Column:
+    return _records(_pick(payload, ["remediations", "kbArticles"]), lambda r: F.struct(*_fields(r, _REMEDIES), _array(_pick(r, _AFFECTED)).alias("products")))
+
+
+def reference_list(payload: Column) -> Column:
+    """References may be plain addresses or objects."""
+
+    def one(x: Column) -> Column:
+        record = F.from_json(F.when(x.startswith("{"), x), "map<string,string>")
+        return F.struct(F.when(x.startswith("{"), _pick(record, _REFERENCES["url"])).otherwise(x).alias("url"), F.when(x.startswith("{"), _pick(record, _REFERENCES["label"])).alias("label"))
+
+    return F.transform(_array(_pick(payload, ["references", "externalReferences"])), one)
+
+
+def guide_record(cve: Column, payload: Column) -> Column:
+    """The 21 fields of an update guide's record from its JSON payload; values stay text, lists stay lists."""
+
+    def build(p: Column) -> Column:
+        nested = _pick(p, ["cvssScoreSets", "cvssV3", "cvss"])
+        nested = F.when(nested.startswith("["), F.try_element_at(_array(nested), F.lit(1))).otherwise(nested)
+        scores = F.when(nested.startswith("{"), F.from_json(nested, "map<string,string>")).otherwise(p)
+        scalars = {name: _pick(p, names) for name, names in _SCALARS.items()}
+        lists = {name: _array(_pick(p, names)) for name, names in _LISTS.items()}
+        return F.struct(
+            F.lit("msrc.microsoft.com").alias("source"),
+            F.concat(F.lit("https://msrc.microsoft.com/update-guide/vulnerability/"), cve).alias("url"),
+            F.lit("patch").alias("role"),
+            *[v.alias(k) for k, v in scalars.items() if k != "exploited"],
+            F.coalesce(scalars["exploited"], F.lit("false")).alias("exploited"),
+            once(scores, lambda s: F.struct(*_fields(s, _CVSS))).alias("cvss"),
+            *[v.alias(k) for k, v in lists.items()],
+            product_list(p).alias("affected_products"),
+            remediation_list(p).alias("remediations"),
+            reference_list(p).alias("references"),
+        )
+
+    return once(F.from_json(payload, "map<string,string>"), build)

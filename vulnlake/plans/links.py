@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions import links as ln
+from vulnlake.operators import portfolio as pf
 from vulnlake.plans.evaluation import cve_col, cve_sql
 from vulnlake.session import table
 
@@ -106,9 +107,18 @@ def f4_any_criteria(spark, sf_dir):
 
 
 def f5_domain_links(spark, sf_dir):
-    rows = links(spark, sf_dir).groupBy("cve").agg(F.collect_list("url").alias("urls"))
-    own = ln.matching_links(F.col("urls"), "github.com")
-    return rows.where(F.size(own) > 0).select("cve", F.array_join(F.array_sort(own), " ").alias("urls"))
+    """Links of one host a CVE; the others never leave the scan."""
+    own = links(spark, sf_dir).where(F.contains("url", F.lit("github.com")))
+    return own.groupBy("cve").agg(F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
+
+
+def f1_s12_accepted(spark, sf_dir):
+    """Records that are not rejected, by the window of 120 days that they were published in."""
+    status = F.when(F.col("o_orderkey") % 5 == 0, "Rejected").when(F.col("o_orderkey") % 7 == 0, None).otherwise("Analyzed")
+    rows = table(spark, sf_dir, "orders").select(status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("published"))
+    first = "timestamp '1992-01-01'"
+    window = F.expr(f"{first} + make_dt_interval(120 * floor(datediff(published, {first}) / 120))").alias("start")
+    return pf.not_rejected(rows, "status").groupBy(window).agg(F.count("*").alias("n"))
 
 
 def f9_numeric_ids(spark, sf_dir):
@@ -184,7 +194,7 @@ def u5_except(spark, sf_dir):
     return rows.where("kind = 'Patch'").select("url").exceptAll(rows.where("kind = 'Exploit'").select("url")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (f1_f3_grouped_links, u2_distinct_links, a3_first_seen_order, a4_counts_by_year, a21_union_distinct, f2_tagged_references, f4_any_criteria, f5_domain_links, f9_numeric_ids, c10_commit_hashes, a19_hash_to_cves, c11_kernel_links, a18_git_buckets, c12_c13_domain_and_number, c14_c15_repository_items, j4_j5_pending, j13_cross_roles, c23_flat_links, u1_union_all, u3_right_wins, u5_except)}
+QUERIES = {f.__name__: f for f in (f1_f3_grouped_links, u2_distinct_links, a3_first_seen_order, a4_counts_by_year, a21_union_distinct, f2_tagged_references, f4_any_criteria, f5_domain_links, f1_s12_accepted, f9_numeric_ids, c10_commit_hashes, a19_hash_to_cves, c11_kernel_links, a18_git_buckets, c12_c13_domain_and_number, c14_c15_repository_items, j4_j5_pending, j13_cross_roles, c23_flat_links, u1_union_all, u3_right_wins, u5_except)}
 
 _HASH_SQL = "list_sort(list_distinct(list_transform(flatten([" + ", ".join("regexp_extract_all(CASE WHEN url LIKE '%\\%ZZ%' ESCAPE '\\' THEN url ELSE url_decode(url) END, '(?i)" + p + "', 1)" for p in ln.COMMIT_HASH) + "]), lambda h: lower(h))))"
 _GIT_SQL = " OR ".join("regexp_matches(url, '(?i)" + p.replace("'", "''") + "')" for p in ln.KERNEL_GIT)
@@ -206,6 +216,7 @@ SQL = {
     "f2_tagged_references": "SELECT o_orderkey, o_orderkey % 5 = 1 AS is_patch, o_orderkey % 5 = 2 AS is_exploit FROM orders WHERE o_orderkey % 5 IN (1, 2)",
     "f4_any_criteria": "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0",
     "f5_domain_links": f"SELECT cve, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls FROM {LINKS_SQL} WHERE contains(url, 'github.com') GROUP BY cve",
+    "f1_s12_accepted": "SELECT TIMESTAMP '1992-01-01' + to_days(CAST(120 * (date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) // 120) AS INTEGER)) AS start, count(*) AS n FROM orders WHERE NOT o_orderkey % 5 = 0 GROUP BY 1",
     "f9_numeric_ids": "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 3 <> 0",
     "c10_commit_hashes": f"SELECT seq, array_to_string({_HASH_SQL}, ',') AS hashes FROM {LINKS_SQL}",
     "a19_hash_to_cves": f"SELECT hash, string_agg(DISTINCT cve, ',' ORDER BY cve) AS cves FROM (SELECT cve, unnest({_HASH_SQL}) AS hash FROM {LINKS_SQL}) GROUP BY hash",

@@ -92,19 +92,38 @@ def p6_cpe(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", pf.cpe_parts(cpe).alias("c")).where("c is not null").select("p_partkey", "c.*")
 
 
-def p7_p9_cvss_record(spark, sf_dir):
+def p7_cvss_record(spark, sf_dir):
     k = F.col("o_orderkey")
     nested = F.when(k % 2 == 0, F.struct((k % 10).cast("string").alias("score"), F.lit("AV:N").alias("vector"), F.lit("").alias("severity")))
     flat = F.struct(F.lit("5").alias("score"), F.lit("").alias("vector"), F.col("o_orderpriority").alias("severity"))
     return table(spark, sf_dir, "orders").select("o_orderkey", pf.cvss_block(nested, flat).alias("b")).select("o_orderkey", "b.*")
 
 
+def _payloads(spark, sf_dir):
+    """An update guide's JSON payloads, flat or nested, with fields under either of their names or without them."""
+    k = F.col("p_partkey")
+    text = F.concat(
+        F.lit('{"'), F.when(k % 2 == 0, "title").otherwise("cveTitle"), F.lit('":"flaw '), k.cast("string"), F.lit('","description":"","executiveSummary":"'), F.col("p_type"),
+        F.lit('","impact":null,"cweList":["CWE-'), (k % 9).cast("string"), F.lit('"],'),
+        F.when(k % 3 == 0, F.concat(F.lit('"cvssScoreSets":[{"score":'), (k % 10).cast("string"), F.lit('.5,"vectorString":"AV:N"}]'))).otherwise(F.concat(F.lit('"baseScore":'), (k % 10).cast("string"), F.lit(',"severity":"Low"'))),
+        F.lit(',"affectedProducts":[{"productName":"'), F.col("p_brand"), F.lit('","platform":"x","versions":["1","'), k.cast("string"), F.lit('"]},"odd"],"kbArticles":[{"id":"KB'), k.cast("string"), F.lit('","downloadUrl":"https://example.org/'), k.cast("string"),
+        F.lit('"}],"references":["https://example.org/r",{"href":"https://example.org/'), k.cast("string"), F.lit('","title":"t"}],"publiclyDisclosed":'), F.when(k % 4 == 0, "true").otherwise("null"), F.lit(',"releasedDate":"2020-01-0'), (k % 9 + 1).cast("string"), F.lit('"}'),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", cve_col(k).alias("cve"), text.alias("payload"))
+
+
+def p9_guide_record(spark, sf_dir):
+    """The update guide's record; null fields are left out of its JSON."""
+    rows = _payloads(spark, sf_dir).select("p_partkey", pf.guide_record(F.col("cve"), F.col("payload")).alias("r"))
+    return rows.select("p_partkey", "r.url", "r.title", "r.description", "r.impact", F.col("r.cvss.base_score").alias("base_score"), F.col("r.cvss.vector").alias("vector"), F.col("r.cvss.severity").alias("severity"), F.array_join("r.cwe", ",").alias("cwe"), "r.exploited", "r.publicly_disclosed", "r.release_date", F.size(F.expr("json_object_keys(to_json(r))")).alias("filled"))
+
+
 def p8_products(spark, sf_dir):
-    """Normalised arrays of records, those without a name left out."""
-    k = F.col("o_orderkey")
-    raw = F.array(F.struct(F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("title")), F.struct(F.lit("").alias("name"), F.when(k % 2 == 0, "t").alias("title")))
-    clean = F.filter(F.transform(raw, lambda p: F.coalesce(F.nullif(p["name"], F.lit("")), p["title"])), lambda n: n.isNotNull())
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(clean, ",").alias("products"))
+    """Normalised products, remediations and references; what is no record is left out, a plain address is a reference."""
+    p = F.from_json("payload", "map<string,string>")
+    rows = _payloads(spark, sf_dir).select("p_partkey", p.alias("p")).select("p_partkey", pf.product_list(F.col("p")).alias("a"), pf.remediation_list(F.col("p")).alias("m"), pf.reference_list(F.col("p")).alias("f"))
+    text = lambda c, f: F.array_join(F.transform(c, f), ";")
+    return rows.select("p_partkey", text("a", lambda x: F.concat_ws("|", x["name"], x["platform"], F.array_join(x["versions"], "+"))).alias("products"), text("m", lambda x: F.concat_ws("|", x["kb"], x["url"])).alias("remediations"), text("f", lambda x: F.concat_ws("|", x["url"], x["label"])).alias("references"))
 
 
 def p10_p11_item_kinds(spark, sf_dir):
@@ -177,11 +196,17 @@ def s18_pages(spark, sf_dir):
     return pages(spark, 22395, 100)
 
 
-QUERIES = {f.__name__: f for f in (j1_j2_portfolio, a22_last_wins, a23_first_wins, j3_inner, j6_url_lookup, j7_j8_composite, j11_file_join, j12_patched_prefix, j10_sorted_pairs, p1_p3_descriptions, p5_safe_path, p6_cpe, p7_p9_cvss_record, p8_products, p10_p11_item_kinds, p12_p13_metric_and_cwe, p14_p16_renamed, r11_discussions, r12_roles, w3_positions, a1_grouped_records, t4_slice, t7_sorted_distinct, s12_windows, s18_pages)}
+QUERIES = {f.__name__: f for f in (j1_j2_portfolio, a22_last_wins, a23_first_wins, j3_inner, j6_url_lookup, j7_j8_composite, j11_file_join, j12_patched_prefix, j10_sorted_pairs, p1_p3_descriptions, p5_safe_path, p6_cpe, p7_cvss_record, p8_products, p9_guide_record, p10_p11_item_kinds, p12_p13_metric_and_cwe, p14_p16_renamed, r11_discussions, r12_roles, w3_positions, a1_grouped_records, t4_slice, t7_sorted_distinct, s12_windows, s18_pages)}
 
 _RH = f"(SELECT {cve_sql('(o_custkey + 700)')} AS cve, max(o_orderkey) AS seq, arg_max(o_orderpriority, o_orderkey) AS impact, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1)"
 _SPINE = f"(SELECT {_C} AS cve, 'flaw ' || c_name AS nvd, c_acctbal FROM customer)"
 
+_K = "CAST(p_partkey AS VARCHAR)"
+_PAYLOADS = f"""(SELECT p_partkey, CAST('{{"' || CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE 'cveTitle' END || '":"flaw ' || {_K} || '","description":"","executiveSummary":"' || p_type || '","impact":null,"cweList":["CWE-' || CAST(p_partkey % 9 AS VARCHAR) || '"],'
+ || CASE WHEN p_partkey % 3 = 0 THEN '"cvssScoreSets":[{{"score":' || CAST(p_partkey % 10 AS VARCHAR) || '.5,"vectorString":"AV:N"}}]' ELSE '"baseScore":' || CAST(p_partkey % 10 AS VARCHAR) || ',"severity":"Low"' END
+ || ',"affectedProducts":[{{"productName":"' || p_brand || '","platform":"x","versions":["1","' || {_K} || '"]}},"odd"],"kbArticles":[{{"id":"KB' || {_K} || '","downloadUrl":"https://example.org/' || {_K}
+ || '"}}],"references":["https://example.org/r",{{"href":"https://example.org/' || {_K} || '","title":"t"}}],"publiclyDisclosed":' || CASE WHEN p_partkey % 4 = 0 THEN 'true' ELSE 'null' END || ',"releasedDate":"2020-01-0' || CAST(p_partkey % 9 + 1 AS VARCHAR) || '"}}' AS JSON) AS j FROM part)"""
+
 SQL = {
     "j1_j2_portfolio": f"SELECT cve, nvd, impact, seq FROM {_SPINE} LEFT JOIN {_RH} USING (cve)",
     "a22_last_wins": f"SELECT cve, seq, impact FROM {_RH}",
@@ -195,8 +220,11 @@ SQL = {
     "p1_p3_descriptions": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'hola' WHEN 1 THEN c_mktsegment ELSE 'non' END AS first, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment END AS english FROM customer",
     "p5_safe_path": "SELECT event_id, coalesce(props ->> '$.k', '0') AS k, coalesce(props ->> '$.a.b', 'none') AS missing FROM events",
     "p6_cpe": "SELECT p_partkey, 'cpe:2.3:o:' || p_brand || ':tool:' || CAST(p_partkey AS VARCHAR) || ':*:*' AS cpe, 'cpe2.3' AS version, p_brand AS vendor, 'tool' AS product, CAST(p_partkey AS VARCHAR) AS product_version FROM part WHERE p_partkey % 5 <> 0",
-    "p7_p9_cvss_record": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS VARCHAR) ELSE '5' END AS score, CASE WHEN o_orderkey % 2 = 0 THEN 'AV:N' END AS vector, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS severity FROM orders",
-    "p8_products": "SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ',t' ELSE '' END AS products FROM orders",
+    "p7_cvss_record": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS VARCHAR) ELSE '5' END AS score, CASE WHEN o_orderkey % 2 = 0 THEN 'AV:N' END AS vector, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS severity FROM orders",
+    "p8_products": f"SELECT p_partkey, (j ->> '$.affectedProducts[0].productName') || '|x|' || (j ->> '$.affectedProducts[0].versions[0]') || '+' || (j ->> '$.affectedProducts[0].versions[1]') AS products, (j ->> '$.kbArticles[0].id') || '|' || (j ->> '$.kbArticles[0].downloadUrl') AS remediations, (j ->> '$.references[0]') || ';' || (j ->> '$.references[1].href') || '|' || (j ->> '$.references[1].title') AS \"references\" FROM {_PAYLOADS}",
+    "p9_guide_record": f"""SELECT p_partkey, 'https://msrc.microsoft.com/update-guide/vulnerability/' || {cve_sql('p_partkey')} AS url, coalesce(j ->> '$.title', j ->> '$.cveTitle') AS title, coalesce(nullif(j ->> '$.description', ''), j ->> '$.executiveSummary') AS description, j ->> '$.impact' AS impact,
+ coalesce(j ->> '$.cvssScoreSets[0].score', j ->> '$.baseScore') AS base_score, j ->> '$.cvssScoreSets[0].vectorString' AS vector, j ->> '$.severity' AS severity, j ->> '$.cweList[0]' AS cwe, coalesce(j ->> '$.publiclyDisclosed', 'false') AS exploited, j ->> '$.publiclyDisclosed' AS publicly_disclosed, j ->> '$.releasedDate' AS release_date,
+ CAST(15 + CASE WHEN j ->> '$.publiclyDisclosed' = 'true' THEN 1 ELSE 0 END AS INTEGER) AS filled FROM {_PAYLOADS}""",
     "p10_p11_item_kinds": "SELECT o_orderkey, ['commit', 'pull', 'issue', 'release'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS kind, CASE WHEN o_orderkey % 4 = 3 THEN 'v1' ELSE o_orderpriority END AS title, CASE o_orderkey % 4 WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN 'merged' ELSE o_orderstatus END WHEN 2 THEN o_orderstatus END AS state FROM orders",
     "p12_p13_metric_and_cwe": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'V40' WHEN o_orderkey % 3 = 0 THEN 'V31' WHEN o_orderkey % 2 = 0 THEN 'V30' WHEN o_orderkey % 7 = 0 THEN 'V2' END AS metric, CASE o_orderkey % 3 WHEN 0 THEN 'CWE-1, CWE-2' WHEN 1 THEN 'CWE-9' ELSE 'Not given' END AS cwe FROM orders",
     "p14_p16_renamed": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'x' WHEN c_mktsegment = 'BUILDING' THEN 'b' WHEN c_mktsegment = 'MACHINERY' THEN 'm' ELSE c_mktsegment END AS label, c_name AS rest FROM customer",
