@@ -6,10 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vulnlake.session import materialise, release
+
 #: Chunk size and overlap in characters, separators from the coarsest on.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
 SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -88,18 +91,26 @@ def running_documents(items: DataFrame, key: str, pos: str, text: str, sep: str
 def token_batches(rows: DataFrame, key: str, pos: str, tokens: str, budget: int = 300_000) -> DataFrame:
     """(key, pos, batch): texts in order, a new batch where the next would go over the budget.
 
-    A single text over the budget is a batch of its own; no batch is empty.
+    A single text over the budget is a batch of its own; no batch is empty; a null count is 0.  Keys are brought together
+    and sorted, and each row is read once in its order: what is held is the batch so far, never a key's rows.
     """
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(tokens).cast("long").alias("t")))).alias("a"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<p:{dict(rows.dtypes)[pos]},b:int>>").alias("out"))
+    ordered = rows.select(key, pos, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens")).repartition(key).sortWithinPartitions(key, pos)
+    kinds = dict(rows.dtypes)
 
-    def step(acc, x):
-        fits = (acc["used"] == 0) | (acc["used"] + x["t"] <= budget)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, acc["used"] + x["t"]).otherwise(x["t"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["p"].alias("p"), batch.alias("b")))).alias("out"))
+    def run(batches):
+        last, used, number = (), 0, 0
+        for batch in batches:
+            out = []
+            for own, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (own,) != last:
+                    last, used, number = (own,), 0, 0
+                elif used and used + size > budget:
+                    used, number = 0, number + 1
+                used += size
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [key, pos, "batch"])
 
-    folded = ordered.select(key, F.explode(F.aggregate("a", start, step)["out"]).alias("x"))
-    return folded.select(key, F.col("x.p").alias(pos), F.col("x.b").alias("batch"))
+    return ordered.mapInArrow(run, f"{key} {kinds[key]}, {pos} {kinds[pos]}, batch int")
 
 
 def token_count(c: Column) -> Column:
@@ -108,19 +119,42 @@ def token_count(c: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " ")))
 
 
+_CODERS: dict = {}
+
+
+def _coder(path: str):
+    """A vocabulary's encoder, opened once a worker."""
+    if path not in _CODERS:
+        from tokenizers import Tokenizer
+
+        _CODERS[path] = Tokenizer.from_file(path)
+    return _CODERS[path]
+
+
 def bpe_token_count(path: str):
-    """A column function that counts a vocabulary file's tokens, in Arrow batches."""
+    """A column function that counts a vocabulary file's tokens, in Arrow batches; a null text has none."""
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(path)
-        return pd.Series([len(e.ids) for e in coder.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+        return pd.Series([len(e.ids) for e in _coder(path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
 
     return count
 
 
+def bpe_truncated(path: str, most: int):
+    """A column function that keeps a text's first `most` tokens; shorter texts stay as they are, null stays null.
+
+    The cut is where the last token kept ends in the text, so no character is changed or split.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        coded = _coder(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return pd.Series([t if t is None or len(e.ids) <= most else t[: e.offsets[most - 1][1] if most > 0 else 0] for t, e in zip(texts, coded, strict=True)])
+
+    return cut
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -175,12 +209,18 @@ def with_ground_truth(answers: DataFrame, truth: DataFrame, keys: list[str]) ->
     return answers.join(truth, keys, "left").withColumn("truth", F.coalesce("truth", F.lit("Not Given")))
 
 
-def thread_order(spark, messages: DataFrame) -> DataFrame:
-    """(conv, id, depth, path) of (conv, id, parent): parents before children, children in id order."""
-    messages.createOrReplaceTempView("__messages")
-    return spark.sql("""
-        WITH RECURSIVE walk (conv, id, depth, path) AS (
-          SELECT conv, id, 0, lpad(CAST(id AS STRING), 6, '0') FROM __messages WHERE parent IS NULL
-          UNION ALL
-          SELECT m.conv, m.id, w.depth + 1, concat(w.path, '/', lpad(CAST(m.id AS STRING), 6, '0')) FROM walk w JOIN __messages m ON m.conv = w.conv AND m.parent = w.id
-        ) SELECT conv, id, depth, path FROM walk""")
+def thread_order(messages: DataFrame) -> DataFrame:
+    """(conv, id, depth, path) of (conv, id, parent): sorted by path, parents come before children, children in id order.
+
+    path is the array of ids from the thread's first message down.  Every round doubles how far up a message has looked,
+    so a chain of n messages takes log2(n) rounds, each written before the next.  A message whose parents are missing or
+    go in a circle is in no thread and is left out.
+    """
+    now = materialise(messages.select("conv", "id", F.col("parent").alias("up"), F.array("id").alias("path")), "threads")
+    while now.where("up is not null").limit(1).count():
+        above = now.select("conv", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
+        longer = now.where("up is not null").join(above, ["conv", "up"]).select("conv", "id", F.col("next").alias("up"), F.concat("before", "path").alias("path"))
+        step = materialise(now.where("up is null").unionByName(longer.where(F.size(F.array_distinct("path")) == F.size("path"))), "threads")
+        release(now)
+        now = step
+    return now.select("conv", "id", (F.size("path") - 1).alias("depth"), "path")

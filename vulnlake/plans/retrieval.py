@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vulnlake.operators import html, rag
 from vulnlake.plans.evaluation import cve_col, cve_sql
@@ -34,15 +35,35 @@ def w1_running_documents(spark, sf_dir):
     return rag.running_documents(c, "conv_id", "turn", "text").select("conv_id", "turn", F.md5(F.col("document").cast("binary")).alias("digest"))
 
 
+def vocabulary_path() -> str:
+    """A public vocabulary; any tokenizer file would do."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def w2_token_batches(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", rag.token_count(F.col("text")).alias("tokens"))
     return rag.token_batches(c, "conv_id", "turn", "tokens", 120)
 
 
+def w2_bpe_batches(spark, sf_dir):
+    """Batches by a vocabulary's own tokens."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", rag.bpe_token_count(vocabulary_path())("text").alias("tokens"))
+    return rag.token_batches(c, "conv_id", "turn", "tokens", 300)
+
+
 def c34_token_count(spark, sf_dir):
+    """By white space, where no vocabulary is at hand."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", rag.token_count(F.col("text")).alias("tokens"))
 
 
+def c34_bpe_tokens(spark, sf_dir):
+    """A vocabulary's tokens, and the text cut to the first 20 of them."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", rag.bpe_token_count(vocabulary_path())("text").alias("tokens"), rag.bpe_truncated(vocabulary_path(), 20)("text").alias("head"))
+
+
 def c30_json_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_name", "c_nationkey")).alias("json"))
 
@@ -72,10 +93,22 @@ def r8_ground_truth(spark, sf_dir):
     return rag.with_ground_truth(a, t, ["cve", "attribute"]).select("o_orderkey", "truth")
 
 
-def c24_thread_order(spark, sf_dir):
+def _messages(spark, sf_dir):
     """A message answers the one before it; every third one the first."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("id"), F.when(F.col("turn") == 0, None).when(F.col("turn") % 3 == 0, 0).otherwise(F.col("turn") - 1).alias("parent"))
-    return rag.thread_order(spark, c)
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("id"), F.when(F.col("turn") == 0, None).when(F.col("turn") % 3 == 0, 0).otherwise(F.col("turn") - 1).alias("parent"))
+
+
+def c24_thread_order(spark, sf_dir):
+    """Each message's place in its thread, its depth and the ids above it."""
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("path"))
+    return rag.thread_order(_messages(spark, sf_dir)).select("conv", "id", "depth", place.cast("long").alias("place"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
+def c24_long_threads(spark, sf_dir):
+    """Suppliers in chains of 500 messages with seven-digit ids: threads may be of any depth."""
+    k = F.col("s_suppkey").cast("long") + 1_000_000
+    chain = table(spark, sf_dir, "supplier").select(F.floor(k / 500).alias("conv"), k.alias("id"), F.when(k % 500 != 0, k - 1).alias("parent"))
+    return rag.thread_order(chain).select("conv", "id", "depth", F.element_at("path", 1).alias("first"))
 
 
 def h_outline(spark, sf_dir):
@@ -131,7 +164,7 @@ def _page_query(kind: str, number: str):
 
 _PAGE_KINDS = [("redhat", "h1"), ("bugzilla", "h2"), ("ubuntu", "h3"), ("packet_storm", "h4"), ("exploit_db", "h5"), ("lwn_alerts", "h6"), ("lwn_article", "h6"), ("mail_threads", "h7"), ("mail_message", "h7"), ("bulletin", "h8"), ("cgit_commit", "h9")]
 
-QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w2_token_batches, c34_token_count, c30_json_text, r4_j15_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
+QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w2_token_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
 
 _K = "CAST(s_suppkey AS VARCHAR)"
 SQL = {
@@ -145,7 +178,18 @@ SELECT conv_id, turn, batch FROM f""",
     "r4_j15_nearest": "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.label, q.vec_id AS query_id, c.vec_id AS item_id, round(list_distance(q.v, c.v), 6) AS d FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rank FROM d) SELECT * FROM r WHERE rank <= 12",
     "r6_contexts": "SELECT conv_id, md5(string_agg('Source: ' || role || chr(10) || ' ' || text || chr(10), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "r8_ground_truth": f"SELECT o_orderkey, coalesce(s_name, 'Not Given') AS truth FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % 900 AND o_orderpriority = '1-URGENT'",
-    "c24_thread_order": "WITH RECURSIVE m AS (SELECT conv_id AS conv, turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 0 THEN 0 ELSE turn - 1 END AS parent FROM conversations), w AS (SELECT conv, id, 0 AS depth, lpad(CAST(id AS VARCHAR), 6, '0') AS path FROM m WHERE parent IS NULL UNION ALL SELECT m.conv, m.id, w.depth + 1, w.path || '/' || lpad(CAST(m.id AS VARCHAR), 6, '0') FROM w JOIN m ON m.conv = w.conv AND m.parent = w.id) SELECT * FROM w",
+    "c24_thread_order": "WITH RECURSIVE m AS (SELECT conv_id AS conv, turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 0 THEN 0 ELSE turn - 1 END AS parent FROM conversations), w AS (SELECT conv, id, 0 AS depth, [id] AS path FROM m WHERE parent IS NULL UNION ALL SELECT m.conv, m.id, w.depth + 1, list_append(w.path, m.id) FROM w JOIN m ON m.conv = w.conv AND m.parent = w.id) SELECT conv, id, depth, row_number() OVER (PARTITION BY conv ORDER BY path) AS place, array_to_string(path, '/') AS path FROM w",
+    "c24_long_threads": "WITH RECURSIVE m AS (SELECT (s_suppkey + 1000000) // 500 AS conv, s_suppkey + 1000000 AS id FROM supplier), w AS (SELECT conv, id, 0 AS depth, id AS first FROM m WHERE id % 500 = 0 UNION ALL SELECT m.conv, m.id, depth + 1, first FROM w JOIN m ON m.id = w.id + 1 AND m.id % 500 <> 0) SELECT * FROM w",
+    "c30_json_text": "SELECT c_custkey, CAST(to_json({'c_name': c_name, 'c_nationkey': c_nationkey}) AS VARCHAR) AS json FROM customer",
+    "r5_mmr": """WITH RECURSIVE e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ d AS (SELECT q.label, q.vec_id AS query_id, q.v AS q, c.vec_id AS item_id, c.v, round(list_distance(q.v, c.v), 6) AS d FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rank FROM d QUALIFY rank <= 20),
+ g AS (SELECT label, query_id, list(item_id ORDER BY rank) AS items, list(list_cosine_similarity(q, v) ORDER BY rank) AS near, list(v ORDER BY rank) AS vs FROM f GROUP BY label, query_id),
+ n AS (SELECT label, query_id, items, near, list_transform(vs, lambda a: list_transform(vs, lambda b: list_cosine_similarity(a, b))) AS alike FROM g),
+ p AS (SELECT label, query_id, items, near, alike, 1 AS place, [list_position(list_transform(near, lambda x: round(x, 9)), list_max(list_transform(near, lambda x: round(x, 9))))] AS chosen FROM n
+  UNION ALL SELECT label, query_id, items, near, alike, place + 1, list_append(chosen, list_position(s, list_max(s))) FROM (
+   SELECT *, list_transform(range(1, len(items) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e9 ELSE round(0.5 * near[i] - 0.5 * list_max(list_transform(chosen, lambda j: alike[i][j])), 9) END) AS s FROM p WHERE place < least(12, len(items))))
+SELECT label, query_id, items[chosen[place]] AS item_id, place FROM p""",
     "h10_f12_pages": "SELECT page_id, url AS pre, NOT contains(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), CAST(page_id AS VARCHAR)) AS mismatch FROM pages WHERE regexp_matches(html, '(?i)<h1[\\s>]')",
     **{f"{n}_{k}": f"SELECT s_suppkey, replace('{SAMPLE_FIELDS[k][1]}', '{{k}}', {_K}) AS fields FROM supplier" for k, n in _PAGE_KINDS if SAMPLE_FIELDS[k][1]},
     "h7_mail_message": f"SELECT s_suppkey, 'CVE-2020-' || substr({_K} || '0000', 1, 7) || '|A ' || {_K} || '|body' AS fields FROM supplier",
