@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnlake.functions.links import once
 from vulnlake.functions.text import lines
 
 #: C keywords that stand before a parenthesis or a name but are no function.
 C_KEYWORDS = ["if", "for", "while", "switch", "sizeof", "return", "case", "else", "do", "break", "continue", "goto", "typedef", "struct", "union", "enum", "const", "static", "extern", "inline", "volatile"]
+#: Fixed value: a name in front of a parenthesis, with what may stand before it.
+FUNCTION_HEAD = r"(?:[\w\s*&]+\s+)?([a-zA-Z_]\w*(?:##[a-zA-Z_]\w*)?)\s*\("
 
 
 def hunk_function(context: Column) -> Column:
     """Function that the context behind a hunk header names, or null."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(context), r"/\*.*?\*/", ""), "//.*", ""))
     head = F.trim(F.split(bare, r"\{", 2)[0])
-    name = F.regexp_extract(head, r"(?:[\w\s*&]+\s+)?([a-zA-Z_]\w*(?:##[a-zA-Z_]\w*)?)\s*\(", 1)
+    name = F.regexp_extract(head, FUNCTION_HEAD, 1)
     shouted = (name == F.upper(name)) & name.rlike("[A-Z]")
     ok = (name != "") & ~head.startswith("#define") & ~name.isin(C_KEYWORDS) & (~shouted | F.contains(name, F.lit("##")))
     return F.when(ok, name)
@@ -43,6 +46,29 @@ def status_and_name(line: Column) -> tuple[Column, Column]:
     return parts[0], F.element_at(parts, -1)
 
 
+def log_blocks(log: Column) -> Column:
+    """Entries of a log, each from its `commit` line up to the next one's."""
+    return F.filter(F.split(log, r"(?m)^(?=commit [0-9a-f]{7,40}\b)"), lambda b: b.startswith("commit "))
+
+
+def log_entry(block: Column) -> Column:
+    """struct(hash, author, date, message, files) of one entry; files: struct(name, status), of a renamed file the new name."""
+    return once(lines(block), _entry_of)
+
+
+def _entry_of(rows: Column) -> Column:
+    field = lambda p: F.trim(F.regexp_replace(F.try_element_at(F.filter(rows, lambda x: x.startswith(p)), F.lit(1)), f"^{p}", ""))
+    message = F.array_join(F.transform(F.filter(rows, lambda x: x.startswith("    ")), lambda x: F.trim(x)), "\n")
+    changed = F.filter(rows, lambda x: x.rlike("^[A-Z][0-9]*\t"))
+
+    def file(x: Column) -> Column:
+        status, name = status_and_name(x)
+        return F.struct(name.alias("name"), status.alias("status"))
+
+    hash_ = F.regexp_extract(F.try_element_at(rows, F.lit(1)), "^commit ([0-9a-f]+)", 1)
+    return F.struct(hash_.alias("hash"), field("Author:").alias("author"), field("Date:").alias("date"), message.alias("message"), F.transform(changed, file).alias("files"))
+
+
 def usable_diff(patch: Column, challenge: Column, files: Column) -> Column:
     """The patch where it is usable, else the files' patches one after the other."""
     whole = F.array_join(F.transform(F.filter(files, lambda f: F.length(f["patch"]) > 0), lambda f: F.concat(F.lit("--- "), F.coalesce(f["path"], F.lit("")), F.lit("\n"), f["patch"])), "\n\n")

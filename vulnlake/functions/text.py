@@ -81,6 +81,9 @@ FILE_NAME = r"(?i)(?:\bfile\s+|\bin\s+|\bof\s+)?([A-Za-z0-9_\-./]+?/?[A-Za-z0-9_
 UNDERSCORE_NAME = r"\b([A-Za-z0-9]*_[A-Za-z0-9_]*[a-z][A-Za-z0-9_]*)\b(?!\s*\.(?:c|h|s|S|cc|cpp|go|o)\b)"
 NAME_TOKEN = "[A-Za-z0-9_]*[a-z][A-Za-z0-9_]*"
 NOT_FUNCTIONS = ["in", "of", "fix", "handle", "add", "remove", "enable", "disable", "return", "error", "leak", "update", "use", "make", "move", "change"]
+#: What may follow a name that is a file, and where a name is said to be a function.
+NO_FILE = r"(?!\s*\.(?:c|h|s|S|cc|cpp|go|o)\b)"
+SAID_FUNCTION = rf"(?:\b({NAME_TOKEN})\s*\(\)|\bfunction\s+({NAME_TOKEN})\b|\b({NAME_TOKEN})\s+function\b){NO_FILE}"
 
 
 def strip(c: Column) -> Column:
@@ -150,9 +153,7 @@ def file_candidates(c: Column) -> Column:
 
 
 def function_candidates(c: Column) -> Column:
-    no_file = r"(?!\s*\.(?:c|h|s|S|cc|cpp|go|o)\b)"
-    context = rf"(?:\b({NAME_TOKEN})\s*\(\)|\bfunction\s+({NAME_TOKEN})\b|\b({NAME_TOKEN})\s+function\b){no_file}"
-    found = F.array_union(F.regexp_extract_all(c, F.lit(UNDERSCORE_NAME), 1), F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(context), i) for i in (1, 2, 3)])))
+    found = F.array_union(F.regexp_extract_all(c, F.lit(UNDERSCORE_NAME), 1), F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(SAID_FUNCTION), i) for i in (1, 2, 3)])))
     return F.array_sort(F.filter(found, lambda f: (F.length(f) > 2) & ~F.lower(f).isin(NOT_FUNCTIONS)))
 
 
@@ -189,6 +190,16 @@ def without_fences(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
+def claim_list(raw: Column, response: Column) -> Column:
+    """Claims as a JSON array of strings, fenced or not; unreadable ones are the whole response as one claim."""
+    return F.coalesce(F.from_json(without_fences(raw), "array<string>"), F.array(response))
+
+
+def score_map(raw: Column) -> Column:
+    """A judge's JSON object, fenced or not, its values as text; an unreadable one is an empty map."""
+    return F.coalesce(F.from_json(without_fences(raw), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
 def fields_as_text(fields: list[tuple[str, Column]], references: Column) -> Column:
     """`name: value` lines of the fields that have a value, then the references."""
     parts = [F.when(F.length(v) > 0, F.concat(F.lit(f"{name}: "), v)) for name, v in fields]

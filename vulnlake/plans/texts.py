@@ -135,13 +135,12 @@ def c20_f13_usable_diff(spark, sf_dir):
 
 
 def c25_c35_log_blocks(spark, sf_dir):
-    """Header lines, message and files of a log entry."""
-    block = F.concat(F.lit("commit "), F.md5(_key().cast("binary")), F.lit("\nAuthor: A <a@b>\nDate:   today\n\n    fix "), _key(), F.lit("\n\nM\ta.c\nR100\told.c\tnew.c"))
-    lines = tx.lines(block)
-    field = lambda p: F.trim(F.substring(F.try_element_at(F.filter(lines, lambda x: x.startswith(p)), F.lit(1)), len(p) + 1, 1000))
-    message = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("    ")), lambda x: F.trim(x)), "\n")
-    files = F.filter(lines, lambda x: x.rlike("^[A-Z][0-9]*\t"))
-    return _orders(spark, sf_dir).select("o_orderkey", field("commit ").alias("hash"), field("Author:").alias("author"), field("Date:").alias("date"), message.alias("message"), F.array_join(F.transform(files, lambda x: F.concat_ws("=", *reversed(code.status_and_name(x)))), ",").alias("files"))
+    """Entries of logs of two commits: header lines, message and files; header lines may be of any length."""
+    k = F.col("o_orderkey")
+    entry = lambda salt: F.concat(F.lit("commit "), F.md5(F.concat(_key(), F.lit(salt)).cast("binary")), F.lit("\nAuthor: A"), F.repeat(F.lit("a"), (k % 3 * 700).cast("int")), F.lit(" <a@b>\nDate:   today\n\n    fix "), _key(), F.lit(f"\n    {salt}\n\nM\ta.c\nR100\told.c\tnew"), F.lit(salt), F.lit(".c\n"))
+    logs = _orders(spark, sf_dir).select("o_orderkey", F.posexplode(code.log_blocks(F.concat(entry("x"), F.lit("\n"), entry("y")))).alias("pos", "block"))
+    e = logs.select("o_orderkey", "pos", code.log_entry(F.col("block")).alias("e"))
+    return e.select("o_orderkey", "pos", "e.hash", F.md5(F.col("e.author").cast("binary")).alias("author"), "e.date", "e.message", F.array_join(F.transform("e.files", lambda f: F.concat_ws("=", f["name"], f["status"])), ",").alias("files"))
 
 
 def f6_f8_kernel_mail(spark, sf_dir):
@@ -157,11 +156,13 @@ def f10_f11_filters(spark, sf_dir):
 
 
 def c28_c29_parsed_answers(spark, sf_dir):
-    """Answers as JSON, fenced or not; unreadable ones fall back to an empty list."""
+    """Answers as JSON, fenced or not; unreadable claims fall back on the whole response, unreadable scores on no scores."""
     k = F.col("o_orderkey") % 3
     raw = F.when(k == 0, F.concat(F.lit('```json\n["a", "'), _key(), F.lit('"]\n```'))).when(k == 1, F.concat(F.lit('["'), _key(), F.lit('"]'))).otherwise("not json")
-    parsed = F.coalesce(F.from_json(tx.without_fences(raw), "array<string>"), F.array().cast("array<string>"))
-    return _orders(spark, sf_dir).select("o_orderkey", F.array_join(parsed, ",").alias("claims"), F.size(parsed).alias("n"))
+    judged = F.when(k == 1, F.concat(F.lit('```json\n{"correctness": {"score": '), _key(), F.lit("}}\n```"))).when(k == 2, F.lit('{"correctness": {"score": 1}}')).otherwise("none: {")
+    claims, scores = tx.claim_list(raw, F.col("o_orderpriority")), tx.score_map(judged)
+    rows = _orders(spark, sf_dir).select("o_orderkey", claims.alias("c"), scores.alias("s"))
+    return rows.select("o_orderkey", F.array_join("c", ",").alias("claims"), F.size("c").alias("n"), F.get_json_object(F.try_element_at("s", F.lit("correctness")), "$.score").alias("score"), F.size("s").alias("measures"))
 
 
 def c31_c32_templates(spark, sf_dir):
@@ -189,6 +190,8 @@ QUERIES = {f.__name__: f for f in (c1_strip_case, c2_collapse_space, c3_same_as_
 _HUNK_SQL = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {'NULL' if f is None else 'replace(' + chr(39) + f + chr(39) + ', ' + chr(39) + '{k}' + chr(39) + f', {_S})'}" for i, (_, f) in enumerate(HUNKS)) + " END"
 _KW_SQL = "CASE o_orderkey % 6 WHEN 0 THEN 'Linux kernel exploit,Linux kernel DoS' ELSE '' END"
 
+_LOG_SQL = f"'commit ' || md5({_S} || '{{s}}') || chr(10) || 'Author: A' || repeat('a', CAST(o_orderkey % 3 * 700 AS INTEGER)) || ' <a@b>' || chr(10) || 'Date:   today' || chr(10) || chr(10) || '    fix ' || {_S} || chr(10) || '    {{s}}' || chr(10) || chr(10) || 'M' || chr(9) || 'a.c' || chr(10) || 'R100' || chr(9) || 'old.c' || chr(9) || 'new{{s}}.c' || chr(10)"
+
 SQL = {
     "c1_strip_case": "SELECT o_orderkey, o_orderpriority || ':' AS stripped, lower(o_orderpriority) || ':' AS low, upper(o_orderpriority) || ':' AS up, o_orderpriority AS bare FROM orders",
     "c2_collapse_space": r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}\x{001C}-\x{001F}]+', ' ', 'g'))) AS digest FROM documents",
@@ -206,10 +209,18 @@ SQL = {
     "w6_function_bodies": "SELECT p_partkey, concat_ws(chr(10), 'int f(void)', '{', '  if (x) {', '    a(' || CAST(p_partkey AS VARCHAR) || ');', '  }', '}') AS body FROM part",
     "c21_c22_tagged_slice": "SELECT p_partkey, CAST(p_partkey % 3 + 1 AS INTEGER) AS start, CAST(p_partkey % 3 + 2 AS INTEGER) AS \"end\", 'l' || CAST(p_partkey % 3 + 1 AS VARCHAR) || chr(10) || 'l' || CAST(p_partkey % 3 + 2 AS VARCHAR) AS body FROM part",
     "c20_f13_usable_diff": f"SELECT o_orderkey, o_orderkey % 3 = 0 AS challenge, CASE WHEN o_orderkey % 3 = 2 THEN '@@ ' || {_S} ELSE '--- a.c' || chr(10) || '+' || {_S} || chr(10) || chr(10) || '--- ' || chr(10) || '-x' END AS diff FROM orders",
-    "c25_c35_log_blocks": f"SELECT o_orderkey, md5({_S}) AS hash, 'A <a@b>' AS author, 'today' AS date, 'fix ' || {_S} AS message, 'a.c=M,new.c=R100' AS files FROM orders",
+    "c25_c35_log_blocks": f"""WITH l AS (SELECT o_orderkey, {_LOG_SQL.format(s='x')} || chr(10) || {_LOG_SQL.format(s='y')} AS log FROM orders),
+ b AS (SELECT o_orderkey, generate_subscripts(p, 1) - 2 AS pos, unnest(p) AS b FROM (SELECT o_orderkey, string_split(chr(10) || log, chr(10) || 'commit ') AS p FROM l)),
+ f AS (SELECT *, string_split(b, chr(10)) AS r FROM b WHERE pos >= 0)
+SELECT o_orderkey, CAST(pos AS INTEGER) AS pos, r[1] AS hash, md5(trim(replace(list_filter(r, lambda x: starts_with(x, 'Author:'))[1], 'Author:', ''))) AS author, trim(replace(list_filter(r, lambda x: starts_with(x, 'Date:'))[1], 'Date:', '')) AS date,
+ array_to_string(list_transform(list_filter(r, lambda x: starts_with(x, '    ')), lambda x: trim(x)), chr(10)) AS message,
+ array_to_string(list_transform(list_filter(r, lambda x: regexp_matches(x, '^[A-Z][0-9]*\\t')), lambda x: string_split(x, chr(9))[-1] || '=' || string_split(x, chr(9))[1]), ',') AS files FROM f""",
     "f6_f8_kernel_mail": f"SELECT o_orderkey, {_KW_SQL} AS keywords, CASE o_orderkey % 6 WHEN 0 THEN 0 ELSE 2 END AS patterns FROM orders WHERE o_orderkey % 6 IN (0, 1)",
     "f10_f11_filters": "SELECT o_orderkey, o_orderpriority AS description FROM orders WHERE o_custkey % 4 <> 0 AND o_orderkey % 3 = 2",
-    "c28_c29_parsed_answers": f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a,' || {_S} WHEN 1 THEN {_S} ELSE '' END AS claims, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM orders",
+    "c28_c29_parsed_answers": f"""WITH r AS (SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 3 WHEN 0 THEN '["a", "' || {_S} || '"]' WHEN 1 THEN '["' || {_S} || '"]' ELSE 'not json' END AS raw,
+ CASE o_orderkey % 3 WHEN 1 THEN '{{"correctness": {{"score": ' || {_S} || '}}}}' WHEN 2 THEN '{{"correctness": {{"score": 1}}}}' ELSE 'none: {{' END AS judged FROM orders),
+ p AS (SELECT o_orderkey, CASE WHEN json_valid(raw) THEN from_json(raw, '["VARCHAR"]') ELSE [o_orderpriority] END AS c, CASE WHEN json_valid(judged) THEN judged ->> '$.correctness.score' END AS score, json_valid(judged) AS ok FROM r)
+SELECT o_orderkey, array_to_string(c, ',') AS claims, CAST(len(c) AS INTEGER) AS n, score, CAST(ok AS INTEGER) AS measures FROM p""",
     "c31_c32_templates": f"SELECT o_orderkey, 'Q ' || o_orderpriority || ' of ' || {cve_sql('o_orderkey')} || '?' AS prompt, 'title: ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE chr(10) || 'body: ' || {_S} END || chr(10) || 'references: u1, u2' AS item FROM orders",
     "c33_r3_hash_vector": f"SELECT o_orderkey, " + ", ".join(f"CAST(('0x' || substr(md5({_S}), {2 * i + 1}, 2))::INTEGER AS DOUBLE) / 255 AS v{i}" for i in (0, 7, 15)) + " FROM orders",
     "c36_escape": f"SELECT o_orderkey, '&lt;a href=&quot;x&quot;&gt;&amp;' || {_S} || '&lt;/a&gt;' AS escaped FROM orders",
