@@ -142,3 +142,14 @@ def annotator_conflicts(a: DataFrame, b: DataFrame, measures: list[str]) -> Data
     for m in measures:
         differs = differs | ~F.col(f"a.{m}").eqNullSafe(F.col(f"b.{m}"))
     return both.where(differs).select("cve", "key", *[F.col(f"{s}.{m}").alias(f"{s}_{m}") for s in "ab" for m in measures])
+
+
+def common_columns(a: DataFrame, b: DataFrame, key: str) -> list[str]:
+    """Columns that both tables have besides the key, in a's order; a question to their schemas, no rows are read."""
+    return [c for c in a.columns if c in b.columns and c != key]
+
+
+def nonconformity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Absolute differences of the common columns, a row a key that both have."""
+    both = a.alias("a").join(b.alias("b"), key)
+    return both.select(key, *[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(c) for c in common_columns(a, b, key)])

@@ -255,21 +255,34 @@ def mail_message(page: Element) -> dict:
     return {"title": title, "cve": found[0] if found else None, "from": after("From"), "date": after("Date"), "body": _text(page.first("pre"), "\n")}
 
 
-#: Headings of a bulletin's sections.
-BULLETIN_SECTIONS = {"summary": ["Summary"], "vulnerability_details": ["Vulnerability Details"], "affected_products": ["Affected Products"], "remediation": ["Remediation"], "workarounds": ["Workarounds"], "references": ["References"]}
+#: Headings of a bulletin's sections, each under any of its labels.
+BULLETIN_SECTIONS = {
+    "summary": ["Summary"],
+    "vulnerability_details": ["Vulnerability Details", "Vulnerability details"],
+    "affected_products": ["Affected Products and Versions", "Affected Products", "Affected products"],
+    "remediation": ["Remediation/Fixes", "Remediation / Fixes", "Remediation", "Fixes"],
+    "workarounds": ["Workarounds and Mitigations", "Workarounds"],
+    "references": ["References"],
+}
 
 
-def bulletin(page: Element) -> dict:
-    """H8: sections between headings, links in the references, CVE ids; a page without them falls back on its JSON-LD."""
-    out: dict = {}
-    for name, labels in BULLETIN_SECTIONS.items():
-        heading = next((h for label in labels if (h := page.holding({"h2", "h3", "h4", "strong", "b"}, label)) is not None), None)
+def section(page: Element, labels: list[str]) -> str | None:
+    """Text from a heading up to the next one, for the first label whose section says something."""
+    for label in labels:
+        heading = page.holding({"h2", "h3", "h4", "strong", "b"}, label)
         parts = []
         for k in heading.after() if heading is not None else []:
             if isinstance(k, Element) and k.tag in ("h2", "h3", "h4"):
                 break
             parts.append(k.text("\n") if isinstance(k, Element) else k.strip())
-        out[name] = "\n".join(p for p in parts if p) or None
+        if text := "\n".join(p for p in parts if p):
+            return text
+    return None
+
+
+def bulletin(page: Element) -> dict:
+    """H8: sections between headings, links in the references, CVE ids; a page without them falls back on its JSON-LD."""
+    out: dict = {name: section(page, labels) for name, labels in BULLETIN_SECTIONS.items()}
     out["references"] = re.findall(r"https?://\S+", out["references"] or "")
     out["title"] = _text(page.first("h1")) or _text(page.first("title"))
     out["cves"] = sorted(set(re.findall(r"\bCVE-\d{4}-\d{4,7}\b", page.text(" "))))

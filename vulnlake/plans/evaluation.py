@@ -195,16 +195,26 @@ def j14_f14_questions(spark, sf_dir):
     return cves.join(F.broadcast(dim)).select("cve", "category", "attribute")  # 23 rows at most
 
 
+def u4_nonconformity(spark, sf_dir):
+    """Two scorers' tables of which only some columns agree."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    model = c.where(k % 3 != 0).select("c_custkey", (k % 5).alias("patch"), F.col("c_nationkey").alias("cwe"), k.alias("only_model"))
+    human = c.where(k % 2 == 0).select(F.lit(1).alias("only_human"), (k * 7 % 11).alias("cwe"), (k * 3 % 5).alias("patch"), "c_custkey")
+    return ev.nonconformity(model, human, "c_custkey")
+
+
 def t1_t3_sorted_means(spark, sf_dir):
     means = a8_column_means(spark, sf_dir)
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_score"), "key")))
 
 
-QUERIES = {f.__name__: f for f in (a7_c26_claim_ladder, a7_map_mean, p17_attribute_key, a8_column_means, a9_row_then_column_mean, a15_a16_conformal_thresholds, evaluation_conformal_report, c27_ordinal_set, a10_confusion, a12_class_metrics, a11_macro_metrics, a13_weighted_metrics, a11_accuracy, a5_a6_any_positive, a14_identification, w4_truth_rank, j9_a17_conflicts, a17_conflict_counts, p18_a20_token_usage, j14_f14_questions, t1_t3_sorted_means)}
+QUERIES = {f.__name__: f for f in (a7_c26_claim_ladder, a7_map_mean, p17_attribute_key, a8_column_means, a9_row_then_column_mean, a15_a16_conformal_thresholds, evaluation_conformal_report, c27_ordinal_set, a10_confusion, a12_class_metrics, a11_macro_metrics, a13_weighted_metrics, a11_accuracy, a5_a6_any_positive, a14_identification, w4_truth_rank, j9_a17_conflicts, a17_conflict_counts, p18_a20_token_usage, j14_f14_questions, u4_nonconformity, t1_t3_sorted_means)}
 
 _COLUMN_MEANS_SQL = f"WITH c AS ({CLAIMS_SQL}), m AS (SELECT cve, key, avg(score) AS mean FROM c GROUP BY ALL) SELECT key, round_even(avg(CAST({LADDER_SQL.format(m='mean')} AS DOUBLE)) * 100, 0) / 100 AS mean_score FROM m GROUP BY key"
 
 SQL = {
+    "u4_nonconformity": "SELECT c_custkey, abs(c_custkey % 5 - c_custkey * 3 % 5) AS patch, abs(c_nationkey - c_custkey * 7 % 11) AS cwe FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0",
     "a7_c26_claim_ladder": f"WITH c AS ({CLAIMS_SQL}), m AS (SELECT cve, key AS attribute_key, avg(score) AS mean FROM c GROUP BY ALL) SELECT *, {LADDER_SQL.format(m='mean')} AS points FROM m",
     "a7_map_mean": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE ((o_orderkey % 5) / 4 + (o_custkey % 5) / 4) / 2 END AS mean FROM orders",
     "p17_attribute_key": "SELECT p_partkey, replace(p_type || '_' || p_name, ' ', '_') AS attribute_key FROM part",

@@ -134,7 +134,7 @@ SAMPLE_PAGES = {
     "lwn_article": '<h1>article {k}</h1><table><tr><td>From:</td><td>&nbsp;</td><td>x{k}</td></tr></table><div class="ArticleText">text {k}</div>',
     "mail_threads": '<ul class="thread"><li><a href="{k}">root {k}</a> <em>A</em><ul><li><a href="1">re</a><em>B</em></ul></ul>',
     "mail_message": '<h1 class="m-title">about CVE-2020-{k}0000</h1><em>From</em>: A {k}<br><em>Date</em>: today<pre>body</pre>',
-    "bulletin": '<h1>bulletin {k}</h1><h2>Summary</h2><p>sum {k}</p><h2>References</h2>see https://example.org/{k}',
+    "bulletin": '<h1>bulletin {k}</h1><h2>Summary</h2><p>sum {k}</p><h3>Fixes</h3><p>fixed in {k}</p><h2>References</h2>see https://example.org/{k}',
     "cgit_commit": '<table><tr><th>author</th><td>A {k} &lt;a@b&gt; 2020</td></tr></table><div class="commit-subject">fix {k}</div><div class="commit-msg">long {k}</div><table class="diffstat"><tr><td><a>f{k}.c</a></td></tr></table>',
 }
 #: One telling field of each source's record, and what it is for the made page.
@@ -148,7 +148,7 @@ SAMPLE_FIELDS = {
     "lwn_article": ("concat_ws('|', r.title, r.meta['From'], r.content)", "article {k}|x{k}|text {k}"),
     "mail_threads": ("concat_ws('|', r.messages[0].title, r.messages[1].parent, string(r.messages[1].depth))", "root {k}|0|1"),
     "mail_message": ("concat_ws('|', r.cve, r.`from`, r.body)", None),
-    "bulletin": ("concat_ws('|', r.title, r.summary, r.references[0])", "bulletin {k}|sum {k}|https://example.org/{k}"),
+    "bulletin": ("concat_ws('|', r.title, r.summary, r.remediation, r.references[0])", "bulletin {k}|sum {k}|fixed in {k}|https://example.org/{k}"),
     "cgit_commit": ("concat_ws('|', r.author, r.author_email, r.subject, r.changed_files[0])", "A {k}|a@b|fix {k}|f{k}.c"),
 }
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vulnlake.functions import code
+
 FILE_KEY = r"([^/]+?)(?:\.[^./]+)?$"
 
 
@@ -71,6 +73,12 @@ def thread_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("year_quarter"), F.regexp_extract(where, FILE_KEY, 1).alias("thread_id"), F.col("value").alias("body"))
 
 
+def commit_log(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, author, date, message, files) of exported logs, an entry a row; logs are read in splits, however long."""
+    entries = spark.read.option("lineSep", "\ncommit ").text(path).select(F.when(F.col("value").startswith("commit "), F.col("value")).otherwise(F.concat(F.lit("commit "), "value")).alias("b"))
+    return entries.where(F.col("b").rlike("^commit [0-9a-f]{7,40}")).select(code.log_entry(F.col("b")).alias("e")).select("e.*")
+
+
 def optional(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
     """read(spark, path), or an empty table with the schema if nothing is there."""
     return read(spark, path) if _exists(spark, path) else spark.createDataFrame([], schema)
