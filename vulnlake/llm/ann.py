@@ -13,8 +13,8 @@ are used instead, down to none, which compares everything; so the share is reach
 are indexed, and all queries use that number.  A query that then holds fewer than k is asked again in all buckets of a table.
 
 Buckets stand on shelves by their hash, about BLOCK vectors to a shelf; a query goes once to each shelf that holds a bucket it
-visits, and only vectors of those buckets are its candidates.  A shelf is one matrix product for a block of vectors; larger
-shelves have several blocks, and the queries go to each.  A block answers with each query's best k at most, and only those
+visits, and only vectors of those buckets are its candidates.  Larger shelves have several blocks, and the queries go to
+each.  A task holds one block of vectors and streams its queries past it, so neither side has to fit in memory.  A block answers with each query's best k at most, and only those
 that reach a floor: the k-th best score among the vectors of a bounded sample that stand in buckets the query visits, so at
 least k that it finds reach it.  Of equal vectors, the k + 1 smallest ids can be in a result, and only they are indexed;
 how many equal vectors there are does not matter.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.llm.common import materialise
+from vulnlake.llm.common import materialise, release
 
 BLOCK = 4096
 PROBES = 8192  # buckets of a table that a query visits at most; with more projections than that allows, recall would be lost
@@ -227,29 +227,51 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     right = asked.join(blocks, ["t", "shelf"]).select("t", "shelf", each_block, "codes", "query", "q", "floor")
 
-    def best(key, own, asking):
+    def best(batches):
+        """Rows come sorted by place, the members of a place before its queries; one place's members are held at a time."""
+        place, parts, ready = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, shelf, block, kind = (batch.column(i).to_numpy() for i in range(4))
+            cuts = np.flatnonzero((np.diff(t) != 0) | (np.diff(shelf) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if (own := (t[lo], shelf[lo], block[lo])) != place:
+                    place, parts, ready = own, [], None
+                run = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    parts.append((run.column(4).to_numpy(), matrix(run.column(5)), run.column(6).to_numpy()))
+                elif parts:
+                    if ready is None:
+                        ids, x, code = (np.concatenate(c) for c in zip(*parts, strict=True))
+                        turn = np.argsort(ids, kind="stable")
+                        ready = (ids[turn], x[turn], *np.unique(code[turn], return_inverse=True))
+                    for start in range(0, run.num_rows, 256):
+                        yield answer(*ready, run.slice(start, 256))
+
+    def answer(ids, x, distinct, bucket, asking):
+        names, q, codes, floors = asking.column(4).to_numpy(), matrix(asking.column(5)), asking.column(7).to_pylist(), asking.column(8).to_numpy()
+        scores = q @ x.T
         out_q, out_id, out_s = [], [], []
-        if own.num_rows and asking.num_rows:
-            x, ids, code = matrix(own.column("v")), own.column("id").to_numpy(), own.column("code").to_numpy()
-            turn = np.argsort(ids, kind="stable")
-            x, ids = x[turn], ids[turn]
-            distinct, bucket = np.unique(code[turn], return_inverse=True)
-            qs, names, floors, codes = asking.column("q").combine_chunks(), asking.column("query").to_numpy(), asking.column("floor").to_numpy(), asking.column("codes").to_pylist()
-            for start in range(0, len(names), 256):
-                name, floor = names[start : start + 256], floors[start : start + 256]
-                scores = matrix(qs.slice(start, 256)) @ x.T
-                for i in range(len(name)):
-                    sought = codes[start + i]  # null asks all buckets
-                    visited = np.isin(distinct, np.frombuffer(sought, np.int64)) if sought is not None else np.ones(len(distinct), bool)
-                    at = np.flatnonzero(visited[bucket] & (scores[i] >= floor[i]) & (ids != name[i]))
-                    at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
-                    out_q.append(np.full(len(at), name[i])), out_id.append(ids[at]), out_s.append(scores[i, at])
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
-        return pa.table({"query_id": join(out_q, np.int64), "id": join(out_id, np.int64), "score": join(out_s, np.float64)})
+        for i, sought in enumerate(codes):  # null asks all buckets
+            near = scores[i] >= floors[i]
+            if sought is not None:
+                near &= np.isin(distinct, np.frombuffer(sought, np.int64))[bucket]
+            at = np.flatnonzero(near & (ids != names[i]))
+            if len(at) > k:  # what rounding may have put on the wrong side of the k-th stays
+                last = np.partition(scores[i, at], len(at) - k)[len(at) - k]
+                at = at[scores[i, at] >= last - 1e-9 * max(1.0, abs(last))]
+            exact = (x[at] * q[i]).sum(axis=1)  # in one order for each pair, so equal vectors have equal scores
+            at, exact = (z[np.lexsort((ids[at], -exact))[:k]] for z in (at, exact))
+            out_q.append(np.full(len(at), names[i])), out_id.append(ids[at]), out_s.append(exact)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (out_q, out_id, out_s)], ["query_id", "id", "score"])
 
     def answers(members: DataFrame, asking: DataFrame) -> DataFrame:
         place = ["t", "shelf", "block"]
-        found = members.groupBy(*place).cogroup(asking.groupBy(*place)).applyInArrow(best, "query_id long, id long, score double")
+        none = lambda kind: F.lit(None).cast(kind)
+        held = members.select(*place, F.lit(0).cast("byte").alias("kind"), "id", "v", "code", none("binary").alias("codes"), none("double").alias("floor"))
+        met = held.unionByName(asking.select(*place, F.lit(1).cast("byte").alias("kind"), F.col("query").alias("id"), F.col("q").alias("v"), none("long").alias("code"), "codes", "floor"))
+        found = met.repartition(*place).sortWithinPartitions(*place, "kind").mapInArrow(best, "query_id long, id long, score double")
         found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
@@ -261,6 +283,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = materialise(rows.where(queries).join(full, "id", "left_anti"), "ann-short")
     if short.isEmpty():
+        release(short)
         return found
-    again = short.crossJoin(blocks.where("t = 0")).select(F.lit(0).alias("t"), F.col("shelf").alias("shelf"), each_block, F.lit(None).cast("binary").alias("codes"), F.col("id").alias("query"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
+    every = short.withColumn("shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shelves - 1).cast("long")))).join(blocks.where("t = 0"), "shelf")
+    again = every.select(F.lit(0).alias("t"), "shelf", each_block, F.lit(None).cast("binary").alias("codes"), F.col("id").alias("query"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
     return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*found.columns).unionByName(answers(left.where("t = 0"), again))

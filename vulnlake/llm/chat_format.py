@@ -69,6 +69,6 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
 def pair_neighbours(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations 2k (chosen) and 2k+1 (rejected) make pair k."""
     whole = conversations_as_turns(turns)
-    pair = F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")
+    pair = F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")  # exact for every long
     odd = F.pmod(F.col("conv_id"), F.lit(2)) == 1
     return whole.where(~odd).select(pair, "turns"), whole.where(odd).select(pair, "turns")

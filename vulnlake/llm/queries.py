@@ -97,7 +97,7 @@ def queries() -> dict:
 
 _OP1 = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
- n AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, (conv_id % 2) <> 0 AS odd, role, text,
+ n AS (SELECT CAST(conv_id AS BIGINT) >> 1 AS pair_id, (conv_id % 2) <> 0 AS odd, role, text,
    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
  b AS (SELECT pair_id, i, c.role IS NOT NULL AND r.role IS NOT NULL AND c.role = r.role AND c.text = r.text AS same
    FROM (SELECT * FROM n WHERE NOT odd) c FULL JOIN (SELECT * FROM n WHERE odd) r USING (pair_id, i)),
