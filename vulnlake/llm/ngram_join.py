@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import materialise, partitions, release, slices, words_of
 
 N, CAP, BLOCK = 5, 16, 1024
+#: Hot keys are broadcast if there are at most so many; and linked sets' sizes are in the same class or in neighbouring ones.
+BROADCAST, SIZE_STEP = 200_000, 1.3334
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -184,27 +186,34 @@ class Trie:
     __slots__ = ("edge", "kids", "ends", "least", "most", "parts")
 
     def __init__(self, sets: list[tuple], lo: int, hi: int, depth: int):
-        """sets[lo:hi], sorted, agree on their first `depth` hashes; each is (hashes, member, size, component)."""
-        first, last = sets[lo][0], sets[hi - 1][0]
-        end, stop = depth, min(len(first), len(last))
-        while end < stop and first[end] == last[end]:
-            end += 1
-        self.edge = first[depth:end]
-        self.ends, self.kids = [], []
-        at = lo
-        while at < hi and len(sets[at][0]) == end:
-            self.ends.append(sets[at][1:])
-            at += 1
-        while at < hi:
-            head, to = sets[at][0][end], at + 1
-            while to < hi and sets[to][0][end] == head:
-                to += 1
-            self.kids.append(Trie(sets, at, to, end))
-            at = to
-        self.least = min([s for _, s, _ in self.ends] + [k.least for k in self.kids])
-        self.most = len(self.edge) + max([k.most for k in self.kids] or [0])
-        parts = {c for _, _, c in self.ends}.union(*[k.parts or (None, 0) for k in self.kids])
-        self.parts = parts if len(parts) == 1 and None not in parts else None
+        """The root over sets[lo:hi], sorted, which agree on their first `depth` hashes; each is (hashes, member, size, component)."""
+        made, waiting = [], [(self, lo, hi, depth)]
+        while waiting:  # no recursion: sets may nest to any depth
+            node, lo, hi, depth = waiting.pop()
+            made.append(node)
+            first, last = sets[lo][0], sets[hi - 1][0]
+            end, stop = depth, min(len(first), len(last))
+            while end < stop and first[end] == last[end]:
+                end += 1
+            node.edge = first[depth:end]
+            node.ends, node.kids = [], []
+            at = lo
+            while at < hi and len(sets[at][0]) == end:
+                node.ends.append(sets[at][1:])
+                at += 1
+            while at < hi:
+                head, to = sets[at][0][end], at + 1
+                while to < hi and sets[to][0][end] == head:
+                    to += 1
+                kid = Trie.__new__(Trie)
+                node.kids.append(kid)
+                waiting.append((kid, at, to, end))
+                at = to
+        for node in reversed(made):  # kids come after their parents
+            node.least = min([s for _, s, _ in node.ends] + [k.least for k in node.kids])
+            node.most = len(node.edge) + max([k.most for k in node.kids] or [0])
+            parts = {c for _, _, c in node.ends}.union(*[k.parts or (None, 0) for k in node.kids])
+            node.parts = parts if len(parts) == 1 and None not in parts else None
 
     def walk(self, hashes: set, rank: dict, size: int, component, same, found) -> None:
         """found(member, component) for every set that links with the walker's; same(a, b): already one component."""
@@ -244,20 +253,41 @@ def _walk(trie: Trie, kept: bytes, size: int, component, same, found) -> None:
     trie.walk(own, {h: i for i, h in enumerate(own)}, size, component, same, found)
 
 
+def _hot(keys: DataFrame) -> DataFrame | None:
+    """The keys (of which there is at most one to BLOCK rows), if there are any and few enough to be broadcast."""
+    return keys if 0 < keys.limit(BROADCAST + 1).count() <= BROADCAST else None
+
+
+def _spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join with right, which has one row a key.  Rows of hot keys get theirs by broadcast and stay where they are.
+
+    Without hot keys, or with too many, it is a plain join, which adaptive execution may split.
+    """
+    if hot is None:
+        return left.join(right, key)
+    few = F.broadcast(right.join(F.broadcast(hot), key))
+    return left.join(F.broadcast(hot), key, "left_anti").join(right, key).unionByName(left.join(few, key))
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(v, c) for every vertex of edges (a, b): c is the smallest vertex that it is connected with.
 
-    Each round takes the smallest label among a vertex and its neighbours, then the label's own label.
+    Each round takes the smallest label among a vertex and its neighbours, then the label's own label.  Vertices with more
+    than BLOCK neighbours, and labels that more than BLOCK vertices bear, are hot keys of these joins.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    now = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c"), F.lit(True).alias("moved")), f"{label}-labels")
+    now = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c"), F.lit(True).alias("moved"), F.count("*").alias("degree")), f"{label}-labels")
+    hubs = now.where(F.col("degree") > BLOCK).select(F.col("v").alias("b"))
     while now.where("moved").limit(1).count():
-        heard = both.join(now.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("near"))
-        step = now.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        heard = _spread_join(both, now.select(F.col("v").alias("b"), "c"), "b", _hot(hubs)).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("near"))
+        step = now.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"), "degree")
         jump = now.select(F.col("v").alias("c"), F.col("c").alias("far"))
-        new = materialise(step.join(jump, "c", "left").select("v", F.least("c", F.coalesce("far", "c")).alias("c"), "old").select("v", "c", (F.col("c") != F.col("old")).alias("moved")), f"{label}-labels")
+        common = now.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 4).select("c")
+        moved = _spread_join(step, jump, "c", _hot(common)).select("v", F.least("c", "far").alias("c"), "old", "degree")
+        new = materialise(moved.select("v", "c", (F.col("c") != F.col("old")).alias("moved"), "degree"), f"{label}-labels")
         release(now)
         now = new
+        hubs = now.where(F.col("degree") > BLOCK).select(F.col("v").alias("b"))
     release(both)
     return now.select("v", "c")
 
@@ -281,14 +311,20 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
 
 def _star_links(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Exact links (a, b) between nodes and the centres of the lists they are in."""
-    centres = prefixes.groupBy("t").agg(F.min(F.struct("n", "node")).alias("lo"), F.max(F.struct("n", "node")).alias("hi")).where("lo != hi")
+    centres = materialise(prefixes.groupBy("t").agg(F.min(F.struct("n", "node")).alias("lo"), F.max(F.struct("n", "node")).alias("hi"), F.count("*").alias("many")).where("lo != hi"), "jaccard-centres")
     near = lambda c: (F.col("node") != F.col(f"{c}.node")) & (100 * F.least("n", f"{c}.n") >= 75 * F.greatest("n", f"{c}.n"))
-    pairs = prefixes.join(centres, "t").select("node", F.explode(F.array_compact(F.array(F.when(near("lo"), F.col("lo.node")), F.when(near("hi"), F.col("hi.node"))))).alias("centre")).distinct()
-    many = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    met = _spread_join(prefixes, centres.drop("many"), "t", _hot(centres.where(F.col("many") > BLOCK).select("t")))
+    pairs = materialise(met.select("node", F.explode(F.array_compact(F.array(F.when(near("lo"), F.col("lo.node")), F.when(near("hi"), F.col("hi.node"))))).alias("centre")).distinct(), "jaccard-pairs")
+    many = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    blocks = _hot(many)
+    if blocks is None:  # none, or too many to be broadcast
+        salted = pairs.join(many, "centre", "left")
+    else:
+        salted = pairs.join(F.broadcast(blocks), "centre", "left")
+    salted = salted.select("centre", "node", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).alias("salt"))
     member = nodes.select("node", "n", "kept")
     centre = nodes.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("kept").alias("own"))
     # the centre's set goes along once in each block, as a row of its own
-    salted = pairs.join(many, "centre").select("centre", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("salt"))
     rows = salted.join(member, "node").select("centre", "salt", "node", "n", "kept")
     heads = salted.select("centre", "salt").distinct().join(centre, "centre").select("centre", "salt", F.col("centre").alias("node"), F.col("m").alias("n"), F.col("own").alias("kept"))
 
@@ -306,16 +342,31 @@ def _star_links(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def _rest_links(nodes: DataFrame, prefixes: DataFrame, joined: DataFrame) -> DataFrame:
     """Links (a, b) that connect different components of `joined` (v, c); enough of them to connect all that are linked."""
-    known = prefixes.join(joined.select(F.col("v").alias("node"), "c"), "node", "left").select("t", "node", F.coalesce("c", "node").alias("c"))
-    mixed = known.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("first")).where("lo != hi")
-    ties = materialise(known.join(mixed.select("t", "first"), "t").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-ties")
+    known = materialise(prefixes.join(joined.select(F.col("v").alias("node"), "c"), "node", "left").select("t", "node", F.coalesce("c", "node").alias("c")), "jaccard-known")
+    mixed = materialise(known.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("first"), F.count("*").alias("many")).where("lo != hi"), "jaccard-mixed")
+    hot = _hot(mixed.where(F.col("many") > BLOCK).select("t"))
+    ties = materialise(_spread_join(known.select("t", "node"), mixed.select("t", "first"), "t", hot).where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-ties")
+    release(known)
+    release(mixed)
     cluster = components(ties, "jaccard-clusters")
+    release(ties)
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int").alias("size")
     inside = nodes.join(cluster.select(F.col("v").alias("node"), F.col("c").alias("cluster")), "node").join(joined.select(F.col("v").alias("node"), "c"), "node", "left")
-    # clusters in blocks of BLOCK nodes; each pair of blocks is one task, and most clusters are a single block
-    size = cluster.groupBy(F.col("c").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = inside.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    copies = placed.select("cluster", "block", other, "node", "n", "kept", F.coalesce("c", "node").alias("c"))
+    inside = materialise(inside.select("cluster", size, "node", "n", "kept", F.coalesce("c", "node").alias("c")), "jaccard-inside")
+    # Most clusters are one block.  Large ones are split by the sets' sizes and into blocks of BLOCK nodes; each pair of
+    # blocks of the same or neighbouring sizes is one task.
+    large = inside.groupBy("cluster").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK).select("cluster")
+    if large.limit(1).count():
+        spot = lambda s, b: F.col(s) * (1 << 24) + F.col(b)
+        parts = materialise(inside.join(large, "cluster", "left_semi").groupBy("cluster", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
+        codes = parts.select("cluster", F.col("size").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select("cluster", "s", spot("s", "b").alias("code"))
+        partners = parts.join(codes, "cluster").where(F.abs(F.col("size") - F.col("s")) <= 1).groupBy("cluster", "size", "blocks").agg(F.collect_list("code").alias("others"))
+        few = parts.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0] <= BROADCAST
+        placed = inside.join(F.broadcast(partners) if few else partners, ["cluster", "size"], "left").withColumn("b", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        own = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(spot("size", "b")).alias("block")
+        copies = placed.select("cluster", own, F.explode(F.coalesce("others", F.array(F.lit(0)))).alias("other"), "node", "n", "kept", "c")
+    else:
+        copies = inside.select("cluster", F.lit(0).alias("block"), F.lit(0).alias("other"), "node", "n", "kept", "c")
     copies = copies.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "kept", "c")
 
     def links(key, table):
@@ -353,17 +404,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fit = rows.where(F.col("kept").isNotNull())
     whole = F.octet_length("kept") == 8 * F.col("n")
     fit = fit.withColumn("node", F.when(whole, F.xxhash64(F.lit(1), "kept")).otherwise(F.xxhash64(F.lit(2), "rid")))
-    nodes = materialise(fit.groupBy("node").agg(F.first("n").alias("n"), F.first("kept").alias("kept")), "jaccard-nodes")
+    nodes = materialise(fit.groupBy("node").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.min("id").alias("low"), F.count("*").alias("rows")), "jaccard-nodes")
     prefixes = materialise(_prefixes(nodes), "jaccard-prefixes")
     stars = materialise(_star_links(nodes, prefixes), "jaccard-stars")
     joined = components(stars, "jaccard-stars")
     rest = materialise(_rest_links(nodes, prefixes, joined), "jaccard-rest")
-    final = components(stars.union(rest), "jaccard-final")
     release(prefixes)
+    release(joined)
+    final = components(stars.union(rest), "jaccard-final")
+    release(stars)
+    release(rest)
+    labels = nodes.select("node", "low", "rows").join(final.select(F.col("v").alias("node"), "c"), "node", "left")
+    labels = materialise(labels.select("node", "low", "rows", F.coalesce("c", "node").alias("c")), "jaccard-components")
+    release(final)
     release(nodes)
-    own = fit.select("rid", "id", "n", "node").join(final.select(F.col("v").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    first = own.groupBy("c").agg(F.min("id").alias("component_id"))
-    linked = own.join(first, "c").select("rid", "id", "n", "component_id")
+    first = labels.groupBy("c").agg(F.min("low").alias("component_id"), F.count("*").alias("many"))
+    own = _spread_join(labels.select("node", "c"), first.drop("many"), "c", _hot(first.where(F.col("many") > BLOCK).select("c"))).select("node", "component_id")
+    linked = _spread_join(fit.select("rid", "id", "n", "node"), own, "node", _hot(labels.where(F.col("rows") > BLOCK).select("node"))).select("rid", "id", "n", "component_id")
     alone = rows.where(F.col("kept").isNull()).select("rid", "id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("rid"), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
@@ -380,5 +437,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep = ranked.where((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
     group = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("rid")).otherwise(F.xxhash64("component_id"))
     chosen = keep.groupBy(group.alias("g")).agg(F.min("rid").alias("rid")).select("rid")
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(chosen.withColumnRenamed("rid", "__rid"), "__rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row's number goes beside a struct of the row, so no column's name can clash with it
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return numbered.join(chosen, "rid", "left_semi").select("row.*")
