@@ -315,7 +315,7 @@ def _star_links(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
     near = lambda c: (F.col("node") != F.col(f"{c}.node")) & (100 * F.least("n", f"{c}.n") >= 75 * F.greatest("n", f"{c}.n"))
     met = _spread_join(prefixes, centres.drop("many"), "t", _hot(centres.where(F.col("many") > BLOCK).select("t")))
     pairs = materialise(met.select("node", F.explode(F.array_compact(F.array(F.when(near("lo"), F.col("lo.node")), F.when(near("hi"), F.col("hi.node"))))).alias("centre")).distinct(), "jaccard-pairs")
-    many = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    many = pairs.groupBy("centre").agg(F.ceil(F.count("*") / (BLOCK // 4)).alias("blocks")).where("blocks > 1")
     blocks = _hot(many)
     if blocks is None:  # none, or too many to be broadcast
         salted = pairs.join(many, "centre", "left")
@@ -337,7 +337,10 @@ def _star_links(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
                 _walk(trie, k, n, None, None, lambda m, c: out.append(m))
         return pa.table({"a": pa.array([hub] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    return rows.union(heads).groupBy("centre", "salt").applyInArrow(links, "a long, b long")
+    stars = materialise(rows.union(heads).groupBy("centre", "salt").applyInArrow(links, "a long, b long"), "jaccard-stars")
+    release(centres)
+    release(pairs)
+    return stars
 
 
 def _rest_links(nodes: DataFrame, prefixes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -356,7 +359,8 @@ def _rest_links(nodes: DataFrame, prefixes: DataFrame, joined: DataFrame) -> Dat
     # Most clusters are one block.  Large ones are split by the sets' sizes and into blocks of BLOCK nodes; each pair of
     # blocks of the same or neighbouring sizes is one task.
     large = inside.groupBy("cluster").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK).select("cluster")
-    if large.limit(1).count():
+    if (n := large.limit(BROADCAST + 1).count()) > 0:
+        large = F.broadcast(large) if n <= BROADCAST else large
         spot = lambda s, b: F.col(s) * (1 << 24) + F.col(b)
         parts = materialise(inside.join(large, "cluster", "left_semi").groupBy("cluster", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
         codes = parts.select("cluster", F.col("size").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select("cluster", "s", spot("s", "b").alias("code"))
@@ -395,7 +399,9 @@ def _rest_links(nodes: DataFrame, prefixes: DataFrame, joined: DataFrame) -> Dat
             _walk(trie, kept, n, c, lambda x, y: find(x) == find(y), found)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return copies.groupBy("cluster", "i", "j").applyInArrow(links, "a long, b long")
+    rest = materialise(copies.groupBy("cluster", "i", "j").applyInArrow(links, "a long, b long"), "jaccard-rest")
+    release(inside)
+    return rest
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,10 +411,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.octet_length("kept") == 8 * F.col("n")
     fit = fit.withColumn("node", F.when(whole, F.xxhash64(F.lit(1), "kept")).otherwise(F.xxhash64(F.lit(2), "rid")))
     nodes = materialise(fit.groupBy("node").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.min("id").alias("low"), F.count("*").alias("rows")), "jaccard-nodes")
+    slim = materialise(fit.select("rid", "id", "n", "node").union(rows.where(F.col("kept").isNull()).select("rid", "id", "n", F.lit(None).cast("long"))), "jaccard-rows")
+    release(rows)  # the nodes have the sets now
     prefixes = materialise(_prefixes(nodes), "jaccard-prefixes")
-    stars = materialise(_star_links(nodes, prefixes), "jaccard-stars")
+    stars = _star_links(nodes, prefixes)
     joined = components(stars, "jaccard-stars")
-    rest = materialise(_rest_links(nodes, prefixes, joined), "jaccard-rest")
+    rest = _rest_links(nodes, prefixes, joined)
     release(prefixes)
     release(joined)
     final = components(stars.union(rest), "jaccard-final")
@@ -420,8 +428,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(nodes)
     first = labels.groupBy("c").agg(F.min("low").alias("component_id"), F.count("*").alias("many"))
     own = _spread_join(labels.select("node", "c"), first.drop("many"), "c", _hot(first.where(F.col("many") > BLOCK).select("c"))).select("node", "component_id")
-    linked = _spread_join(fit.select("rid", "id", "n", "node"), own, "node", _hot(labels.where(F.col("rows") > BLOCK).select("node"))).select("rid", "id", "n", "component_id")
-    alone = rows.where(F.col("kept").isNull()).select("rid", "id", "n", F.col("id").alias("component_id"))
+    linked = _spread_join(slim.where(F.col("node").isNotNull()), own, "node", _hot(labels.where(F.col("rows") > BLOCK).select("node"))).select("rid", "id", "n", "component_id")
+    alone = slim.where(F.col("node").isNull()).select("rid", "id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("rid"), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
