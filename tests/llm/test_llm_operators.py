@@ -52,6 +52,9 @@ def test_preferences_share_the_longest_prefix(spark):
     assert out[1]["prompt_turns"] == 2 and out[1]["chosen"] == out[1]["rejected"] == "" and out[1]["chosen_mask"] == ""
     assert out[2]["rejected"] is None and out[2]["rejected_mask"] is None and out[2]["prompt"] == ""
     assert chat_format.format_preferences(*chat_format.pair_neighbours(df.limit(0))).count() == 0
+    large = spark.createDataFrame([(i, 0, "user", "x" * 200_000) for i in (2**53 + 2, 2**53 + 3, -2, -1)], "conv_id long, turn long, role string, text string")
+    out = {r["pair_id"]: r for r in chat_format.format_preferences(*chat_format.pair_neighbours(large)).collect()}
+    assert set(out) == {2**52 + 1, -1} and all(r["prompt_turns"] == 1 and r["chosen"] == r["rejected"] == "" for r in out.values())
 
 
 def test_url_rules_against_brute_force(spark):
@@ -189,6 +192,7 @@ def test_neighbours_equal_brute_force(spark):
         want = np.lexsort((np.arange(1500), -s))[:20]
         ids = [i for i, _ in got[q]]
         assert len(set(ids)) == 20 and all(abs(v - s[i]) < 1e-9 for i, v in got[q])
+        assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))  # equal vectors have equal scores and go by their ids
         hit += len(set(ids) & set(want.tolist()))
     assert hit / (75 * 20) >= 0.9 and set(got) == set(range(0, 1500, 20))
     assert ann.search(df.limit(0), F.pmod("id", F.lit(20)) == 0, 20).count() == 0
@@ -451,7 +455,7 @@ def test_lm_learns_from_all_of_a_long_text(spark, monkeypatch):
     assert any("zebra" in t for t in seen) and "a short one" in seen and max(map(len, seen)) <= 20_000
 
 
-def test_all_pairs_of_ids_are_held(spark):
+def test_all_pairs_of_ids_are_counted(spark):
     import public_tokenizers
 
     r = np.random.default_rng(1)
@@ -459,21 +463,60 @@ def test_all_pairs_of_ids_are_held(spark):
     counts = r.integers(1, 1000, len(keys))
     table = lm_score.PairTable(keys, counts, 10)  # a fifth of them have a place at most
     assert (table.of(keys) == counts).all() and (table.of(keys + (1 << 41)) == 0).all()
-    assert dict(zip(*(x.tolist() for x in table.held()), strict=True)) == dict(zip(keys.tolist(), counts.tolist(), strict=True))
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = (f.read(), public_tokenizers.PATTERN)
     coder = lm_score.Subwords(*ranks)
-    # one id before 40,000 others, all in one part of the old split, which kept 16,384 of a part
-    ends = [i for i in range(coder.end) if coder.spaced[i] and (t := coder.encoder.decode_single_token_bytes(i)).isascii() and t[1:].isalpha()]
-    pairs = collections.Counter()
-    texts = ["".join(coder.encoder.decode([ends[0], i]) for i in ends[a : a + 500]) for a in range(0, len(ends), 500)]
+    n, kind = coder.end + 1, np.arange(coder.end + 1) % lm_score.CLASSES
+    texts = [prose(60, i) for i in range(40)] + ["", "a a a"]
+    pairs, words = collections.Counter(), collections.Counter(w for t in texts for w in words_of(t))
     for t in texts:
         own = [coder.end, *coder.ids(t).tolist(), coder.end]
         pairs.update(zip(own[:-1], own[1:], strict=True))
-    assert max(collections.Counter(a % 64 for a, _ in pairs).values()) > 16_384
-    held = lm_score._counts(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, np.zeros(coder.end + 1, np.int16), {})[4]
-    both = np.array(list(pairs), np.int64)
-    assert (held.of(both[:, 0] * (coder.end + 1) + both[:, 1]) == np.array(list(pairs.values()))).all()
+    head = {w: i for i, w in enumerate(sorted(words)[::2])}
+    counted = lm_score._counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), ranks, head)
+    rows = {r["key"]: r["n"] for r in counted.collect()}
+    assert rows == {a * n + b: c for (a, b), c in pairs.items()} | {-1 - i: words[w] for w, i in head.items()} | {lm_score.ROWS: len(texts)}
+    for most in (1 << 20, 50):  # all of them, and a few of them in the table: the sums are over all in either case
+        table, after, ids, more = lm_score._pair_tables(counted, kind, most)
+        assert more == (most == 50) and ids[coder.end] == len(texts) and ids.sum() == sum(pairs.values())
+        assert after.sum() == sum(pairs.values()) and all(after[a, kind[b]] >= c for (a, b), c in pairs.items())
+        held = {k: c for k, c in ((a * n + b, c) for (a, b), c in pairs.items()) if table.of(np.array([k]))[0] == c}
+        assert len(held) == min(most, len(pairs)) and min(held.values()) >= sorted(pairs.values())[-len(held)]
+
+
+def test_scores_do_not_depend_on_the_size_of_the_pair_table(spark, docs):
+    import public_tokenizers
+
+    extra = docs.unionByName(spark.createDataFrame([(100 + i, prose(60, i % 40), *[None] * 7) for i in range(60)], DOC))
+    run = lambda **o: sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 9), r["score"]) for r in lm_score.score_documents(extra, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, **o).collect())
+    whole, part = run(), run(most_pairs=30)
+    assert [x[:3] for x in whole] == [x[:3] for x in part]
+    assert np.allclose([x[3] for x in whole], [x[3] for x in part], rtol=1e-5)
+
+
+def test_attention_gradients_equal_differences():
+    r = np.random.default_rng(7)
+    n, f = 30, lambda *s: r.normal(0, 0.3, s)
+    w, h, c = lm_score.WIDTH, lm_score.HEAD, lm_score.CLASSES
+    p = {"e": f(n, w), "q": f(w, h), "k": f(w, h), "v": f(w, h), "o": f(h, c), "b": f(lm_score.KEYS)}
+    x, y, first, valid, _ = lm_score.blocks([r.integers(0, n - 1, k).astype(np.int32) for k in (5, 40, 17)], n - 1)
+    at = np.arange(len(x))
+    seen = np.concatenate([x[np.maximum(at - 1, 0), lm_score.STRIDE - lm_score.PAST :], x], axis=1)
+    goal, table = r.integers(0, c, y.shape), f(n, c)
+    loss = lambda: lm_score.gradients(p, x, seen, goal, first, valid, table)[0]
+    _, g, rows, sums = lm_score.gradients(p, x, seen, goal, first, valid, table)
+    g["e"] = np.zeros_like(p["e"])
+    g["e"][rows] = sums
+    for name, own in p.items():
+        for _ in range(12):
+            i = tuple(r.integers(0, d) for d in own.shape)
+            kept = own[i]
+            own[i] = kept + 1e-5
+            up = loss()
+            own[i] = kept - 1e-5
+            down = loss()
+            own[i] = kept
+            assert abs((up - down) / 2e-5 - g[name][i]) < 1e-6, (name, i)
 
 
 def test_attention_sees_no_later_id_and_no_other_text():
@@ -482,8 +525,11 @@ def test_attention_sees_no_later_id_and_no_other_text():
     f = lambda *s: r.normal(0, 0.4, s).astype(np.float32)
     kind = r.integers(0, lm_score.CLASSES, n).astype(np.int64)
     inside = np.ones(n, np.float32) / np.bincount(kind, minlength=lm_score.CLASSES)[kind]
-    pairs = lm_score.PairTable(np.empty(0, np.int64), np.empty(0), 4)
-    model = lm_score.Model(kind, inside, f(n, lm_score.CLASSES), f(n, lm_score.HEAD), f(n, lm_score.HEAD), np.column_stack([f(n, lm_score.HEAD), np.ones(n, np.float32)]), f(lm_score.HEAD, lm_score.CLASSES), f(lm_score.KEYS)[lm_score.GAP] + lm_score.LATER, n - 1, pairs, np.zeros((n, lm_score.CLASSES), np.float32))
+    count = r.integers(0, 4, (n, n)) * (r.random((n, n)) < 0.3)
+    keys = np.flatnonzero(count.ravel())
+    pairs = lm_score.PairTable(keys, count.ravel()[keys], 11)
+    after = np.stack([np.bincount(kind, row, lm_score.CLASSES) for row in count]).astype(np.float32)
+    model = lm_score.Model(kind, inside, f(n, lm_score.CLASSES), f(n, lm_score.HEAD), f(n, lm_score.HEAD), np.column_stack([f(n, lm_score.HEAD), np.ones(n, np.float32)]), f(lm_score.HEAD, lm_score.CLASSES), f(lm_score.KEYS)[lm_score.GAP] + lm_score.LATER, n - 1, pairs, after)
     texts = [r.integers(0, n - 1, k).astype(np.int32) for k in (0, 1, 15, 16, 17, 50, 400)]
     together = model.score(texts)
     assert np.allclose(together, [model.score([t])[0] for t in texts], rtol=1e-4)
@@ -495,7 +541,7 @@ def test_attention_sees_no_later_id_and_no_other_text():
             s = np.array([model.q[x[i]] @ model.k[x[j]] + model.near[i % lm_score.STRIDE, j - (i // lm_score.STRIDE * lm_score.STRIDE - lm_score.PAST)] for j in range(lo, i + 1)])
             p = np.exp(s - s.max())
             z = (p[:, None] * model.v[[x[j] for j in range(lo, i + 1)], :-1]).sum(0) / p.sum() @ model.out + model.table[x[i]]
-            total += z[kind[y[i]]] - np.log(np.exp(z).sum()) + np.log(inside[y[i]])
+            total += z[kind[y[i]]] - np.log(np.exp(z).sum()) + np.log((count[x[i], y[i]] + lm_score.PRIOR * inside[y[i]]) / (after[x[i], kind[y[i]]] + lm_score.PRIOR))
         return total / np.log(10)
 
     assert np.allclose(together, [slow(t) for t in texts], rtol=1e-4)
