@@ -415,8 +415,8 @@ def test_latent_range_covers_all_passages(spark, monkeypatch):
     decontaminate._add_range(got, owns, scale, scale[:, None] * test)
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
     # more texts than the old sample of 4,000; all of them are in the sum
-    seen, qr = [], np.linalg.qr
-    monkeypatch.setattr(np.linalg, "qr", lambda y: (seen.append(y), qr(y))[1])
+    seen, leading = [], decontaminate.leading
+    monkeypatch.setattr(decontaminate, "leading", lambda y, test, rank: (seen.append(y), leading(y, test, rank))[1])
     words = [f"w{i}" for i in range(9000)]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
     decontaminate.fit_space(df, spark.createDataFrame([(0, " ".join(words)), (1, "other words")], "item_id long, text string"))
@@ -424,6 +424,50 @@ def test_latent_range_covers_all_passages(spark, monkeypatch):
     assert len(np.unique(seen[0][:9000].round(12), axis=0)) == 9000
 
 
+def test_latent_vectors_equal_a_dense_svd():
+    r = np.random.default_rng(3)
+    a = r.standard_normal((300, 60)) @ np.diag(0.7 ** np.arange(60)) @ np.linalg.qr(r.standard_normal((60, 60)))[0]
+    test = r.standard_normal((60, 28))
+    size, vectors = decontaminate.leading(a.T @ (a @ test), test, 12)
+    _, want, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(size[:8], want[:8], rtol=1e-3)
+    assert np.allclose(np.abs((vectors[:, :8] * right[:8].T).sum(axis=0)), 1, atol=1e-3)  # the same directions
+    assert vectors.shape == (60, 12) and np.allclose(vectors.T @ vectors, np.eye(12), atol=1e-8)
+    assert decontaminate.leading(np.zeros((5, 3)), r.standard_normal((5, 3)), 2)[1].shape[1] <= 2
+
+
+def test_leaks_equal_a_comparison_of_all_passages_with_all_items(spark):
+    """Candidates that the latent space leaves out would not have been confirmed either."""
+    r = random.Random(21)
+    words = prose(400, 50).split()
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    items = [text(r.randint(12, 50)) for _ in range(60)]
+    rows = []
+    for i in range(240):
+        own = list(items[i % 60])
+        for _ in range(r.choice([0, 1, 2, 4])):
+            own[r.randrange(len(own))] = r.choice(words)
+        rows.append((i, " ".join(text(r.randint(0, 80)) + (own if i % 3 else []) + text(r.randint(5, 80)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    space = decontaminate.fit_space(df, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    assert (np.diff(space.singular) <= 0).all() and space.basis.shape[1] == len(space.singular)
+    want = set()
+    for i, t in rows:
+        own = space.numbers(t)
+        for at in range(len(items)):
+            if any(space.confirm(at, own, w) for w in range(max(1, -(-len(own) // decontaminate.STRIDE) - 1))):
+                want.add((i, at))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(df, space).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and {(i, i % 60) for i in range(240) if i % 3 and " ".join(items[i % 60]) in rows[i][1]} <= got
+
+
+def test_many_items_need_no_matrix_of_items_by_words(spark, docs):
+    items = [(i, f"w{i} x{i % 997} y{i % 1009} tail") for i in range(25_000)]
+    df = spark.createDataFrame([(0, f"so {items[24_999][1]} then"), (1, "nothing here")], "doc_id long, text string")
+    space = decontaminate.fit_space(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, space).collect()] == [(0, 24_999)]
+
+
 def test_lm_base_score_and_model(spark, docs, empty):
     import public_tokenizers
 

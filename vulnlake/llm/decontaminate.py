@@ -2,9 +2,10 @@
 
 Passages are windows of 32 words, 16 apart, over whole texts.  Their TF-IDF vectors are over the benchmark's words
 (document frequencies are counted over all texts).  A randomised SVD gives the latent space: every task multiplies its
-passages' matrix A with a random test matrix and back, the sums A'(A O) are added up across tasks, and their orthonormal
-basis spans the leading right singular vectors.  The space is fitted on all passages of all texts and on all items; all
-passages are then projected and compared with all items, in blocks of items.
+passages' matrix A with a random test matrix O and back, the sums Y = A'(A O) are added up across tasks, and the small
+factorisation of Y and O'Y (no second pass over the texts) gives the leading singular values and right singular vectors,
+of which `rank` are kept.  The space is fitted on all passages of all texts and on all items; all passages are then
+projected and compared with all items, in blocks of items.
 
 A passage whose cosine with an item reaches `cosine` (less for items of fewer than 15 words, which fill less of a window), and which reaches far enough along the item's direction to hold
 about half of it (`reach`), is a candidate.  Around a candidate the item must be found again:
@@ -53,6 +54,7 @@ class Space:
     items: list[tuple[int, list[int]]]  # item id, word numbers
     basis: np.ndarray = None  # (words + 1) x rank, idf included; the last row, of unknown words, is 0
     latent: np.ndarray = None  # items x rank, unit length
+    singular: np.ndarray = None  # singular values, largest first
     masks: list[dict[int, int]] = field(default_factory=list)
     lengths: np.ndarray = None  # how far along an item's direction a passage has to reach
     cosines: np.ndarray = None  # and how near it
@@ -216,6 +218,27 @@ def _add_range(total: np.ndarray, owns: list[np.ndarray], scale: np.ndarray, wei
     total[own[cuts]] += scale[own[cuts], None] * np.add.reduceat(back[half], cuts, axis=0)
 
 
+#: Columns of the test matrix besides the rank, which make the leading vectors more exact.
+OVERSAMPLE = 8
+
+
+def leading(y: np.ndarray, test: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading singular values and right singular vectors of A from y = A'A O and the test matrix O.
+
+    Nystrom's approximation of A'A, y (O'y)^-1 y', factored; a small shift keeps the inverse stable.
+    """
+    shift = 1e-7 * max(np.linalg.norm(y), 1e-30)
+    y = y + shift * test
+    small = test.T @ y
+    value, vector = np.linalg.eigh((small + small.T) / 2)
+    kept = value > 1e-10 * max(value.max(initial=0.0), 1e-30)
+    half = y @ (vector[:, kept] / np.sqrt(value[kept]))
+    left, size, _ = np.linalg.svd(half, full_matrices=False)
+    size = np.sqrt(np.maximum(size**2 - shift, 0))
+    rank = min(rank, int((size > 1e-6 * max(size.max(initial=0.0), 1e-30)).sum()))
+    return size[:rank], left[:, :rank]
+
+
 def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, text_col: str = "text", item_col: str = "item_id") -> Space:
     """The latent space for one corpus and benchmark."""
     spark = docs.sparkSession
@@ -241,7 +264,8 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, text_col: s
         df[w] = n
     idf = np.log((df[v] + 1) / (df[:v] + 1)) + 0.1
     rank = min(max(rank, int(4 * np.sqrt(len(space.items)))), v, len(space.items))
-    test = np.random.default_rng(7).standard_normal((v + 1, rank)).astype(np.float32)
+    columns = min(rank + OVERSAMPLE, v)
+    test = np.random.default_rng(7).standard_normal((v + 1, columns)).astype(np.float32)
     scale = np.append(idf, 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast((scale, test))
     def ranges(batches):
@@ -249,23 +273,23 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = 64, text_col: s
         weighted = scale[:, None] * test
         total = np.zeros(test.shape)
         for batch in batches:
-            for _, part in slices(batch.column(0), max(20_000, 16_000_000 // rank)):
+            for _, part in slices(batch.column(0), max(20_000, 16_000_000 // columns)):
                 _add_range(total, [sent.value.numbers(t) for t in part], scale, weighted)
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["w", "y"])
 
-    summed = texts.mapInArrow(ranges, "w long, y array<double>").select("w", *[F.col("y")[i].alias(f"y{i}") for i in range(rank)]).groupBy("w").agg(*[F.sum(f"y{i}").alias(f"y{i}") for i in range(rank)])
-    y = np.zeros((v, rank))
+    summed = texts.mapInArrow(ranges, "w long, y array<double>").select("w", *[F.col("y")[i].alias(f"y{i}") for i in range(columns)]).groupBy("w").agg(*[F.sum(f"y{i}").alias(f"y{i}") for i in range(columns)])
+    y = np.zeros((v, columns))
     for row in summed.collect():  # at most one row a word of the benchmark
         y[row[0]] = row[1:]
     # the items are passages too, so the basis spans them even where no text has their words
-    own = np.zeros((v, rank))
+    own = np.zeros((v, columns))
     for _, words in space.items:
         w, tf = np.unique(words, return_counts=True)
         a = tf * idf[w]
         own[w] += a[:, None] * (a @ test[w] / (a @ a))
     y = y / max(np.linalg.norm(y), 1e-9) + own / max(np.linalg.norm(own), 1e-9)
-    basis, _ = np.linalg.qr(y)
+    space.singular, basis = leading(y, test[:v].astype(np.float64), rank)
     space.basis = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
     latent = np.array([space.basis[words].sum(axis=0) for _, words in space.items])
     length = np.linalg.norm(latent, axis=1)
