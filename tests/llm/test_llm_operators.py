@@ -243,6 +243,32 @@ def test_probes_come_in_the_order_of_their_cost(m):
     assert len(want) == 5**m and np.allclose(got, sorted(want.values())[: len(got)])
 
 
+@pytest.mark.parametrize("range_bytes", [300, 1 << 30])
+def test_shards_equal_sorted_prefix_sums(spark, range_bytes):
+    """All keys sorted on the driver, and the middle of each record's bytes."""
+    rows = [(i if i % 11 else None, "same text" if i % 3 else prose(i % 40, i % 500)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("r", F.lit(1)).withColumn("before", F.lit(2)).repartition(4)
+    keys = df.select(F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("doc_id", F.lit(-(2**63))), F.monotonically_increasing_id(), F.octet_length("text") + 8).collect()
+    total, ahead, want = sum(k[3] for k in keys), 0, collections.defaultdict(list)
+    for k, d, p, size in sorted(map(tuple, keys)):
+        shard = min(int((ahead + size - size / 2) * 7 / total), 6)
+        want[shard].append((d, size))
+        ahead += size
+    got = collections.defaultdict(list)
+    for r in sorted(sharding.assign_shards(df, 7, range_bytes=range_bytes).collect(), key=lambda r: r["slot"]):
+        got[r["shard"]].append((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["size"]))
+    assert got == want
+
+
+def test_boundaries_are_counted_through_all_levels(spark):
+    r = random.Random(5)
+    bounds = sorted({(r.randint(0, 50), r.randint(0, 9), r.randint(0, 9)) for _ in range(2500)})
+    rows = [(r.randint(-1, 51), r.randint(0, 9), r.randint(0, 9)) for _ in range(400)] + bounds[:50]
+    df = spark.createDataFrame(rows, "k long, d long, p long")
+    for some in (bounds, bounds[:1], bounds[:32], bounds[:33], []):
+        assert all(x["r"] == sum(b <= (x["k"], x["d"], x["p"]) for b in some) for x in sharding._ranged(df, some).collect())
+
+
 def test_shards_are_even_and_gapless(spark, docs, empty):
     for df, shards in ((docs, 3), (spark.createDataFrame([(i, "same text" if i % 3 else prose(i % 50, i)) for i in range(3000)], "doc_id long, text string"), 24)):
         out = sharding.assign_shards(df, shards).collect()
@@ -621,3 +647,34 @@ def test_pipeline_applies_its_decisions(spark, tmp_path):
     first = {ids[c] for _, c in classes.values()}
     assert out == {i for i in first if item not in texts[i]}
     assert 9000 not in out and not any(i >= 5000 for i in out) and len(out) > 100
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    own, labels = labelled(spark, 200)
+    odd = own.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    more = [(None, prose(40, 1), None, None, None), (7000, None, None, None, None), (7001, "", "en", "s", 0), (7001, "", "en", "s", 0), (7002, "  ", "en", "s", 0), (7003, ". ".join([prose(9, i) for i in range(2500)]), "en", "s", 0)]
+    item = spark.createDataFrame([(None, None), (1, ""), (2, None)], "item_id long, text string")
+    tables = {
+        "empty": (spark.createDataFrame([], kind), labels, item),
+        "no_labels": (odd, labels.limit(0), item.limit(0)),
+        "odd": (odd.unionByName(spark.createDataFrame(more, kind)), labels, item),
+    }
+    for name, (docs, marks, bench) in tables.items():
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = {name: corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect() for name in tables}
+    assert out["empty"] == []
+    assert {r["doc_id"] for r in out["no_labels"]} == {r["doc_id"] for r in odd.collect()}  # nothing to learn from rejects nothing; no two texts are alike
+    found = collections.Counter(r["doc_id"] for r in out["odd"])
+    assert set(found) <= set(range(200)) | {None, 7000, 7001, 7002, 7003} and all(len(r["ids_sha256"]) == 64 for r in out["odd"])
+    assert found[7003] == 1 and max(found.values()) <= 2
+
+
+def test_rules_and_conversations_of_great_length(spark):
+    path = "/es/" + "x" * 300_000
+    df = spark.createDataFrame([(1, "http://example.org" + path), (2, "http://" + "a." * 50_000 + "example.org/es/")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, [url_filter.parse_rule(x) for x in URL_RULES]).collect()}
+    assert {r["rule"] for r in got.values()} == {"example.org/es/"} and got[1]["path"] == path

@@ -14,44 +14,48 @@ sort first; repeated rows are separate records; an empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.llm.common import materialise
+from vulnlake.llm.common import materialise, release
 
-#: Boundaries are searched in two levels of about this many.
-FAN = 24
+#: Boundaries are searched in levels of about this many.
+FAN = 32
 
 
-def _at_most(bounds: list[tuple], point: Column) -> Column:
-    """How many of the sorted boundaries are at or before the point."""
+def _levels(bounds: list[tuple]) -> list[list]:
+    """Sorted boundaries as levels of groups of FAN, the coarsest first; a coarser level has the last one of each group."""
+    levels, now = [], bounds
+    while True:
+        groups = [now[i : i + FAN] for i in range(0, len(now), FAN)] or [[]]
+        levels.insert(0, groups)
+        if len(groups) == 1:
+            return levels
+        now = [g[-1] for g in groups]
 
-    def literal(rows: list[tuple]) -> str:
-        items = ", ".join(f"named_struct('k', {_long(a)}, 'd', {_long(b)}, 'p', {_long(c)})" for a, b, c in rows)
-        return f"array({items})"
 
-    if not bounds:
-        return F.lit(0)
-    coarse = bounds[FAN - 1 :: FAN]
-    groups = [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)]
-    if len(groups) == len(coarse):
-        groups.append(bounds[-1:])  # never counted twice: its index is the number of whole groups
-    count = lambda array: F.size(F.filter(array, lambda b: b <= point))
-    at = count(F.expr(literal(coarse))) if coarse else F.lit(0)
-    fine = F.element_at(F.expr("array(" + ", ".join(map(literal, groups)) + ")"), at + 1)
-    return F.least(at * FAN + count(fine), F.lit(len(bounds)))
+def _ranged(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """rows with r, how many of the sorted boundaries are at or before the row's key.
 
-
-def _long(x: int) -> str:
-    return f"cast('{int(x)}' as bigint)"
+    The boundaries go along as one broadcast row; there are as many as ranges, which the caller bounds.
+    """
+    point = F.struct("k", "d", "p")
+    levels = _levels(bounds)
+    kind = "array<array<struct<k:long,d:long,p:long>>>"
+    tree = rows.sparkSession.createDataFrame([(0, *levels)], "one int, " + ", ".join(f"l{i} {kind}" for i in range(len(levels))))
+    placed = rows.withColumn("one", F.lit(0)).join(F.broadcast(tree), "one").withColumn("r", F.lit(0))
+    for i, groups in enumerate(levels):
+        group = F.coalesce(F.get(f"l{i}", F.col("r")), F.array().cast("array<struct<k:long,d:long,p:long>>"))
+        placed = placed.withColumn("r", F.least(F.col("r") * FAN + F.size(F.filter(group, lambda b: b <= point)), F.lit(sum(map(len, groups)))))
+    return placed.drop("one", *[f"l{i}" for i in range(len(levels))])
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, ranges_per_shard: int = 16, samples_per_range: int = 24) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, ranges_per_shard: int = 16, samples_per_range: int = 24, range_bytes: int = 4 << 30) -> DataFrame:
     """(id, size, text_crc32, shard, slot) for every row of docs.
 
-    The sample holds about n_shards * ranges_per_shard * samples_per_range keys whatever the size of the input, so the
-    driver never gets more than that.
+    There are n_shards * ranges_per_shard ranges, or more where one would hold more than about range_bytes, so that a task
+    sorts as much at any size of the input.  The driver holds samples_per_range keys of each range at most.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -64,37 +68,37 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     )
     base = materialise(base, "shard-keys")
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    point = F.struct("k", "d", "p")
-    n_ranges = n_shards * ranges_per_shard
+    n_ranges = max(n_shards * ranges_per_shard, -(-total // range_bytes))
     # Half of a record's weight is its size and half the mean size: ranges are even in bytes, and none has very many rows.
     weight = F.col("size") + F.lit(total / max(rows, 1))
     chance = F.pmod(F.xxhash64("k", "d", "p", F.lit("splitters")), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
     def sampled(of: DataFrame, rate: float) -> list[tuple]:
-        return sorted(tuple(r) for r in of.where(chance < weight * F.lit(rate)).select("k", "d", "p").collect())
+        found = of.where(chance < weight * F.lit(rate)).select("k", "d", "p").toArrow()
+        return sorted(zip(*(found.column(i).to_pylist() for i in range(3)), strict=True))
 
     rate = n_ranges * samples_per_range / max(2.0 * total, 1.0)
-    sample = sampled(base, rate)
-    bounds = sample[samples_per_range::samples_per_range]
+    bounds = sampled(base, rate)[samples_per_range::samples_per_range]
     share = 2.0 * total / n_ranges
     for _ in range(2):
-        placed = base.withColumn("r", _at_most(bounds, point))
-        load = {r: w for r, w in placed.groupBy("r").agg(F.sum(weight)).collect()}
-        overfull = sorted(r for r, w in load.items() if w > 2 * share)
-        if not overfull:
+        overfull = _ranged(base, bounds).groupBy("r").agg(F.sum(weight).alias("w")).where(F.col("w") > 2 * share).select("r")
+        full = sorted(r[0] for r in overfull.collect())  # at most half as many as ranges
+        if not full:
             break
-        more = sampled(placed.where(F.col("r").isin(overfull)), min(1.0, rate * 8))
+        more = sampled(_ranged(base, bounds).join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in full], "r int")), "r"), min(1.0, rate * 8))
         bounds = sorted({*bounds, *more[samples_per_range * 4 :: samples_per_range * 4]})
-    placed = base.withColumn("r", _at_most(bounds, point))
+    placed = _ranged(base, bounds)
     order = Window.partitionBy("r").orderBy("k", "d", "p")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets, ahead = {}, 0
-    for r, b in sorted(tuple(x) for x in placed.groupBy("r").agg(F.sum("size")).collect()):
-        offsets[r], ahead = ahead, ahead + b
-    before = F.element_at(F.expr("array(" + ", ".join(_long(offsets.get(r, 0)) for r in range(len(bounds) + 1)) + ")"), F.col("r") + 1)
-    middle = before + F.sum("size").over(upto) - F.col("size") / 2
+    offsets, ahead = [], 0
+    for r, b in sorted(tuple(x) for x in placed.groupBy("r").agg(F.sum("size")).collect()):  # a row a range
+        offsets.append((r, ahead))
+        ahead += b
+    before = docs.sparkSession.createDataFrame(offsets, "r int, before long")
+    middle = F.col("before") + F.sum("size").over(upto) - F.col("size") / 2
     shard = F.least(F.floor(middle * n_shards / F.lit(float(max(total, 1)))), F.lit(n_shards - 1)).cast("int")
-    ranked = materialise(placed.select("id", "size", "text_crc32", "r", F.row_number().over(order).cast("long").alias("n"), shard.alias("shard")), "shard-ranks")
+    ranked = materialise(placed.join(F.broadcast(before), "r").select("id", "size", "text_crc32", "r", F.row_number().over(order).cast("long").alias("n"), shard.alias("shard")), "shard-ranks")
+    release(base)
     # Shards are runs of the key order: a (range, shard) pair needs where it starts in its range and what its shard had before.
     starts, had = [], dict.fromkeys(range(n_shards), 0)
     for r, s, first, n in sorted(tuple(x) for x in ranked.groupBy("r", "shard").agg(F.min("n"), F.count("*")).collect()):
