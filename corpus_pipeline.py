@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next stage's docs.  All but the last return the columns of documents.  A stage that needs labels or the benchmark reads
 them from sf_dir and is fitted on the documents that it gets.
+
+Defined cases: texts that are null or empty are judged like any other, are no near duplicates of each other and have no
+tokens; rows with a null id are kept, judged and never taught from; of repeated rows one stays, if the text has a word;
+without labels, or without documents that have one, the classifiers reject nothing; too few labels of a class are an error;
+an empty benchmark finds nothing; empty documents give an empty result; further columns go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vulnlake.llm import bpe_trie, decontaminate, ngram_join, quality, toxicity
-from vulnlake.llm.common import materialise
+from vulnlake.llm.common import materialise, release
 from vulnlake.llm.queries import vocabulary_path
 
 
@@ -59,6 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    for i, (name, stage) in enumerate(STAGES):
+        done = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        if i:
+            release(docs)
+        docs = done
     return docs
