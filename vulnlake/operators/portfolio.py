@@ -73,13 +73,56 @@ def discussion(items: DataFrame, key: str = "cve") -> DataFrame:
     return items.where(talk).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
-def item_record(kind: Column, fields: dict[str, dict[str, Column]]) -> Column:
-    """A record whose title and state depend on the item's kind; kinds that are not listed keep the raw record."""
-    out = None
-    for name, own in fields.items():
-        made = F.struct(*[v.alias(k) for k, v in own.items()])
-        out = F.when(kind == name, made) if out is None else out.when(kind == name, made)
-    return out
+#: What a repository host's payloads may hold, of all kinds together.
+ITEM_SCHEMA = (
+    "sha string, commit struct<message string, author struct<name string, email string, date string>>, files array<struct<filename string, status string, additions long, deletions long, patch string>>, "
+    "title string, body string, state string, merged boolean, merged_at string, closed_at string, user struct<login string>, labels array<struct<name string>>, head struct<sha string>, base struct<sha string>, "
+    "ghsa_id string, cve_id string, summary string, description string, severity string, cvss string, cwe_ids array<string>, vulnerabilities string, published_at string, updated_at string, references array<string>, "
+    "tag_name string, name string, full_name string, stargazers_count long, language string"
+)
+
+
+def item_record(kind: Column, payload: Column) -> Column:
+    """One record of a repository host's item; which payload field fills which of its fields depends on the item's kind.
+
+    Kinds are commit, pull, issue, advisory, release and repo; any other keeps its payload, as text, in `raw`.
+    """
+
+    def build(p: Column) -> Column:
+        own = lambda **by: [F.when(kind == k, v) for k, v in by.items()]
+        message, author = p["commit"]["message"], p["commit"]["author"]
+        subject = F.nullif(F.regexp_extract(message, r"^([^\r\n]*)", 1), F.lit(""))
+        labels = F.transform(p["labels"], lambda x: x["name"])
+        files = F.transform(p["files"], lambda f: F.struct(f["filename"].alias("path"), f["status"].alias("status"), f["additions"].alias("additions"), f["deletions"].alias("deletions"), f["patch"].alias("patch")))
+        state = F.when(p["merged"], F.lit("merged")).otherwise(p["state"])
+        fields = {
+            "title": own(commit=subject, pull=p["title"], issue=p["title"], advisory=F.coalesce(F.nullif(p["summary"], F.lit("")), p["title"])),
+            "body": own(commit=message, pull=p["body"], issue=p["body"], advisory=p["description"], release=p["body"], repo=p["description"]),
+            "state": own(pull=state, issue=p["state"]),
+            "author": own(commit=author["name"], pull=p["user"]["login"], issue=p["user"]["login"]),
+            "author_email": own(commit=author["email"]),
+            "date": own(commit=author["date"], pull=p["merged_at"], issue=p["closed_at"], advisory=p["published_at"], release=p["published_at"]),
+            "updated_at": own(advisory=p["updated_at"]),
+            "labels": own(pull=labels, issue=labels),
+            "sha": own(commit=p["sha"], pull=p["head"]["sha"]),
+            "base": own(pull=p["base"]["sha"]),
+            "files": own(commit=files),
+            "ghsa_id": own(advisory=p["ghsa_id"]),
+            "cve_id": own(advisory=p["cve_id"]),
+            "severity": own(advisory=p["severity"]),
+            "cvss": own(advisory=p["cvss"]),
+            "cwe_ids": own(advisory=p["cwe_ids"]),
+            "vulnerabilities": own(advisory=p["vulnerabilities"]),
+            "references": own(advisory=p["references"]),
+            "tag_name": own(release=p["tag_name"]),
+            "name": own(release=p["name"], repo=p["full_name"]),
+            "stars": own(repo=p["stargazers_count"]),
+            "language": own(repo=p["language"]),
+            "raw": [F.when(~kind.isin("commit", "pull", "issue", "advisory", "release", "repo"), payload)],
+        }
+        return F.struct(*[F.coalesce(*v).alias(name) for name, v in fields.items()])
+
+    return once(F.from_json(payload, ITEM_SCHEMA), build)
 
 
 #: Names under which an update guide's payload may have a field, the first that is filled counts.

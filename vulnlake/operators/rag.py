@@ -88,6 +88,12 @@ def running_documents(items: DataFrame, key: str, pos: str, text: str, sep: str
     return items.withColumn("document", F.array_join(F.collect_list(text).over(w), sep))
 
 
+def final_documents(items: DataFrame, key: str, pos: str, text: str, sep: str = "\n") -> DataFrame:
+    """(key, document): all texts of a key in order; what the last of running_documents holds, in one pass and without the others."""
+    grouped = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("a"))
+    return grouped.select(key, F.array_join(F.transform("a", lambda x: x["t"]), sep).alias("document"))
+
+
 def token_batches(rows: DataFrame, key: str, pos: str, tokens: str, budget: int = 300_000) -> DataFrame:
     """(key, pos, batch): texts in order, a new batch where the next would go over the budget.
 

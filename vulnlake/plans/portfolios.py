@@ -126,13 +126,29 @@ def p8_products(spark, sf_dir):
     return rows.select("p_partkey", text("a", lambda x: F.concat_ws("|", x["name"], x["platform"], F.array_join(x["versions"], "+"))).alias("products"), text("m", lambda x: F.concat_ws("|", x["kb"], x["url"])).alias("remediations"), text("f", lambda x: F.concat_ws("|", x["url"], x["label"])).alias("references"))
 
 
+_ITEM_KINDS = ["commit", "pull", "issue", "advisory", "release", "repo", "compare"]
+#: Made payloads of each kind; {k} is a key, {t} a text, {m} true or false.
+_ITEM_PAYLOADS = [
+    '{"sha":"a{k}","commit":{"message":"{t}\\nmore of {k}","author":{"name":"A{k}","email":"a@b","date":"2020"}},"files":[{"filename":"{k}.c","status":"modified","additions":{k},"patch":"+x"}]}',
+    '{"title":"{t}","body":"b{k}","state":"closed","merged":{m},"merged_at":null,"user":{"login":"u{k}"},"labels":[{"name":"bug"},{"name":"{t}"}],"head":{"sha":"h{k}"}}',
+    '{"title":"{t}","state":"open","user":null,"labels":[],"closed_at":"2021"}',
+    '{"ghsa_id":"GHSA-{k}","summary":"","title":"{t}","description":"d{k}","severity":"high","cwe_ids":["CWE-{k}"],"references":["r{k}"]}',
+    '{"tag_name":"v{k}","name":"{t}","body":"notes"}',
+    '{"full_name":"o/{k}","description":"{t}","stargazers_count":{k},"language":"C"}',
+    '{"any":"{k}"}',
+]
+
+
 def p10_p11_item_kinds(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    kind = F.element_at(F.array(*map(F.lit, ["commit", "pull", "issue", "release"])), (k + 1).cast("int"))
-    merged = F.when(F.col("o_custkey") % 2 == 0, "merged").otherwise(F.col("o_orderstatus"))
-    none = F.lit(None).cast("string")
-    record = pf.item_record(kind, {"commit": {"title": F.split(F.concat(F.col("o_orderpriority"), F.lit("\nmore")), "\n")[0], "state": none}, "pull": {"title": F.col("o_orderpriority"), "state": merged}, "issue": {"title": F.col("o_orderpriority"), "state": F.col("o_orderstatus")}, "release": {"title": F.lit("v1"), "state": none}})
-    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), record.alias("r")).select("o_orderkey", "kind", "r.*")
+    """A record of each kind of item, from its payload."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, _ITEM_KINDS)), (k % 7 + 1).cast("int"))
+    payload = F.element_at(F.array(*map(F.lit, _ITEM_PAYLOADS)), (k % 7 + 1).cast("int"))
+    for mark, value in (("{k}", k.cast("string")), ("{t}", F.col("o_orderpriority")), ("{m}", F.when(F.col("o_custkey") % 2 == 0, "true").otherwise("false"))):
+        payload = F.replace(payload, F.lit(mark), value)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), payload.alias("payload"))
+    r = rows.select("o_orderkey", "kind", pf.item_record(F.col("kind"), F.col("payload")).alias("r"))
+    return r.select("o_orderkey", "kind", "r.title", "r.body", "r.state", "r.author", "r.date", F.array_join("r.labels", ",").alias("labels"), "r.sha", F.col("r.files")[0]["path"].alias("path"), "r.severity", F.array_join("r.cwe_ids", ",").alias("cwe"), "r.name", "r.tag_name", "r.stars", "r.raw")
 
 
 def p12_p13_metric_and_cwe(spark, sf_dir):
@@ -201,6 +217,12 @@ QUERIES = {f.__name__: f for f in (j1_j2_portfolio, a22_last_wins, a23_first_win
 _RH = f"(SELECT {cve_sql('(o_custkey + 700)')} AS cve, max(o_orderkey) AS seq, arg_max(o_orderpriority, o_orderkey) AS impact, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1)"
 _SPINE = f"(SELECT {_C} AS cve, 'flaw ' || c_name AS nvd, c_acctbal FROM customer)"
 
+
+
+def _sql_list(texts: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in texts) + "]"
+
+
 _K = "CAST(p_partkey AS VARCHAR)"
 _PAYLOADS = f"""(SELECT p_partkey, CAST('{{"' || CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE 'cveTitle' END || '":"flaw ' || {_K} || '","description":"","executiveSummary":"' || p_type || '","impact":null,"cweList":["CWE-' || CAST(p_partkey % 9 AS VARCHAR) || '"],'
  || CASE WHEN p_partkey % 3 = 0 THEN '"cvssScoreSets":[{{"score":' || CAST(p_partkey % 10 AS VARCHAR) || '.5,"vectorString":"AV:N"}}]' ELSE '"baseScore":' || CAST(p_partkey % 10 AS VARCHAR) || ',"severity":"Low"' END
@@ -225,7 +247,16 @@ SQL = {
     "p9_guide_record": f"""SELECT p_partkey, 'https://msrc.microsoft.com/update-guide/vulnerability/' || {cve_sql('p_partkey')} AS url, coalesce(j ->> '$.title', j ->> '$.cveTitle') AS title, coalesce(nullif(j ->> '$.description', ''), j ->> '$.executiveSummary') AS description, j ->> '$.impact' AS impact,
  coalesce(j ->> '$.cvssScoreSets[0].score', j ->> '$.baseScore') AS base_score, j ->> '$.cvssScoreSets[0].vectorString' AS vector, j ->> '$.severity' AS severity, j ->> '$.cweList[0]' AS cwe, coalesce(j ->> '$.publiclyDisclosed', 'false') AS exploited, j ->> '$.publiclyDisclosed' AS publicly_disclosed, j ->> '$.releasedDate' AS release_date,
  CAST(15 + CASE WHEN j ->> '$.publiclyDisclosed' = 'true' THEN 1 ELSE 0 END AS INTEGER) AS filled FROM {_PAYLOADS}""",
-    "p10_p11_item_kinds": "SELECT o_orderkey, ['commit', 'pull', 'issue', 'release'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS kind, CASE WHEN o_orderkey % 4 = 3 THEN 'v1' ELSE o_orderpriority END AS title, CASE o_orderkey % 4 WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN 'merged' ELSE o_orderstatus END WHEN 2 THEN o_orderstatus END AS state FROM orders",
+    "p10_p11_item_kinds": f"""WITH r AS (SELECT o_orderkey, o_orderkey % 7 AS i, replace(replace(replace({_sql_list(_ITEM_PAYLOADS)}[CAST(o_orderkey % 7 AS INTEGER) + 1], '{{k}}', CAST(o_orderkey AS VARCHAR)), '{{t}}', o_orderpriority), '{{m}}', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END) AS t FROM orders), p AS (SELECT *, CAST(t AS JSON) AS j FROM r)
+SELECT o_orderkey, {_sql_list(_ITEM_KINDS)}[CAST(i AS INTEGER) + 1] AS kind,
+ CASE i WHEN 0 THEN string_split(j ->> '$.commit.message', chr(10))[1] WHEN 1 THEN j ->> '$.title' WHEN 2 THEN j ->> '$.title' WHEN 3 THEN coalesce(nullif(j ->> '$.summary', ''), j ->> '$.title') END AS title,
+ CASE i WHEN 0 THEN j ->> '$.commit.message' WHEN 1 THEN j ->> '$.body' WHEN 2 THEN j ->> '$.body' WHEN 3 THEN j ->> '$.description' WHEN 4 THEN j ->> '$.body' WHEN 5 THEN j ->> '$.description' END AS body,
+ CASE i WHEN 1 THEN CASE WHEN j ->> '$.merged' = 'true' THEN 'merged' ELSE j ->> '$.state' END WHEN 2 THEN j ->> '$.state' END AS state,
+ CASE i WHEN 0 THEN j ->> '$.commit.author.name' ELSE j ->> '$.user.login' END AS author,
+ CASE i WHEN 0 THEN j ->> '$.commit.author.date' WHEN 1 THEN j ->> '$.merged_at' WHEN 2 THEN j ->> '$.closed_at' END AS date,
+ CASE WHEN i IN (1, 2) THEN array_to_string(coalesce(j ->> '$.labels[*].name', []), ',') END AS labels,
+ CASE i WHEN 0 THEN j ->> '$.sha' WHEN 1 THEN j ->> '$.head.sha' END AS sha, j ->> '$.files[0].filename' AS path, j ->> '$.severity' AS severity, j ->> '$.cwe_ids[0]' AS cwe,
+ CASE i WHEN 4 THEN j ->> '$.name' WHEN 5 THEN j ->> '$.full_name' END AS name, j ->> '$.tag_name' AS tag_name, CAST(j ->> '$.stargazers_count' AS BIGINT) AS stars, CASE WHEN i = 6 THEN t END AS raw FROM p""",
     "p12_p13_metric_and_cwe": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'V40' WHEN o_orderkey % 3 = 0 THEN 'V31' WHEN o_orderkey % 2 = 0 THEN 'V30' WHEN o_orderkey % 7 = 0 THEN 'V2' END AS metric, CASE o_orderkey % 3 WHEN 0 THEN 'CWE-1, CWE-2' WHEN 1 THEN 'CWE-9' ELSE 'Not given' END AS cwe FROM orders",
     "p14_p16_renamed": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'x' WHEN c_mktsegment = 'BUILDING' THEN 'b' WHEN c_mktsegment = 'MACHINERY' THEN 'm' ELSE c_mktsegment END AS label, c_name AS rest FROM customer",
     "r11_discussions": f"SELECT {_O} AS cve, string_agg(k || ':' || o_orderpriority, ';' ORDER BY o_orderkey) AS entries FROM (SELECT *, ['pull', 'commit', 'bulletin', 'advisory'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS k FROM orders) WHERE k IN ('pull', 'advisory') OR (k = 'bulletin' AND o_orderkey % 3 = 0) GROUP BY 1",

@@ -35,6 +35,11 @@ def w1_running_documents(spark, sf_dir):
     return rag.running_documents(c, "conv_id", "turn", "text").select("conv_id", "turn", F.md5(F.col("document").cast("binary")).alias("digest"))
 
 
+def w1_final_documents(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return rag.final_documents(c, "conv_id", "turn", "text").select("conv_id", F.md5(F.col("document").cast("binary")).alias("digest"))
+
+
 def vocabulary_path() -> str:
     """A public vocabulary; any tokenizer file would do."""
     import public_tokenizers
@@ -164,13 +169,14 @@ def _page_query(kind: str, number: str):
 
 _PAGE_KINDS = [("redhat", "h1"), ("bugzilla", "h2"), ("ubuntu", "h3"), ("packet_storm", "h4"), ("exploit_db", "h5"), ("lwn_alerts", "h6"), ("lwn_article", "h6"), ("mail_threads", "h7"), ("mail_message", "h7"), ("bulletin", "h8"), ("cgit_commit", "h9")]
 
-QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w2_token_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
+QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_final_documents, w2_token_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
 
 _K = "CAST(s_suppkey AS VARCHAR)"
 SQL = {
     "r1_documents": f"SELECT * FROM (SELECT {cve_sql('o_custkey')} AS cve, o_orderkey, 'nvd' AS source, 0 AS pos, 'flaw ' || o_orderpriority AS text FROM orders UNION ALL SELECT {cve_sql('o_custkey')}, o_orderkey, 'patch message', 1, '[PATCH MESSAGE] ' || chr(10) || o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT {cve_sql('o_custkey')}, o_orderkey, 'impact scores', 2, CAST(o_orderkey % 10 AS VARCHAR) FROM orders)",
     "r2_fixed_chunks": "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS i FROM documents) SELECT doc_id, CAST(i // 900 AS INTEGER) AS chunk_pos, CAST(i AS INTEGER) AS start_index, CAST(length(substr(text, i + 1, 1000)) AS INTEGER) AS n_chars, md5(substr(text, i + 1, 1000)) AS digest FROM s",
     "w1_running_documents": "SELECT conv_id, turn, md5(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS digest FROM conversations",
+    "w1_final_documents": "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "c34_token_count": r"SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS tokens FROM conversations",
     "w2_token_batches": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
  f AS (SELECT conv_id, turn, i, t AS used, 0 AS batch FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.turn, c.i, CASE WHEN f.used = 0 OR f.used + c.t <= 120 THEN f.used + c.t ELSE c.t END, CASE WHEN f.used = 0 OR f.used + c.t <= 120 THEN f.batch ELSE f.batch + 1 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
