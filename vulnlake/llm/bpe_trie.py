@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import pyarrow as pa
 import regex
@@ -84,6 +85,10 @@ class TrieBpe:
         self.special = {x["content"]: x["id"] for x in conf.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.splitter = regex.compile(SPLIT)
+        # what every special token begins with: a cheap test that most texts fail
+        self.special_mark = os.path.commonprefix(list(self.special))
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in conf.get("added_tokens", [])):
+            raise ValueError("special tokens that strip blanks, stand as single words or are normalised are not supported")
         self.special_splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache, self.words = Recent(cache_words), Recent(cache_words * 2 // 3)
         self.beside: dict[tuple[int, int], bool] = {}
@@ -174,7 +179,7 @@ class TrieBpe:
         """
         if not text:
             return []
-        if self.special_splitter is not None and "<|" in text and any(s in text for s in self.special):
+        if self.special_splitter is not None and self.special_mark in text and any(s in text for s in self.special):
             parts = self.special_splitter.split(text)
             return [c for i, p in enumerate(parts) for c in ([("", p)] if i % 2 else self.chunks(p))]
         if "\0" in text or LONG_GAP.search(text):

@@ -38,17 +38,17 @@ def _levels(bounds: list[tuple]) -> list[list]:
 def _ranged(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
     """rows with r, how many of the sorted boundaries are at or before the row's key.
 
-    The boundaries go along as one broadcast row; there are as many as ranges, which the caller bounds.
+    The boundaries are one value, which goes to the tasks with the plan; there are as many as ranges, which the caller bounds.
     """
     point = F.struct("k", "d", "p")
     levels = _levels(bounds)
     kind = "array<array<struct<k:long,d:long,p:long>>>"
-    tree = rows.sparkSession.createDataFrame([(0, *levels)], "one int, " + ", ".join(f"l{i} {kind}" for i in range(len(levels))))
-    placed = rows.withColumn("one", F.lit(0)).join(F.broadcast(tree), "one").withColumn("r", F.lit(0))
+    tree = rows.sparkSession.createDataFrame([(levels,)], "t array<" + kind + ">")
+    placed = rows.withColumn("t", tree.scalar()).withColumn("r", F.lit(0))
     for i, groups in enumerate(levels):
-        group = F.coalesce(F.get(f"l{i}", F.col("r")), F.array().cast("array<struct<k:long,d:long,p:long>>"))
+        group = F.coalesce(F.get(F.col("t")[i], F.col("r")), F.array().cast("array<struct<k:long,d:long,p:long>>"))
         placed = placed.withColumn("r", F.least(F.col("r") * FAN + F.size(F.filter(group, lambda b: b <= point)), F.lit(sum(map(len, groups)))))
-    return placed.drop("one", *[f"l{i}" for i in range(len(levels))])
+    return placed.drop("t")
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, ranges_per_shard: int = 16, samples_per_range: int = 24, range_bytes: int = 4 << 30) -> DataFrame:
