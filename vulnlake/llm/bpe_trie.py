@@ -1,8 +1,8 @@
 """Byte-level BPE by a trie over distinct words.
 
 For BPE the tokens of a prefix follow from its last token alone: the prefix before that token is encoded as if it stood
-by itself.  So the distinct words of a slice of texts go into a trie, and one depth-first walk gives every node its
-last token: of the vocabulary's entries that end there, the one that BPE leaves beside the last token of the node where
+by itself.  So the distinct words of a slice of texts go into a trie (held as sorted words and shared prefix lengths), and
+one depth-first walk gives every node its last token: of the vocabulary's entries that end there, the one that BPE leaves beside the last token of the node where
 the entry begins.  What words share at their start is worked out once.  Encodings are then read back token by token,
 and kept in a bounded table (words that fall out of it are worked out again, never dropped).
 
@@ -14,6 +14,7 @@ alike; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -84,6 +85,7 @@ class TrieBpe:
         self.longest = max(map(len, self.vocab))
         self.special = {x["content"]: x["id"] for x in conf.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.text_of = {i: str(i) for i in self.bytes_of}
         self.splitter = regex.compile(SPLIT)
         # what every special token begins with: a cheap test that most texts fail
         self.special_mark = os.path.commonprefix(list(self.special))
@@ -123,49 +125,45 @@ class TrieBpe:
         return ok
 
     def encode_words(self, words) -> dict[str, list[int]]:
-        """Ids of distinct words, by one walk over their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for b in word.encode():
-                step = node.get(b)
-                if step is None:
-                    step = node[b] = {}
-                node = step
-            node[-1] = word
+        """Ids of distinct words, by one walk over their trie.
+
+        Sorted words, each with the length of the prefix that it shares with the one before, are the trie in preorder: the
+        bytes after that prefix are the nodes that the word inserts.  The walk keeps the states of the path it is on, so
+        what words share is computed once, and no node needs an object of its own.
+        """
         out: dict[str, list[int]] = {}
-        vocab, beside, longest, stays = self.vocab, self.beside, self.longest, self.stays
-        last = [0]  # last[d]: the last token of the path's first d bytes
-        size = [0]
-        stack = [(bytes([b]), child) for b, child in root.items() if b >= 0]
-        if -1 in root:
-            out[root[-1]] = []
-        while stack:
-            path, node = stack.pop()
-            depth = len(path)
-            del last[depth:], size[depth:]
-            for start in range(depth - 1, max(0, depth - longest) - 1, -1):
-                token = vocab.get(path[start:])
-                if token is None:
-                    continue
-                if start == 0:
-                    if depth == 1 or self.whole(token):
+        vocab, beside, longest, stays, whole = self.vocab.get, self.beside.get, self.longest, self.stays, self.whole
+        last, size = [0], [0]  # for the path's first d bytes: their last token and its length
+        path = b""
+        for data, word in sorted((w.encode(), w) for w in words):
+            n, depth = len(data), 0
+            if path[:1] == data[:1]:
+                most = min(len(path), n)
+                while depth < most and path[depth] == data[depth]:
+                    depth += 1
+            del last[depth + 1 :], size[depth + 1 :]
+            path = data
+            while depth < n:
+                depth += 1
+                for start in range(depth - 1, max(0, depth - longest) - 1, -1):
+                    token = vocab(data[start:depth])
+                    if token is None:
+                        continue
+                    if start == 0:
+                        if depth == 1 or whole(token):
+                            break
+                        continue
+                    known = beside((last[start], token))
+                    if stays(last[start], token) if known is None else known:
                         break
-                    continue
-                known = beside.get((last[start], token))
-                if stays(last[start], token) if known is None else known:
-                    break
-            last.append(token)
-            size.append(depth - start)
-            for b, child in node.items():
-                if b >= 0:
-                    stack.append((path + ONE[b], child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(last[at])
-                        at -= size[at]
-                    out[child] = ids[::-1]
+                last.append(token)
+                size.append(depth - start)
+            ids, at = [], n
+            while at:
+                ids.append(last[at])
+                at -= size[at]
+            ids.reverse()
+            out[word] = ids
         return out
 
     def whole(self, token: int) -> bool:
@@ -192,15 +190,17 @@ class TrieBpe:
         cache, known = self.cache, self.words
         missing = cache.admit(set().union(*chunked))
         split = self.splitter.findall
-        pieces = {c: split(c) if c.__class__ is str else [] for c in missing}
-        todo = sorted(known.admit({w for p in pieces.values() for w in p}))
-        for start in range(0, len(todo), 20_000):  # a bounded trie; neighbours in order share the most
-            for word, ids in self.encode_words(todo[start : start + 20_000]).items():
-                known[word] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
+        # a run of ASCII letters, a blank before it or not, is one word by the rule
+        pieces = {c: [] if c.__class__ is not str else [c] if c.isascii() and (c[1:] if c[:1] == " " else c).isalpha() else split(c) for c in missing}
+        text, bytes_of = self.text_of, self.bytes_of
+        for word, ids in self.encode_words(known.admit({w for p in pieces.values() for w in p})).items():
+            known[word] = (1, text[ids[0]], bytes_of[ids[0]]) if len(ids) == 1 else (len(ids), ",".join([text[i] for i in ids]), b"".join([bytes_of[i] for i in ids]))
         for c, own in pieces.items():
-            if c.__class__ is str:
+            if len(own) == 1:
+                cache[c] = known[own[0]]
+            elif c.__class__ is str:
                 found = [known[w] for w in own]
-                cache[c] = found[0] if len(found) == 1 else (sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+                cache[c] = (sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found]))
             else:
                 cache[c] = (1, str(self.special[c[1]]), self.bytes_of[self.special[c[1]]])
         return [list(map(cache.__getitem__, p)) for p in chunked]
@@ -230,23 +230,27 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         if vocabulary not in _OPEN:  # kept for the next tasks of this worker
             _OPEN[vocabulary] = TrieBpe(spec.value)
         coder = _OPEN[vocabulary]
-        for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                count, ids_hash, text_hash, ids, decoded = [], [], [], [], []
-                for words in coder.encode_texts(texts):
-                    joined = ",".join([w[1] for w in words])
-                    raw = b"".join([w[2] for w in words]).decode("utf-8", "replace")
-                    count.append(sum([w[0] for w in words]))
-                    ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(raw.encode()).hexdigest())
+        gc.disable()  # nothing here refers to itself in a circle; the tables' many tuples would be gone over again and again
+        try:
+            for batch in batches:
+                for start, texts in slices(batch.column(1)):
+                    count, ids_hash, text_hash, ids, decoded = [], [], [], [], []
+                    for words in coder.encode_texts(texts):
+                        joined = ",".join([w[1] for w in words])
+                        raw = b"".join([w[2] for w in words]).decode("utf-8", "replace")
+                        count.append(sum([w[0] for w in words]))
+                        ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
+                        text_hash.append(hashlib.sha256(raw.encode()).hexdigest())
+                        if with_ids:
+                            ids.append([int(x) for x in joined.split(",")] if joined else [])
+                            decoded.append(raw)
+                    columns = [batch.column(0).slice(start, len(texts)), pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)]
+                    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
-                        ids.append([int(x) for x in joined.split(",")] if joined else [])
-                        decoded.append(raw)
-                columns = [batch.column(0).slice(start, len(texts)), pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                        columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            gc.enable()
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
