@@ -91,8 +91,14 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op12_bitmap_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.cohorts import retention
+
+    return retention(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "clients"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie, op12_bitmap_cohorts)}
 
 
 _OP1 = """
@@ -133,5 +139,26 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(k.c, s.doc_id) A
 """
 
 
+#: crc32 of a decimal number: the table of the polynomial 0xEDB88320, then a fold over its characters.
+_OP12 = """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ k AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+ h AS (SELECT k.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(click_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM k, t),
+ c AS (SELECT client_id, ts, kind, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents,
+   coalesce(arrived_at + (CASE WHEN h % 3 = 0 THEN h % 100 ELSE 0 END) * INTERVAL 1 DAY < TIMESTAMP '2024-02-01 00:00:00', false) AS known FROM h),
+ a AS (SELECT 0 AS state, client_id, ts, kind, cents FROM c WHERE known UNION ALL SELECT 1, client_id, ts, kind, cents FROM c),
+ s AS (SELECT state, client_id, min(ts) AS s FROM a WHERE kind = 'error' GROUP BY ALL),
+ g AS (SELECT client_id, min(source) AS source FROM clients GROUP BY client_id),
+ d AS (SELECT s.state, s.client_id, s, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(s AS DATE)) / 7) AS BIGINT) AS cohort, coalesce(g.source, '') AS segment,
+   xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(s.client_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+   FROM t, s LEFT JOIN g USING (client_id)),
+ m AS (SELECT a.*, coalesce(a.cohort <> b.cohort, false) AS moved FROM d a LEFT JOIN d b ON a.client_id = b.client_id AND a.state <> b.state),
+ x AS (SELECT m.state, segment, cohort, (epoch_us(ts) - epoch_us(s)) // 604800000000 AS period, client_id, any_value(crc) AS crc, any_value(moved) AS moved, sum(cents) AS cents
+   FROM a JOIN m USING (state, client_id) WHERE ts >= s GROUP BY ALL)
+SELECT state, segment, cohort, CAST(period AS BIGINT) AS period, count(*) AS users, CAST(sum(crc) AS BIGINT) AS users_crc32, count(*) FILTER (moved) AS moved, CAST(sum(cents) AS BIGINT) AS cents
+FROM x GROUP BY state, segment, cohort, period
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_trie": _OP7, "op1_preference_format": _OP1, "op2_url_filter": _OP2}
+    return {"op12_bitmap_cohorts": _OP12, "op7_jaccard_trie": _OP7, "op1_preference_format": _OP1, "op2_url_filter": _OP2}
