@@ -91,6 +91,14 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vulnlake.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op12_bitmap_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vulnlake.llm.cohorts import retention
 
@@ -98,7 +106,7 @@ def op12_bitmap_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie, op12_bitmap_cohorts)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie, op11_token_counts, op12_bitmap_cohorts)}
 
 
 _OP1 = """
