@@ -105,8 +105,14 @@ def op12_bitmap_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "clients"))
 
 
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vulnlake.llm.lexical_search import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie, op11_token_counts, op12_bitmap_cohorts)}
+    return {f.__name__: f for f in (op1_preference_format, op2_url_filter, op3_attention_score, op4_latent_decontamination, op5_compression_toxicity, op6_multiprobe_neighbours, op7_jaccard_trie, op8_nbsvm_quality, op9_sampled_splitters, op10_bpe_trie, op11_token_counts, op12_bitmap_cohorts, op13_treap_search)}
 
 
 _OP1 = """
@@ -147,6 +153,19 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(k.c, s.doc_id) A
 """
 
 
+_OP13 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+ q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+ l AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+ a AS (SELECT count(*)::BIGINT AS n, sum(n)::BIGINT AS l FROM l),
+ p AS (SELECT r, doc_id, t, count(*) AS tf FROM t WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+ w AS (SELECT t, floor(1000 * ln((2 * any_value(a.n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY t),
+ i AS (SELECT p.r, p.doc_id, p.t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * l.n * a.n) // a.l)) AS i FROM p JOIN l USING (r), a),
+ s AS (SELECT item_id, doc_id, r, sum(q * w * i)::BIGINT AS score FROM q JOIN w USING (t) JOIN i USING (t) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 #: crc32 of a decimal number: the table of the polynomial 0xEDB88320, then a fold over its characters.
 _OP12 = """
 WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
@@ -169,4 +188,4 @@ FROM x GROUP BY state, segment, cohort, period
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_bitmap_cohorts": _OP12, "op7_jaccard_trie": _OP7, "op1_preference_format": _OP1, "op2_url_filter": _OP2}
+    return {"op13_treap_search": _OP13, "op12_bitmap_cohorts": _OP12, "op7_jaccard_trie": _OP7, "op1_preference_format": _OP1, "op2_url_filter": _OP2}
