@@ -56,10 +56,11 @@ def test_token_counts_of_nothing_and_of_long_texts(spark, docs, monkeypatch):
     assert token_counts.count_tokens(docs.limit(0), path).count() == 0
     pieces = token_counts.Pieces(token_counts.load_pieces(path))
     text = "some words  and 日本 " * 300
-    whole = [t for cut in pieces.cut(text) for t in cut]
+    whole = [w for words in pieces.words(text) for w in words]
+    assert "".join(whole) == "▁" + text.replace(" ", "▁") and [w for words in pieces.words("a b\nc") for w in words] == ["▁a", "▁b\nc"]
     monkeypatch.setattr(token_counts, "LONG_TEXT", 10)
     monkeypatch.setattr(token_counts, "BATCH", 7)
-    assert [t for cut in pieces.cut(text) for t in cut] == whole
+    assert [w for words in pieces.words(text) for w in words] == whole
     with pytest.raises(ValueError):
         token_counts.Pieces({"a▁b": -1.0})
 

@@ -17,11 +17,11 @@ null id stays null; strings of special tokens are ordinary text; an empty table
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter
 from itertools import batched
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +30,15 @@ from vulnlake.llm.common import materialise, slices
 #: The mark that stands for a blank.
 MARK = "▁"
 #: Bound of what is broadcast: this many pre-tokens of this many characters.
-MOST_COMMON, COMMON_CHARS = 100_000, 32
+MOST_COMMON, COMMON_CHARS = 250_000, 32
 #: Distinct pre-tokens that a task holds, and of one document those that one row carries on.
 HELD, ROW_HOLDS = 300_000, 50_000
+#: Pre-tokens of more characters are merged by a queue.
+SHORT = 40
 #: Texts above this length are cut in batches.
 LONG_TEXT, BATCH = 2_000_000, 100_000
+#: A run of marks with what follows, or what precedes any mark.
+MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Pieces:
@@ -45,18 +49,28 @@ class Pieces:
             raise ValueError("a piece holds a word start behind another character; texts can't be cut there")
         self.scores = scores
         joined = sorted({c for p in scores if len(p) > 1 for c in p} - {MARK})
-        inside = regex.escape("".join(joined), special_only=False, literal_spaces=False) if joined else ""
-        self.cutter = regex.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]" if joined else f"{MARK}+|[^{MARK}]", regex.V0)
+        inside = re.escape("".join(joined))
+        self.cutter = re.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]" if joined else f"{MARK}+|[^{MARK}]", re.DOTALL)
 
-    def cut(self, text: str):
-        """Lists of the pre-tokens of a text, in order."""
+    def words(self, text: str):
+        """Lists of the words of a text with the marks before them, in order.
+
+        Where every blank stands alone behind a word a split at blanks finds them; longer runs of blanks stay with the word behind them.
+        """
         if not text:
             return
-        marked = MARK + text.replace(" ", MARK)
-        if len(marked) < LONG_TEXT:
-            yield self.cutter.findall(marked)
+        if len(text) >= LONG_TEXT or text[0] == " " or "  " in text or MARK in text or "\0" in text:
+            marked = MARK + text.replace(" ", MARK)
+            if len(marked) < LONG_TEXT:
+                yield MARKED_WORD.findall(marked)
+            else:
+                yield from batched((m.group() for m in MARKED_WORD.finditer(marked)), BATCH)
         else:
-            yield from batched((m.group() for m in self.cutter.finditer(marked)), BATCH)
+            yield (MARK + text.replace(" ", "\0" + MARK)).split("\0")
+
+    def cut(self, word: str) -> list[str]:
+        """The pre-tokens of a word."""
+        return self.cutter.findall(word)
 
     def count(self, token: str) -> int:
         """Pieces of one pre-token."""
@@ -64,6 +78,23 @@ class Pieces:
         if len(token) == 1:
             return 1 if token in self.scores else len(token.encode())
         parts: list[str] = list(token)
+        if len(parts) > SHORT:
+            return self._count_long(parts)
+        none = float("-inf")
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) != none:
+            i = scores.index(best)  # the leftmost one
+            parts[i] += parts.pop(i + 1)
+            scores.pop(i)
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], none)
+        return sum([1 if p in self.scores else len(p.encode()) for p in parts])
+
+    def _count_long(self, parts: list[str]) -> int:
+        """The same by a queue of pairs; entries whose pair has changed are passed over."""
+        score = self.scores.get
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = [(-s, i, 2) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (s := score(a + b)) is not None]
         heapq.heapify(heap)
@@ -122,7 +153,11 @@ def pretoken_pieces(docs: DataFrame, shared, text_col: str = "text") -> DataFram
         pieces, found = _pieces(shared), Counter()
 
         def out():
-            for part in batched(found.items(), 50_000):
+            cut = Counter()
+            for word, n in found.items():
+                for token in pieces.cut(word):
+                    cut[token] += n
+            for part in batched(cut.items(), 50_000):
                 tokens, counts = zip(*part, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["token", "freq"])
             found.clear()
@@ -130,8 +165,8 @@ def pretoken_pieces(docs: DataFrame, shared, text_col: str = "text") -> DataFram
         for batch in batches:
             for _, texts in slices(batch.column(0)):
                 for text in texts:
-                    for cut in pieces.cut(text):
-                        found.update(cut)
+                    for words in pieces.words(text):
+                        found.update(words)
                         if len(found) > HELD:
                             yield from out()
         yield from out()
@@ -169,21 +204,35 @@ def _lookup(shared, common):
         if common.value[0] not in _COMMON:
             _COMMON.clear()
             _COMMON[common.value[0]] = common.value[1]
-        known = _COMMON[common.value[0]]
+        known, cache = _COMMON[common.value[0]], {}
+
+        def looked_up(word):
+            """Pieces of a word's common pre-tokens, and its others."""
+            tokens = pieces.cut(word)
+            return sum([known.get(t, 0) for t in tokens]), [t for t in tokens if t not in known]
+
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 at, sums, rests = [], [], []
                 for i, text in enumerate(texts):
                     own = Counter()
-                    for cut in pieces.cut(text):
-                        own.update(cut)
-                    total, rest = 0, []
-                    for token, n in own.items():
-                        c = known.get(token)
+                    for words in pieces.words(text):
+                        own.update(words)
+                    total, others = 0, Counter()
+                    for word, n in own.items():
+                        c = known.get(word)
                         if c is None:
-                            rest.append((token, n))
+                            found = cache.get(word)
+                            if found is None:
+                                if len(cache) > HELD:
+                                    cache.clear()
+                                found = cache[word] = looked_up(word)
+                            total += found[0] * n
+                            for t in found[1]:
+                                others[t] += n
                         else:
                             total += c * n
+                    rest = list(others.items())
                     for part in batched(rest, ROW_HOLDS) if rest else [()]:
                         at.append(i)
                         sums.append(total)
