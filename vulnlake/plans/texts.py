@@ -98,26 +98,24 @@ def c19_added_lines(spark, sf_dir):
     return diffs(spark, sf_dir).select("k", code.added_lines(F.col("diff")).alias("added"))
 
 
-def w5_impacted_functions(spark, sf_dir):
-    """The file of the last `diff` line goes along to the hunks below it."""
-    rows = diffs(spark, sf_dir).select("k", F.posexplode(tx.lines(F.col("diff"))).alias("pos", "line"))
-    path = F.when(F.col("line").startswith("diff --git a/"), F.regexp_replace(F.try_element_at(F.split("line", " "), F.lit(4)), "^b/", ""))
+def impacted_functions(rows: DataFrame) -> DataFrame:
+    """(k, file, functions) of (k, diff): the file of the last `diff` line goes along to the hunks below it; a line with too few parts names none."""
+    rows = rows.select("k", F.posexplode(tx.lines(F.col("diff"))).alias("pos", "line"))
     order = Window.partitionBy("k").orderBy("pos")
-    rows = rows.withColumn("file", F.last(path, True).over(order))
+    rows = rows.withColumn("file", F.nullif(F.last(code.diff_path(F.col("line")), True).over(order), F.lit("")))
     named = F.when(F.col("line").startswith("diff --git a/") & F.col("file").rlike(r"\.[hS]$"), F.col("file"))
     hunk = F.when(F.col("line").startswith("@@ ") & F.col("file").endswith(".c"), code.hunk_function(F.regexp_replace("line", "^@@.*?@@", "")))
     return rows.select("k", "file", F.coalesce(named, hunk).alias("function")).where("function is not null").groupBy("k", "file").agg(F.array_join(F.array_sort(F.collect_set("function")), ",").alias("functions"))
 
 
+def w5_impacted_functions(spark, sf_dir):
+    return impacted_functions(diffs(spark, sf_dir))
+
+
 def w6_function_bodies(spark, sf_dir):
     """Lines up to where the braces are balanced again."""
-    src = F.split(F.concat(F.lit("int f(void)\n{\n  if (x) {\n    a("), F.col("p_partkey").cast("string"), F.lit(");\n  }\n}\nint g;\n}")), "\n")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(src).alias("pos", "line"))
-    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c)))
-    order = Window.partitionBy("p_partkey").orderBy("pos")
-    rows = rows.withColumn("depth", F.sum(count("{") - count("}")).over(order)).withColumn("opened", F.max(count("{")).over(order))
-    rows = rows.withColumn("end", F.min(F.when((F.col("depth") == 0) & (F.col("opened") > 0), F.col("pos"))).over(Window.partitionBy("p_partkey")))
-    return rows.where("pos <= end").groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    src = F.concat(F.lit("int f(void)\n{\n  if (x) {\n    a("), F.col("p_partkey").cast("string"), F.lit(");\n  }\n}\nint g;\n}"))
+    return table(spark, sf_dir, "part").select("p_partkey", code.balanced_lines(src).alias("body"))
 
 
 def c21_c22_tagged_slice(spark, sf_dir):
