@@ -80,7 +80,7 @@ def test_nearest_in_blocks_equals_brute_force(spark, block):
     df = spark.createDataFrame([("k", i, v.tolist()) for i, v in enumerate(x)], "key string, id long, v array<double>")
     asked, items = df.where("id % 10 = 0").select("key", F.col("id").alias("query_id"), F.col("v").alias("q")), df.select("key", F.col("id").alias("item_id"), "v")
     got = {}
-    for r in sorted(rag.nearest(asked, items, "key", 6, block).collect(), key=lambda r: r["rank"]):
+    for r in sorted(rag.nearest(asked, items, "key", 6, ring=block).collect(), key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(r["item_id"])
     for q in range(0, 120, 10):
         d = np.round(np.sqrt(((x - x[q]) ** 2).sum(axis=1)), 6)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vulnlake.operators.neighbours import nearest
 from vulnlake.session import materialise, release
 
 #: Chunk size and overlap in characters, separators from the coarsest on.
@@ -161,25 +162,6 @@ def bpe_truncated(path: str, most: int):
     return cut
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, key: str, n: int, block: int = 20_000) -> DataFrame:
-    """(key, query_id, item_id, d, rank): the n nearest items of the same key; distances to 6 digits, ties by id.
-
-    queries: (key, query_id, q); corpus: (key, item_id, v); a query's own item is left out.  A key's items are split into
-    blocks, each of which gives its own n nearest, so a common key is many tasks and its pairs never meet in one.
-    """
-    blocks = corpus.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
-    items = corpus.join(blocks, key).withColumn("__block", F.pmod(F.xxhash64("item_id"), F.col("__blocks")).cast("int")).drop("__blocks")
-    asked = queries.join(blocks, key).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
-    both = asked.join(items, [key, "__block"]).where("query_id <> item_id").select(key, "__block", "query_id", "item_id", F.round(distance(F.col("q"), F.col("v")), 6).alias("d"))
-    order = lambda *by: F.row_number().over(Window.partitionBy(*by, "query_id").orderBy("d", "item_id"))
-    best = both.withColumn("rank", order(key, "__block")).where(F.col("rank") <= n)
-    return best.withColumn("rank", order(key)).where(F.col("rank") <= n).drop("__block")
-
-
 def mmr_order(query: np.ndarray, items: np.ndarray, k: int, weight: float = 0.5) -> list[int]:
     """Positions of k items by maximal marginal relevance; scores to 9 digits, ties by position."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.operators import html, rag
+from vulnlake.operators import html, neighbours, rag
 from vulnlake.plans.evaluation import cve_col, cve_sql
 from vulnlake.session import table
 
@@ -80,7 +80,14 @@ def _vectors(spark, sf_dir):
 
 def r4_j15_nearest(spark, sf_dir):
     """Exact nearest neighbours under one key."""
-    return rag.nearest(*_vectors(spark, sf_dir), "label", 12).select("label", "query_id", "item_id", "d", F.col("rank").cast("long").alias("rank"))
+    return neighbours.nearest(*_vectors(spark, sf_dir), "label", 12).select("label", "query_id", "item_id", "d", F.col("rank").cast("long").alias("rank"))
+
+
+def r4_pruned_nearest(spark, sf_dir):
+    """The 5 items of the same kind that are nearest in size and price, for every item; most pairs are never compared."""
+    v = F.array(F.col("size").cast("double"), F.col("price").cast("double"))
+    e = table(spark, sf_dir, "items").where("size is not null and price is not null").select("kind", F.col("item_id").alias("item_id"), v.alias("v"))
+    return neighbours.nearest(e.select("kind", F.col("item_id").alias("query_id"), F.col("v").alias("q")), e, "kind", 5, ring=50).select("kind", "query_id", "item_id", "d", F.col("rank").cast("long").alias("rank"))
 
 
 def r5_mmr(spark, sf_dir):
@@ -169,7 +176,7 @@ def _page_query(kind: str, number: str):
 
 _PAGE_KINDS = [("redhat", "h1"), ("bugzilla", "h2"), ("ubuntu", "h3"), ("packet_storm", "h4"), ("exploit_db", "h5"), ("lwn_alerts", "h6"), ("lwn_article", "h6"), ("mail_threads", "h7"), ("mail_message", "h7"), ("bulletin", "h8"), ("cgit_commit", "h9")]
 
-QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_final_documents, w2_token_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
+QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_final_documents, w2_token_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r4_pruned_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
 
 _K = "CAST(s_suppkey AS VARCHAR)"
 SQL = {
@@ -187,6 +194,7 @@ SELECT conv_id, turn, batch FROM f""",
     "c24_thread_order": "WITH RECURSIVE m AS (SELECT conv_id AS conv, turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 0 THEN 0 ELSE turn - 1 END AS parent FROM conversations), w AS (SELECT conv, id, 0 AS depth, [id] AS path FROM m WHERE parent IS NULL UNION ALL SELECT m.conv, m.id, w.depth + 1, list_append(w.path, m.id) FROM w JOIN m ON m.conv = w.conv AND m.parent = w.id) SELECT conv, id, depth, row_number() OVER (PARTITION BY conv ORDER BY path) AS place, array_to_string(path, '/') AS path FROM w",
     "c24_long_threads": "WITH RECURSIVE m AS (SELECT (s_suppkey + 1000000) // 500 AS conv, s_suppkey + 1000000 AS id FROM supplier), w AS (SELECT conv, id, 0 AS depth, id AS first FROM m WHERE id % 500 = 0 UNION ALL SELECT m.conv, m.id, depth + 1, first FROM w JOIN m ON m.id = w.id + 1 AND m.id % 500 <> 0) SELECT * FROM w",
     "c30_json_text": "SELECT c_custkey, CAST(to_json({'c_name': c_name, 'c_nationkey': c_nationkey}) AS VARCHAR) AS json FROM customer",
+    "r4_pruned_nearest": "WITH e AS (SELECT kind, item_id, [CAST(size AS DOUBLE), CAST(price AS DOUBLE)] AS v FROM items WHERE kind IS NOT NULL AND item_id IS NOT NULL AND size IS NOT NULL AND price IS NOT NULL), d AS (SELECT q.kind, q.item_id AS query_id, c.item_id, round(list_distance(q.v, c.v), 6) AS d FROM e q JOIN e c ON q.kind = c.kind AND q.item_id <> c.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY kind, query_id ORDER BY d, item_id) AS rank FROM d) SELECT * FROM r WHERE rank <= 5",
     "r5_mmr": """WITH RECURSIVE e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
  d AS (SELECT q.label, q.vec_id AS query_id, q.v AS q, c.vec_id AS item_id, c.v, round(list_distance(q.v, c.v), 6) AS d FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
  f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rank FROM d QUALIFY rank <= 20),
