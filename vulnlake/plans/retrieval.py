@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.operators import html, neighbours, rag
+from vulnlake.operators import batches, html, neighbours, rag
 from vulnlake.plans.evaluation import cve_col, cve_sql
 from vulnlake.session import table
 
@@ -52,6 +52,12 @@ def w2_token_batches(spark, sf_dir):
     return rag.token_batches(c, "conv_id", "turn", "tokens", 120)
 
 
+def w2_long_batches(spark, sf_dir):
+    """Few keys, each of them a long list over many tasks."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").cast("long").alias("tokens"))
+    return batches.long_batches(li, "l_returnflag", "pos", "tokens", 3000)
+
+
 def w2_bpe_batches(spark, sf_dir):
     """Batches by a vocabulary's own tokens."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", rag.bpe_token_count(vocabulary_path())("text").alias("tokens"))
@@ -176,7 +182,7 @@ def _page_query(kind: str, number: str):
 
 _PAGE_KINDS = [("redhat", "h1"), ("bugzilla", "h2"), ("ubuntu", "h3"), ("packet_storm", "h4"), ("exploit_db", "h5"), ("lwn_alerts", "h6"), ("lwn_article", "h6"), ("mail_threads", "h7"), ("mail_message", "h7"), ("bulletin", "h8"), ("cgit_commit", "h9")]
 
-QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_final_documents, w2_token_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r4_pruned_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
+QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_final_documents, w2_token_batches, w2_long_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r4_pruned_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
 
 _K = "CAST(s_suppkey AS VARCHAR)"
 SQL = {
@@ -188,6 +194,9 @@ SQL = {
     "w2_token_batches": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
  f AS (SELECT conv_id, turn, i, t AS used, 0 AS batch FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.turn, c.i, CASE WHEN f.used = 0 OR f.used + c.t <= 120 THEN f.used + c.t ELSE c.t END, CASE WHEN f.used = 0 OR f.used + c.t <= 120 THEN f.batch ELSE f.batch + 1 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
 SELECT conv_id, turn, batch FROM f""",
+    "w2_long_batches": """WITH RECURSIVE c AS MATERIALIZED (SELECT l_returnflag AS k, l_orderkey * 10 + l_linenumber AS pos, sum(CAST(l_quantity AS BIGINT)) OVER w AS e, sum(CAST(l_quantity AS BIGINT)) OVER w - CAST(l_quantity AS BIGINT) AS s FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING)),
+ b AS (SELECT k, min(s) AS s, CAST(0 AS INT) AS batch FROM c GROUP BY k UNION ALL SELECT b.k, (SELECT min(c.s) FROM c WHERE c.k = b.k AND c.e > b.s + 3000), batch + 1 FROM b WHERE EXISTS (SELECT 1 FROM c WHERE c.k = b.k AND c.e > b.s + 3000))
+SELECT c.k AS l_returnflag, c.pos, b.batch FROM c ASOF JOIN b ON c.k = b.k AND c.s >= b.s""",
     "r4_j15_nearest": "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.label, q.vec_id AS query_id, c.vec_id AS item_id, round(list_distance(q.v, c.v), 6) AS d FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rank FROM d) SELECT * FROM r WHERE rank <= 12",
     "r6_contexts": "SELECT conv_id, md5(string_agg('Source: ' || role || chr(10) || ' ' || text || chr(10), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "r8_ground_truth": f"SELECT o_orderkey, coalesce(s_name, 'Not Given') AS truth FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % 900 AND o_orderpriority = '1-URGENT'",
