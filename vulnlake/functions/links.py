@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnlake.functions.patterns import required_literals, where_literal
+
 #: Addresses of the kernel's repositories.
 KERNEL_GIT = [
     r"""https?://git\.kernel\.org/[^\s'"<>]+""",
@@ -49,14 +51,17 @@ def is_kernel_git(url: Column) -> Column:
 
 
 def commit_hashes(url: Column) -> Column:
-    """Sorted distinct hashes, in lower case."""
+    """Sorted distinct hashes, in lower case.
+
+    Addresses without seven digits of a hash in a row have none; of the others each runs only the patterns whose literal it holds.
+    """
+    none = F.array().cast("array<string>")
 
     def found(u: Column) -> Column:
-        hits = F.flatten(F.array(*[F.regexp_extract_all(u, F.lit(f"(?i){p}"), 1) for p in COMMIT_HASH]))
-        return F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.lower(h))))
+        hits = [where_literal(u, max(required_literals(p), key=len), F.regexp_extract_all(u, F.lit(p), F.lit(1)), none) for p in COMMIT_HASH]
+        return F.array_sort(F.array_distinct(F.concat(*hits)))
 
-    none = F.array().cast("array<string>")  # every pattern needs seven digits in a row
-    return once(url, lambda raw: once(decoded(raw), lambda u: F.when(~u.rlike("[A-Fa-f0-9]{7}"), none).otherwise(found(u))))
+    return once(F.lower(decoded(url)), lambda u: F.when(u.rlike("[a-f0-9]{7}"), found(u)).otherwise(none))
 
 
 def git_bucket(url: Column) -> Column:

@@ -23,7 +23,7 @@ def attribute_key(category: Column, attribute: Column) -> Column:
 
 def conformal_rank(n: Column, alpha: float) -> Column:
     """Which order statistic of n nonconformity scores covers 1 - alpha."""
-    return F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * F.lit(1.0 - alpha)))).cast("int")
+    return F.greatest(F.lit(1), F.least(n, F.ceil((n + 1) * F.lit(1.0 - alpha)))).cast("long")
 
 
 def ordinal_set(y: Column, q: Column, low: int = 1, high: int = 5) -> Column:

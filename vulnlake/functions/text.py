@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnlake.functions.patterns import literal_index, matched, required_literals
+
 #: White space as Unicode has it, and the four separators that regex classes leave out.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -126,12 +128,12 @@ def clean_commit_message(c: Column) -> Column:
 
 
 def matched_keywords(c: Column, keywords: list[str]) -> Column:
-    low = F.lower(c)
-    return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, F.lower(k)))
+    low, index = F.lower(c), literal_index({k: [k.lower()] for k in keywords})
+    return matched(low, index, lambda k: F.contains(low, F.lit(k.lower())), keywords)
 
 
 def matched_patterns(c: Column, patterns: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(c.rlike(f"(?i){p}"), p) for p in patterns]))
+    return matched(F.lower(c), literal_index({p: required_literals(p) for p in patterns}), lambda p: c.rlike(f"(?i){p}"), patterns)
 
 
 def score_and_severity(c: Column) -> tuple[Column, Column]:

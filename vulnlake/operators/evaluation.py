@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vulnlake.functions import scoring
+from vulnlake.session import materialise
 
 #: Display name of each attribute, in display order.
 ATTRIBUTE_NAMES = {
@@ -73,11 +74,30 @@ def column_means(matrix: DataFrame) -> DataFrame:
 def conformal_thresholds(human: DataFrame, model: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(key, n, k, q): per attribute the k-th smallest difference between the two scorers, joined on the CVE."""
     diff = human.select("cve", "key", F.col("score").alias("h")).join(model.select("cve", "key", F.col("score").alias("m")), ["cve", "key"]).select("key", F.abs(F.col("h") - F.col("m")).cast("double").alias("d"))
-    # scores are small integers, so counts per distinct difference are all the order statistic needs
-    counts = diff.groupBy("key", "d").agg(F.count("*").alias("c"))
+    return kth_smallest(diff, alpha)
+
+
+#: Parts that a key's distinct values are cut into before one of them is sorted.
+CUTS = 128
+
+
+def kth_smallest(values: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(key, n, k, q) of (key, d): per key the k-th smallest value by the conformal rank, to 4 digits; nulls don't count.
+
+    Equal values are counted first.  A key's distinct values are then cut at sampled quantiles; the counts of the parts, at most
+    CUTS a key, say which part holds the k-th, and only that part is sorted.  Which quantiles are met matters for the
+    size of a part, not for the result.
+    """
+    counts = materialise(values.where("d is not null").groupBy("key", "d").agg(F.count("*").alias("c")), "selection")
+    steps = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    grid = counts.groupBy("key").agg(F.percentile_approx("d", steps, 20 * CUTS).alias("grid"))
+    parted = counts.join(grid, "key").select("key", "d", "c", F.size(F.filter("grid", lambda g: g < F.col("d"))).alias("part"))
+    sums = parted.groupBy("key", "part").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("key")
-    cumulated = counts.select("key", "d", F.sum("c").over(w).alias("n"), F.sum("c").over(w.orderBy("d")).alias("upto")).withColumn("k", scoring.conformal_rank(F.col("n"), alpha))
-    return cumulated.where(F.col("upto") >= F.col("k")).groupBy("key", "n", "k").agg(scoring.round_even(F.min("d"), 4).alias("q"))
+    totals = sums.select("key", "part", "c", F.sum("c").over(w).alias("n"), F.sum("c").over(w.orderBy("part")).alias("upto")).withColumn("k", scoring.conformal_rank(F.col("n"), alpha))
+    hit = totals.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k"))).select("key", "part", "n", "k", (F.col("upto") - F.col("c")).alias("before"))
+    ranked = parted.join(hit, ["key", "part"]).withColumn("upto", F.col("before") + F.sum("c").over(w.orderBy("d")))
+    return ranked.where(F.col("upto") >= F.col("k")).groupBy("key", "n", "k").agg(scoring.round_even(F.min("d"), 4).alias("q"))
 
 
 def label_column(c: Column, labels: dict[str, str]) -> Column:

@@ -71,7 +71,13 @@ def a9_row_then_column_mean(spark, sf_dir):
 
 
 def a15_a16_conformal_thresholds(spark, sf_dir):
-    return ev.conformal_thresholds(_points(spark, sf_dir, 0), _points(spark, sf_dir, 1)).select("key", F.col("n").cast("long"), "k", "q")
+    return ev.conformal_thresholds(_points(spark, sf_dir, 0), _points(spark, sf_dir, 1)).select("key", F.col("n").cast("long"), F.col("k").cast("int").alias("k"), "q")
+
+
+def a15_continuous_scores(spark, sf_dir):
+    """Thresholds of scores that hardly ever repeat, under few keys."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("key"), F.abs(F.col("l_extendedprice") / (F.col("l_orderkey") + 1) - F.col("l_discount") * F.col("l_partkey")).alias("d"))
+    return ev.kth_smallest(li).select("key", F.col("n").cast("long"), F.col("k").cast("int").alias("k"), "q")
 
 
 def evaluation_conformal_report(spark, sf_dir):
@@ -209,7 +215,7 @@ def t1_t3_sorted_means(spark, sf_dir):
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_score"), "key")))
 
 
-QUERIES = {f.__name__: f for f in (a7_c26_claim_ladder, a7_map_mean, p17_attribute_key, a8_column_means, a9_row_then_column_mean, a15_a16_conformal_thresholds, evaluation_conformal_report, c27_ordinal_set, a10_confusion, a12_class_metrics, a11_macro_metrics, a13_weighted_metrics, a11_accuracy, a5_a6_any_positive, a14_identification, w4_truth_rank, j9_a17_conflicts, a17_conflict_counts, p18_a20_token_usage, j14_f14_questions, u4_nonconformity, t1_t3_sorted_means)}
+QUERIES = {f.__name__: f for f in (a7_c26_claim_ladder, a7_map_mean, p17_attribute_key, a8_column_means, a9_row_then_column_mean, a15_a16_conformal_thresholds, a15_continuous_scores, evaluation_conformal_report, c27_ordinal_set, a10_confusion, a12_class_metrics, a11_macro_metrics, a13_weighted_metrics, a11_accuracy, a5_a6_any_positive, a14_identification, w4_truth_rank, j9_a17_conflicts, a17_conflict_counts, p18_a20_token_usage, j14_f14_questions, u4_nonconformity, t1_t3_sorted_means)}
 
 _COLUMN_MEANS_SQL = f"WITH c AS ({CLAIMS_SQL}), m AS (SELECT cve, key, avg(score) AS mean FROM c GROUP BY ALL) SELECT key, round_even(avg(CAST({LADDER_SQL.format(m='mean')} AS DOUBLE)) * 100, 0) / 100 AS mean_score FROM m GROUP BY key"
 
@@ -221,6 +227,9 @@ SQL = {
     "a8_column_means": _COLUMN_MEANS_SQL,
     "a9_row_then_column_mean": "SELECT o_custkey, avg(TRY_CAST(CASE WHEN o_orderkey % 6 IN (0, 1) THEN NULL ELSE o_orderkey % 5 + 1 END AS DOUBLE)) AS row_mean FROM orders GROUP BY o_custkey",
     "a15_a16_conformal_thresholds": f"{_THRESHOLD_SQL} SELECT key, n, k, q FROM t",
+    "a15_continuous_scores": """WITH d AS (SELECT l_returnflag AS key, abs(l_extendedprice / (l_orderkey + 1) - l_discount * l_partkey) AS d FROM lineitem),
+ r AS (SELECT key, d, row_number() OVER (PARTITION BY key ORDER BY d) AS i, count(*) OVER (PARTITION BY key) AS n FROM d WHERE d IS NOT NULL)
+SELECT key, n, CAST(i AS INTEGER) AS k, round_even(d * 10000, 0) / 10000 AS q FROM r WHERE i = CAST(greatest(1, least(n, ceil((n + 1) * (1.0::DOUBLE - 0.1::DOUBLE)))) AS BIGINT)""",
     "evaluation_conformal_report": _REPORT_SQL,
     "c27_ordinal_set": "SELECT o_orderkey, array_to_string(list_filter([1, 2, 3, 4, 5], lambda x: abs(x - (o_orderkey % 5 + 1)) <= o_custkey % 4), ',') AS labels FROM orders",
     "a10_confusion": f"{_CM_SQL} SELECT y, yhat, n FROM cm",
