@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions import code, links, scoring
 from vulnlake.functions import text as tx
 from vulnlake.operators import evaluation as ev
-from vulnlake.operators import html, rag
+from vulnlake.operators import chunking, html, rag
 
 
 def one(spark, value, build):
@@ -95,17 +95,18 @@ def test_added_lines(spark):
     assert one(spark, "+++ b/x\n+a\n-b\n+\n c", code.added_lines) == "a\n"
 
 
-def test_chunks_cover_the_text():
+def test_chunks_cover_the_text(spark):
+    split = lambda t, size, overlap: [c["text"] for c in one(spark, t, lambda c: chunking.chunk_list(c, size, overlap))]
     rng = random.Random(1)
     text = "".join(rng.choice([f"w{i} ", f"longerword{i} ", "\n", "\n\n", f"{i}" + "x" * 30 + " "]) for i in range(2000))
-    pieces = rag.split_text(text, 200, 40)
+    pieces = split(text, 200, 40)
     assert all(0 < len(p) <= 200 for p in pieces)
     at = 0
     for p in pieces:
         start = text.find(p, max(0, at - 80))
         assert start >= 0 and not text[at:start].strip()
         at = start + len(p)
-    assert not text[at:].strip() and rag.split_text("y" * 450, 200, 40)[0] == "y" * 200 and rag.split_text("", 10, 2) == []
+    assert not text[at:].strip() and split("y" * 450, 200, 40)[0] == "y" * 200 and split("", 10, 2) == []
 
 
 def test_token_batches(spark):

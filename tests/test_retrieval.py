@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from plain_split import split_text
 from pyspark.sql import functions as F
 
 from vulnlake.operators import rag
@@ -62,7 +63,7 @@ def test_recursive_pieces_cover_the_text_within_their_limits():
         size, overlap = r.choice([(40, 10), (100, 0), (60, 25)])
         word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
         text = "".join(r.choice([word(5) + " ", word(11) + " ", "\n", "\n\n", word(r.randint(9, 130)), " "]) for _ in range(r.randint(0, 60)))
-        pieces = rag.split_text(text, size, overlap)
+        pieces = [p for _, p in split_text(text, size, overlap)]
         at, reached = 0, 0
         for p in pieces:
             assert p and p == p.strip() and len(p) <= size

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,75 +12,6 @@ from pyspark.sql.window import Window
 from vulnlake.operators.neighbours import nearest
 from vulnlake.session import materialise, release
 
-#: Chunk size and overlap in characters, separators from the coarsest on.
-CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
-SEPARATORS = ["\n\n", "\n", " ", ""]
-
-
-def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: list[str] | None = None) -> list[str]:
-    """Pieces of at most `size` characters, cut at the coarsest separator that a piece holds; neighbours overlap."""
-    separators = SEPARATORS if separators is None else separators
-    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    sep, finer = separators[at], separators[at + 1 :]
-    if sep:
-        parts = re.split(f"(?={re.escape(sep)})", text)  # a separator goes with what it begins
-    else:
-        parts = list(text)
-    out: list[str] = []
-    run: list[str] = []
-
-    def flush(final: bool) -> None:
-        joined = "".join(run).strip()
-        if joined:
-            out.append(joined)
-        if final:
-            run.clear()
-
-    length = 0
-    for part in (p for p in parts if p):
-        if len(part) > size and finer:
-            if run:
-                flush(True)
-                length = 0
-            out.extend(split_text(part, size, overlap, finer))
-            continue
-        if run and length + len(part) > size:
-            flush(False)
-            while run and (length > overlap or length + len(part) > size):
-                length -= len(run.pop(0))
-        run.append(part)
-        length += len(part)
-    if run:
-        flush(True)
-    return out
-
-
-def chunks(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """docs with (chunk_pos, start_index, chunk) for each piece of the text."""
-
-    @F.pandas_udf("array<struct<start:int,text:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(text):
-            found, at = [], 0
-            for piece in split_text(text or "", size, overlap):
-                start = (text or "").find(piece, at)
-                found.append({"start": start, "text": piece})
-                at = max(start + len(piece) - overlap, 0) if start >= 0 else at
-            return found
-
-        return texts.map(one)
-
-    cut_ = docs.withColumn("__c", cut(F.col(text_col)))
-    return cut_.select(*docs.columns, F.posexplode("__c").alias("chunk_pos", "c")).select(*docs.columns, "chunk_pos", F.col("c.start").alias("start_index"), F.col("c.text").alias("chunk"))
-
-
-def fixed_chunks(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """The native variant: pieces of fixed length at fixed strides."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text_col) - 1, F.lit(0)), F.lit(size - overlap))
-    rows = docs.select(*docs.columns, F.posexplode(starts).alias("chunk_pos", "start_index"))
-    return rows.withColumn("chunk", F.substr(F.col(text_col), F.col("start_index") + 1, F.lit(size)))
-
-
 def running_documents(items: DataFrame, key: str, pos: str, text: str, sep: str = "\n") -> DataFrame:
     """items with `document`: all texts of the key up to and with this one."""
     w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)

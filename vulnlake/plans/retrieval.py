@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.operators import batches, html, neighbours, rag
+from vulnlake.operators import batches, chunking, html, neighbours, rag
 from vulnlake.plans.evaluation import cve_col, cve_sql
 from vulnlake.session import table
 
@@ -23,11 +23,11 @@ def r1_documents(spark, sf_dir):
 
 
 def r2_recursive_chunks(spark, sf_dir):
-    return rag.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos", "start_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+    return chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos", "start_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 def r2_fixed_chunks(spark, sf_dir):
-    return rag.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos", "start_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+    return chunking.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos", "start_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 def w1_running_documents(spark, sf_dir):
@@ -35,6 +35,13 @@ def w1_running_documents(spark, sf_dir):
     return rag.running_documents(c, "conv_id", "turn", "text").select("conv_id", "turn", F.md5(F.col("document").cast("binary")).alias("digest"))
 
 
+def w1_running_views(spark, sf_dir):
+    """Running documents as views of texts that are stored once."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    stored, spans = chunking.running_spans(c, "conv_id", "turn", "text")
+    return chunking.running_view(stored, spans, "conv_id").select("conv_id", "turn", F.md5(F.col("document").cast("binary")).alias("digest"))
+
+
 def w1_final_documents(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return rag.final_documents(c, "conv_id", "turn", "text").select("conv_id", F.md5(F.col("document").cast("binary")).alias("digest"))
@@ -182,13 +189,14 @@ def _page_query(kind: str, number: str):
 
 _PAGE_KINDS = [("redhat", "h1"), ("bugzilla", "h2"), ("ubuntu", "h3"), ("packet_storm", "h4"), ("exploit_db", "h5"), ("lwn_alerts", "h6"), ("lwn_article", "h6"), ("mail_threads", "h7"), ("mail_message", "h7"), ("bulletin", "h8"), ("cgit_commit", "h9")]
 
-QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_final_documents, w2_token_batches, w2_long_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r4_pruned_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
+QUERIES = {f.__name__: f for f in (r1_documents, r2_recursive_chunks, r2_fixed_chunks, w1_running_documents, w1_running_views, w1_final_documents, w2_token_batches, w2_long_batches, w2_bpe_batches, c34_token_count, c34_bpe_tokens, c30_json_text, r4_j15_nearest, r4_pruned_nearest, r5_mmr, r6_contexts, r8_ground_truth, c24_thread_order, c24_long_threads, h_outline, h10_f12_pages, *[_page_query(k, n) for k, n in _PAGE_KINDS])}
 
 _K = "CAST(s_suppkey AS VARCHAR)"
 SQL = {
     "r1_documents": f"SELECT * FROM (SELECT {cve_sql('o_custkey')} AS cve, o_orderkey, 'nvd' AS source, 0 AS pos, 'flaw ' || o_orderpriority AS text FROM orders UNION ALL SELECT {cve_sql('o_custkey')}, o_orderkey, 'patch message', 1, '[PATCH MESSAGE] ' || chr(10) || o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT {cve_sql('o_custkey')}, o_orderkey, 'impact scores', 2, CAST(o_orderkey % 10 AS VARCHAR) FROM orders)",
     "r2_fixed_chunks": "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS i FROM documents) SELECT doc_id, CAST(i // 900 AS INTEGER) AS chunk_pos, CAST(i AS INTEGER) AS start_index, CAST(length(substr(text, i + 1, 1000)) AS INTEGER) AS n_chars, md5(substr(text, i + 1, 1000)) AS digest FROM s",
     "w1_running_documents": "SELECT conv_id, turn, md5(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS digest FROM conversations",
+    "w1_running_views": "SELECT conv_id, turn, md5(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS digest FROM conversations",
     "w1_final_documents": "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "c34_token_count": r"SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS tokens FROM conversations",
     "w2_token_batches": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
@@ -217,3 +225,29 @@ SELECT label, query_id, items[chosen[place]] AS item_id, place FROM p""",
     **{f"{n}_{k}": f"SELECT s_suppkey, replace('{SAMPLE_FIELDS[k][1]}', '{{k}}', {_K}) AS fields FROM supplier" for k, n in _PAGE_KINDS if SAMPLE_FIELDS[k][1]},
     "h7_mail_message": f"SELECT s_suppkey, 'CVE-2020-' || substr({_K} || '0000', 1, 7) || '|A ' || {_K} || '|body' AS fields FROM supplier",
 }
+
+
+def _leaves_sql(text: str, separators: list[str], depth: int = 0) -> str:
+    """Parts of a text as a list, with '' where merging has to stop."""
+    sep, finer = separators[0], separators[1:]
+    if not sep:
+        return f"string_split({text}, '')"
+    lit, x = "(" + " || ".join(["chr(10)"] * len(sep)) + ")" if sep[0] == "\n" else "' '", f"x{depth}_{len(separators)}"
+    inner = _leaves_sql(x, finer, depth + 1)
+    cut = f"flatten(list_transform(list_filter(list_transform(string_split({text}, {lit}), lambda p{x}, i{x}: CASE WHEN i{x} = 1 THEN p{x} ELSE {lit} || p{x} END), lambda q{x}: q{x} <> ''), lambda {x}: CASE WHEN length({x}) < 1000 THEN [{x}] ELSE list_concat([''], {inner}, ['']) END))"
+    return f"CASE WHEN contains({text}, {lit}) THEN {cut} ELSE {_leaves_sql(text, finer, depth + 1)} END"
+
+
+_WHITE = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}\x{001C}-\x{001F}]+"
+SQL["r2_recursive_chunks"] = f"""WITH p AS (SELECT doc_id, list_append({_leaves_sql('text', chunking.SEPARATORS)}, '') AS p FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM p),
+ g AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER w AS g, sum(length(t)) OVER w AS e FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT doc_id, g, list(length(t) ORDER BY i) AS n, min(e - length(t)) AS begin_at FROM g WHERE t <> '' GROUP BY doc_id, g),
+ f AS (SELECT doc_id, g, list_reduce(list_append(n, 100000), lambda s, m: CASE WHEN len(s.r) > 0 AND list_sum(s.r) + m > 1000 THEN
+   {{'o': list_append(s.o, {{'s': s.p - list_sum(s.r)::BIGINT, 'n': list_sum(s.r)::BIGINT}}), 'p': s.p + m,
+     'r': list_append(list_filter(s.r, lambda x, i: list_sum(s.r[i:]) <= least(100, 1000 - m)), m)}}
+   ELSE {{'o': s.o, 'p': s.p + m, 'r': list_append(s.r, m)}} END, {{'o': []::STRUCT(s BIGINT, n BIGINT)[], 'p': begin_at::BIGINT, 'r': []::BIGINT[]}}).o AS o FROM s),
+ c AS (SELECT doc_id, unnest(o).s AS s, unnest(o).n AS n FROM f),
+ r AS (SELECT c.doc_id, c.s, c.n, substr(d.text, c.s + 1, c.n) AS raw FROM c JOIN documents d USING (doc_id)),
+ b AS (SELECT doc_id, s + length(raw) - length(regexp_replace(raw, '^{_WHITE}', '')) AS start_index, regexp_replace(raw, '^{_WHITE}|{_WHITE}$', '', 'g') AS chunk, s, n FROM r)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, n) - 1 AS INTEGER) AS chunk_pos, CAST(start_index AS INTEGER) AS start_index, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS digest FROM b WHERE chunk <> ''"""
