@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vulnlake.plans.evaluation import cve_col, cve_sql
 from vulnlake.session import scratch, table
 from vulnlake.sources import readers, sinks
+from vulnlake.streaming import resume
 
 
 def _suppliers(spark, sf_dir):
@@ -14,10 +15,10 @@ def _suppliers(spark, sf_dir):
 
 
 def s1_json_object(spark, sf_dir):
-    """K1: one object keyed by id, in one file."""
+    """K1: objects keyed by id, an entry a line, read in splits."""
     path = scratch(spark, "s1")
     sinks.json_object(_suppliers(spark, sf_dir), path, "cve")
-    return readers.json_object(spark, path, "struct<s_name:string,s_nationkey:int>").select("id", "record.s_name", "record.s_nationkey")
+    return readers.json_object_lines(spark, path, "struct<s_name:string,s_nationkey:int>").select("id", "record.s_name", "record.s_nationkey")
 
 
 def s2_json_array(spark, sf_dir):
@@ -75,29 +76,24 @@ def s8_s10_keyed_files(spark, sf_dir):
 
 
 def _bodies(spark, sf_dir, path: str) -> None:
-    """A text file for each supplier below its nation's folder: <nation>/<id>.txt."""
-    rows = table(spark, sf_dir, "supplier").select(F.concat_ws("/", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("body of "), "s_name", F.lit("\n"), F.col("s_nationkey").cast("string")).alias("body"))
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in rows.collect():  # a fixture of small files
-        with_name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{r['name']}.txt")
-        out = files.create(with_name)
-        out.write(bytearray(r["body"].encode()))
-        out.close()
+    """A text file for each supplier in a folder of its own below its nation's, written by the tasks that hold the rows."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("id"), F.concat(F.lit("body of "), "s_name", F.lit("\n"), F.col("s_nationkey").cast("string")).alias("value"))
+    rows.repartition("group").write.partitionBy("group", "id").option("lineSep", "\0").text(path)
 
 
 def s9_keyed_files(spark, sf_dir):
-    """A folder of files named by their ids."""
+    """A folder of files, a file an id."""
     path = scratch(spark, "s9")
     _bodies(spark, sf_dir, path)
-    return readers.keyed_files(spark, f"{path}/*/*.txt", "body").select("id", F.md5(F.col("body").cast("binary")).alias("digest"))
+    body = F.regexp_replace("body", "\0$", "")
+    return readers.keyed_files(spark, f"{path}/*/*/*.txt", "body", r"/id=([^/]+)/[^/]+$").select("id", F.md5(body.cast("binary")).alias("digest"))
 
 
 def s10_thread_bodies(spark, sf_dir):
-    """Bodies kept as <group>/<thread>.txt, looked up by both; a thread without a body keeps none."""
+    """Bodies by group and thread, looked up by both; a thread without a body keeps none."""
     path = scratch(spark, "s10")
     _bodies(spark, sf_dir, path)
-    bodies = readers.thread_bodies(spark, path)
+    bodies = readers.thread_bodies(spark, path, r"/group=([^/]+)/", r"/id=([^/]+)/[^/]+$").withColumn("body", F.regexp_replace("body", "\0$", ""))
     threads = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("year_quarter"), F.when(F.col("s_suppkey") % 5 == 0, "none").otherwise(F.col("s_suppkey").cast("string")).alias("thread_id"), "s_suppkey")
     return threads.join(bodies, ["year_quarter", "thread_id"], "left").select("s_suppkey", "year_quarter", "body")
 
@@ -134,7 +130,18 @@ def s11_optional(spark, sf_dir):
     return _suppliers(spark, sf_dir).join(none, "cve", "left").select("cve", "note")
 
 
-QUERIES = {f.__name__: f for f in (s1_json_object, s2_json_array, s3_json_mixed, s2_s3_json_records, s4_s6_csv, s6_headless_csv, s7_id_lines, s8_s10_keyed_files, s9_keyed_files, s10_thread_bodies, s17_commit_log, k5_files_by_key, k7_ledger, s11_optional)}
+def s12_resumed_increments(spark, sf_dir):
+    """Files that come in two runs of one stream; keys that the ledger has are not handed on again."""
+    path = scratch(spark, "increments")
+    rows = table(spark, sf_dir, "client_changes").where("client_id is not null").select(F.col("client_id").alias("key"), "city")
+    source, done, ledger = f"{path}/source", f"{path}/done", f"{path}/ledger"
+    for run, part in enumerate((rows.where("key % 3 <> 0"), rows.where("key % 2 = 0"))):
+        part.write.mode("append").json(source)
+        resume.run_increment(spark, source, "key long, city string", ledger, f"{path}/checkpoint", "key", lambda new, run=run: new.select("key", F.lit(run).alias("run")).write.mode("append").parquet(done))
+    return spark.read.parquet(done).select("key", "run")
+
+
+QUERIES = {f.__name__: f for f in (s1_json_object, s2_json_array, s3_json_mixed, s2_s3_json_records, s4_s6_csv, s6_headless_csv, s7_id_lines, s8_s10_keyed_files, s9_keyed_files, s10_thread_bodies, s17_commit_log, k5_files_by_key, k7_ledger, s11_optional, s12_resumed_increments)}
 
 _C = cve_sql("s_suppkey")
 SQL = {
@@ -151,5 +158,6 @@ SQL = {
     "s7_id_lines": f"SELECT {_C} AS id FROM supplier",
     "s8_s10_keyed_files": f"SELECT s_nationkey AS nation, string_agg({_C}, ',' ORDER BY {_C}) AS cves FROM supplier GROUP BY 1",
     "k7_ledger": f"SELECT {_C} AS cve, s_name FROM supplier WHERE s_nationkey % 3 = 2",
+    "s12_resumed_increments": "SELECT client_id AS key, CAST(CASE WHEN client_id % 3 <> 0 THEN 0 ELSE 1 END AS INT) AS run FROM client_changes WHERE client_id % 3 <> 0 OR client_id % 2 = 0 GROUP BY client_id",
     "s11_optional": f"SELECT {_C} AS cve, CAST(NULL AS VARCHAR) AS note FROM supplier",
 }

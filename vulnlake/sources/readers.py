@@ -22,6 +22,13 @@ def json_object(spark: SparkSession, path: str, value_type: str = "string") -> D
     return whole.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("id", "record"))
 
 
+def json_object_lines(spark: SparkSession, path: str, value_type: str = "string") -> DataFrame:
+    """(id, record) of files that hold one object keyed by id with an entry a line; a file of any size is read in splits."""
+    bare = F.regexp_replace(F.trim("value"), r"^,\s*|\s*,$", "")
+    rows = spark.read.text(path).select(bare.alias("e")).where(F.col("e").startswith('"'))
+    return rows.select(F.explode(F.from_json(F.concat(F.lit("{"), "e", F.lit("}")), f"map<string,{value_type}>")).alias("id", "record"))
+
+
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of files that hold one array; unreadable ones stay in _corrupt_record if the schema has it."""
     return spark.read.schema(schema).json(path, multiLine=True)
@@ -56,10 +63,9 @@ def id_lines(spark: SparkSession, path: str, upper: bool = False, distinct: bool
     return rows.distinct() if distinct else rows
 
 
-def keyed_files(spark: SparkSession, path: str, column: str = "content") -> DataFrame:
-    """(id, content) of a folder of files whose names are their ids."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), FILE_KEY, 1).alias("id"), F.col("value").alias(column))
-    return rows
+def keyed_files(spark: SparkSession, path: str, column: str = "content", key: str = FILE_KEY) -> DataFrame:
+    """(id, content) of a folder of files; key: a regular expression whose first group is the id in a file's path, by default its name."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), key, 1).alias("id"), F.col("value").alias(column))
 
 
 def keyed_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -67,10 +73,10 @@ def keyed_json(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path, multiLine=True).select(F.regexp_extract(F.col("_metadata.file_name"), FILE_KEY, 1).alias("id"), "*")
 
 
-def thread_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """(year_quarter, thread_id, body) of bodies kept as <year_quarter>/<thread_id>.txt."""
+def thread_bodies(spark: SparkSession, path: str, group: str = r"([^/]+)/[^/]+$", thread: str = FILE_KEY) -> DataFrame:
+    """(year_quarter, thread_id, body) of bodies kept as <year_quarter>/<thread_id>.txt, or where the two expressions find them in a path."""
     where = F.col("_metadata.file_path")
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("year_quarter"), F.regexp_extract(where, FILE_KEY, 1).alias("thread_id"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(where, group, 1).alias("year_quarter"), F.regexp_extract(where, thread, 1).alias("thread_id"), F.col("value").alias("body"))
 
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:

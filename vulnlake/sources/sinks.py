@@ -11,22 +11,26 @@ def json_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def json_object(df: DataFrame, path: str, key: str) -> None:
-    """One file that holds one object keyed by `key`.  One writer, since it is one file, but its rows stream through it."""
+def json_object(df: DataFrame, path: str, key: str, one_file: bool = False) -> None:
+    """A folder of files that each hold one object keyed by `key`, an entry a line; rows stream through their writers.
+
+    one_file: a single file, and so a single writer, for a reader that wants it; what the rows come from stays parallel.
+    """
     record = F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"})
     entry = F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(": "), record)
 
     def lines(batches):
         first = True
-        yield pa.RecordBatch.from_pydict({"value": pa.array(["{"])})
         for batch in batches:
             found = batch.column(0).to_pylist()
             if found:
-                yield pa.RecordBatch.from_pydict({"value": pa.array([("" if first and i == 0 else ",") + x for i, x in enumerate(found)], pa.string())})
+                yield pa.RecordBatch.from_pydict({"value": pa.array([("{\n" if first and i == 0 else ",") + x for i, x in enumerate(found)], pa.string())})
                 first = False
-        yield pa.RecordBatch.from_pydict({"value": pa.array(["}"])})
+        if not first or one_file:
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["{}" if first else "}"])})
 
-    df.select(entry.alias("value")).coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+    rows = df.select(entry.alias("value"))
+    (rows.repartition(1) if one_file else rows).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def json_array(df: DataFrame, path: str) -> None:
