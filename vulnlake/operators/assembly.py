@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions import code
 from vulnlake.functions import text as tx
-from vulnlake.operators.portfolio import cpe_parts
+from vulnlake.operators.portfolio import cpe_parts, cwe_values
 
 FACT = ["cve", "seq", "section", "source", "item", "sub", "pos", "value"]
 _WEAKNESS = "struct<source:string,type:string,description:array<struct<lang:string,value:string>>>"
@@ -283,3 +283,34 @@ def documents(portfolios: DataFrame, catalogue: str = "advisory") -> DataFrame:
     """(cve, part, pos, source, text): the documents of portfolios; narrow, one pass over each row."""
     docs = F.concat(*[F.coalesce(c, F.array().cast("array<struct<source:string,text:string>>")) for c in CATALOGUES[catalogue]()])
     return portfolios.select("cve", "part", F.posexplode(docs).alias("pos", "d")).select("cve", "part", "pos", "d.source", "d.text")
+
+
+#: Versions of a metric from the newest on, and the tags that are asked of it.
+METRIC_VERSIONS = ["cvssMetricV40", "cvssMetricV31", "cvssMetricV30", "cvssMetricV2"]
+SCORE_TAGS = {"baseScore": ["cvssData.baseScore"], "baseSeverity": ["cvssData.baseSeverity", "baseSeverity"], "impactScore": ["impactScore"], "exploitabilityScore": ["exploitabilityScore"], "availabilityImpact": ["cvssData.availabilityImpact"]}
+#: Fixed value: what stands for an answer that a portfolio doesn't hold.
+NOT_GIVEN = "Not Given"
+
+
+def ground_truth(portfolios: DataFrame, spine: str = "nvd") -> DataFrame:
+    """(cve, category, attribute, truth): what portfolios know of each attribute that is asked for; attributes without a value have no row."""
+    metrics = F.try_element_at("cvss", F.lit(spine))
+    first = [F.coalesce(F.try_variant_get(metrics, f"$.{v}[0]", "variant"), F.try_variant_get(metrics, f"$.{v}", "variant")) for v in METRIC_VERSIONS]
+    has = [F.coalesce(F.size(F.try_variant_get(metrics, f"$.{v}", "array<variant>")) > 0, F.try_variant_get(metrics, f"$.{v}", "map<string,variant>").isNotNull()) for v in METRIC_VERSIONS]
+    newest = F.coalesce(*[F.when(h, m) for h, m in zip(has, first, strict=True)])
+    items = lambda name: F.flatten(_entries(F.col(name), lambda s, own: F.map_values(own)))
+    joined = lambda texts: F.array_join(F.filter(texts, lambda t: F.length(t) > 0), "\n\n")
+    row = lambda category, attribute, truth: F.struct(F.lit(category).alias("category"), attribute.alias("attribute"), truth.alias("truth"))
+    p = portfolios.select("cve", F.transform(items("patch_set"), item_diff).alias("diffs"), F.transform(items("exploit_set"), lambda i: F.coalesce(_text(i, "$.content"), item_diff(i))).alias("codes"), newest.alias("metric"), "cwe", "location")
+    rows = F.concat(
+        F.transform(F.map_entries(F.col("location")), lambda e: row("Localization", e["key"], _text(e["value"]))),
+        F.array(row("CWE", F.lit("CWE_ID"), F.nullif(cwe_values(F.col("cwe")), F.lit("Not given")))),
+        F.array(*[row("SCORES", F.lit(tag), F.coalesce(*[_text(F.col("metric"), f"$.{path}") for path in paths])) for tag, paths in SCORE_TAGS.items()]),
+        F.array(row("Patch", F.lit("Patch code"), joined(F.transform("diffs", code.added_lines))), row("Patch", F.lit("Code diff"), joined(F.col("diffs"))), row("Exploit", F.lit("Exploit Code"), joined(F.col("codes")))),
+    )
+    return p.select("cve", F.explode(F.filter(rows, lambda r: F.length(r["truth"]) > 0)).alias("r")).select("cve", "r.*")
+
+
+def attach_truth(answers: DataFrame, portfolios: DataFrame) -> DataFrame:
+    """answers of (cve, category, attribute) with `truth`, the sentinel where the portfolio gives none."""
+    return answers.join(ground_truth(portfolios), ["cve", "category", "attribute"], "left").withColumn("truth", F.coalesce("truth", F.lit(NOT_GIVEN)))

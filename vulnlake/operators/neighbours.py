@@ -7,7 +7,7 @@ distances, nor than half of what the pivot is farther off than the query's neare
 rings, until they hold enough items; the distance of its last result then bounds which other rings it asks.  Where vectors are
 spread so evenly that nothing can be left out, all rings are asked, in blocks of rings and queries.
 
-A common key is many rings, and its queries are many blocks of BLOCK at most; no task holds all of a key's queries or items.
+A key of no more items than a ring is joined plainly.  A common key is many rings, and its queries are many blocks of BLOCK at most; no task holds all of a key's queries or items.
 
 Defined cases: rows of a null key, id or vector, or whose vector holds a null or a number that is not finite, take no part; vectors
 are compared with those of their length; a query's own item (equal id) is left out; distances are rounded to 6 digits and ties go to
@@ -116,7 +116,10 @@ def _pack(ring: int):
 
 def index(corpus: DataFrame, key: str, id_col: str = "item_id", vector: str = "v", ring: int = RING, most: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(rings, heads): packed rings, and for every key its pivots and its number of items."""
-    items = materialise(_valid(corpus, key, id_col, vector), "neighbour-items")
+    return _index(materialise(_valid(corpus, key, id_col, vector), "neighbour-items"), ring, most)
+
+
+def _index(items: DataFrame, ring: int, most: int) -> tuple[DataFrame, DataFrame]:
     types = dict(items.dtypes)
     heads = materialise(pivots_of(items, ring, most), "neighbour-pivots")
     blocks = heads.select("k", "dim", F.ceil(F.col("n") / BLOCK).cast("int").alias("__b"))
@@ -207,12 +210,29 @@ def prepared(queries: DataFrame, key: str, id_col: str = "query_id", vector: str
 
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, n: int, ring: int = RING, most: int = PIVOTS) -> DataFrame:
     """(key, query_id, item_id, d, rank): the n nearest items of the same key; queries: (key, query_id, q), corpus: (key, item_id, v)."""
-    rings, heads = index(corpus, key, ring=ring, most=most)
+    items = materialise(_valid(corpus, key, "item_id", "v"), "neighbour-items")
     asked = materialise(prepared(queries, key), "neighbour-queries")
-    first = materialise(_ask(visits(asked, rings, heads, n), rings, n), "neighbour-first")
+    large = items.groupBy("k", "dim").agg(F.count("*").alias("n")).where(F.col("n") > ring).select("k", "dim")
     best = Window.partitionBy("k", "query_id").orderBy("d", "item_id")
+    if large.limit(1).count():
+        both = _few(asked, items.join(large, ["k", "dim"], "left_anti")).unionAll(_many(asked.join(large, ["k", "dim"], "left_semi"), items.join(large, ["k", "dim"], "left_semi"), n, ring, most, best))
+    else:
+        both = _few(asked, items)
+    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(F.col("k").alias(key), "query_id", "item_id", "d", "rank")
+
+
+def _few(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Distances of keys that would be one ring: a query meets no more items than that, so a plain join does."""
+    d = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    pairs = asked.select("k", "dim", F.col("id").alias("query_id"), F.col("v").alias("q")).join(items.select("k", "dim", F.col("id").alias("item_id"), "v"), ["k", "dim"])
+    return pairs.where("query_id <> item_id").select("k", "query_id", "item_id", F.round(d, 6).alias("d"))
+
+
+def _many(asked: DataFrame, items: DataFrame, n: int, ring: int, most: int, best) -> DataFrame:
+    """Candidates of keys of many rings, in two rounds."""
+    rings, heads = _index(items, ring, most)
+    first = materialise(_ask(visits(asked, rings, heads, n), rings, n), "neighbour-first")
     reach = first.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= n).groupBy("k", "query_id").agg(F.max("d").alias("d"), F.count("*").alias("c"))
     reach = reach.select("k", F.col("query_id").alias("id"), F.when(F.col("c") >= n, F.col("d")).otherwise(float("inf")).alias("reach"))
     wider = asked.join(reach, ["k", "id"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))).select("k", "dim", "id", "v", "block", "reach")
-    both = first.unionAll(_ask(visits(wider, rings, heads, n, True), rings, n))
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(F.col("k").alias(key), "query_id", "item_id", "d", "rank")
+    return first.unionAll(_ask(visits(wider, rings, heads, n, True), rings, n))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vulnlake.functions import links as ln
+from vulnlake.functions import text as tx
 from vulnlake.operators import assembly as asm
+from vulnlake.operators import chunking, neighbours, rag
 from vulnlake.operators import portfolio as pf
 from vulnlake.plans.evaluation import cve_col, cve_sql
+from vulnlake.plans.links import LINKS_SQL, links
 from vulnlake.session import materialise, table
 
 _HOST = "https://host.example.org/"
@@ -115,7 +119,35 @@ def r1_kernel_documents(spark, sf_dir):
     return _documents(spark, sf_dir, "kernel")
 
 
-QUERIES = {f.__name__: f for f in (j1_j2_nested_portfolio, r1_advisory_documents, r1_kernel_documents)}
+#: Attributes that every CVE is asked for.
+ASKED = [("Localization", "Vulnerable code block"), ("Localization", "File"), ("CWE", "CWE_ID"), ("SCORES", "baseScore"), ("SCORES", "baseSeverity"), ("SCORES", "impactScore"), ("Patch", "Patch code"), ("Patch", "Code diff"), ("Exploit", "Exploit Code")]
+
+
+def r8_truth_by_category(spark, sf_dir):
+    """Answers of every category beside what the stored portfolio knows, or the sentinel."""
+    stored = materialise(portfolios(spark, sf_dir), "portfolios")
+    asked = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(a).alias("attribute")) for c, a in ASKED]))
+    answers = table(spark, sf_dir, "clients").where("client_id is not null").select(cve_col(F.col("client_id")).alias("cve"), asked.alias("a")).select("cve", "a.*")
+    return asm.attach_truth(answers, stored).select("cve", "category", "attribute", F.md5(F.col("truth").cast("binary")).alias("truth"))
+
+
+def chain_links_to_contexts(spark, sf_dir):
+    """A2, U2, C12, R12, J1, R1, R2, R3, R4, R6 in one: links, de-duplicated and routed by host, to portfolios, documents, chunks, vectors and contexts."""
+    flat = links(spark, sf_dir).select("cve", "kind", "url").dropDuplicates()
+    record = F.to_variant_object(F.struct(F.col("url"), F.when(F.col("kind") == "Exploit", "exploit").alias("role"), F.concat(F.lit("link of "), ln.domain(F.col("url"))).alias("title")))
+    routed = flat.withColumn("seq", F.xxhash64("url")).withColumn("record", record)
+    hosts = ["github.com", "git.kernel.org"]
+    sources = [asm.item_facts(routed.where(ln.domain(F.col("url")) == h), h) for h in hosts] + [asm.item_facts(routed.where(~ln.domain(F.col("url")).isin(hosts)), "other")]
+    spine = asm.spine_facts(_records(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", {"descriptions": F.array(F.struct(F.concat(F.lit("flaw of "), "c_name").alias("value")))}))
+    docs = materialise(asm.documents(asm.assemble([spine, *sources])), "chain-documents")
+    pieces = chunking.chunks(docs).select("cve", F.concat_ws("|", "source", F.md5(F.col("text").cast("binary")), "chunk_pos").alias("item_id"), "source", "chunk", tx.hash_vector(F.col("chunk")).alias("v"))
+    asked = docs.select("cve").distinct().select("cve", F.col("cve").alias("query_id"), tx.hash_vector(F.concat(F.lit("how is "), "cve", F.lit(" fixed?"))).alias("q"))
+    pieces = materialise(pieces, "chain-chunks")
+    found = neighbours.nearest(asked, pieces, "cve", 3).join(pieces.drop("v"), ["cve", "item_id"])
+    return rag.contexts(found, ["cve"], "rank", "source", "chunk").select("cve", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (j1_j2_nested_portfolio, r1_advisory_documents, r1_kernel_documents, r8_truth_by_category, chain_links_to_contexts)}
 
 _P = "(SELECT {c}, change_id FROM client_changes WHERE client_id IS NOT NULL AND op {op} 'D')"
 #: The sources as relations: s the spine, d descriptions, m scores, t talk, e exploit and p patch items.
@@ -183,3 +215,28 @@ SQL["r1_kernel_documents"] = f"""WITH {_SOURCES}, {_ITEM_TEXTS},
    UNION ALL SELECT cve, 'exploit code', ' [EXPLOIT CODE] ' || {_NL} || string_agg(code || repeat({_NL}, 2), '' ORDER BY o) FROM g GROUP BY cve HAVING count(code) > 0
    UNION ALL SELECT cve, 'impact scores', j FROM m UNION ALL SELECT * FROM talk)
 {_FINISH}"""
+_BLOCK = "CASE r.item_id % 3 WHEN 0 THEN '/* ' || r.name || ' */' WHEN 1 THEN '[\"/* ' || r.name || ' */\",[\"x;\",\"y;\"]]' ELSE '{\"f\":\"/* ' || r.name || ' */\",\"g\":\"z;\"}' END"
+_ASKED_SQL = ", ".join(f"('{c}', '{a}')" for c, a in ASKED)
+SQL["r8_truth_by_category"] = f"""WITH {_SOURCES}, {_ITEM_TEXTS},
+ ib AS (SELECT {cve_sql('item_id')} AS cve, arg_max(brand, item_id) AS brand FROM items WHERE item_id IS NOT NULL AND name IS NOT NULL AND brand IS NOT NULL GROUP BY ALL),
+ t AS (SELECT cve, 'Localization' AS category, 'Vulnerable code block' AS attribute, {_BLOCK} AS truth FROM i
+   UNION ALL SELECT cve, 'Localization', 'File', brand FROM ib
+   UNION ALL SELECT cve, 'CWE', 'CWE_ID', CASE WHEN nation_id = 0 THEN 'CWE-0' ELSE 'CWE-' || nation_id || ', CWE-0' END FROM s WHERE nation_id IS NOT NULL
+   UNION ALL SELECT cve, 'SCORES', 'baseScore', CAST(client_id AS VARCHAR) FROM s UNION ALL SELECT cve, 'SCORES', 'baseSeverity', segment FROM s
+   UNION ALL SELECT cve, 'Patch', 'Patch code', string_agg(replace(message, 'fix ', 'new '), repeat({_NL}, 2) ORDER BY o) FROM g GROUP BY cve HAVING count(message) > 0
+   UNION ALL SELECT cve, 'Patch', 'Code diff', string_agg(diff, repeat({_NL}, 2) ORDER BY o) FROM g GROUP BY cve HAVING count(diff) > 0
+   UNION ALL SELECT cve, 'Exploit', 'Exploit Code', string_agg(code, repeat({_NL}, 2) ORDER BY o) FROM g GROUP BY cve HAVING count(code) > 0)
+SELECT cve, category, attribute, md5(coalesce(t.truth, 'Not Given')) AS truth FROM (SELECT {cve_sql('client_id')} AS cve, category, attribute FROM clients, (VALUES {_ASKED_SQL}) AS a(category, attribute) WHERE client_id IS NOT NULL)
+ LEFT JOIN (SELECT t.* FROM t JOIN s USING (cve)) t USING (cve, category, attribute)"""
+
+_HASH = lambda c: "[" + ", ".join(f"CAST(('0x' || substr(md5({c}), {2 * i + 1}, 2))::INTEGER AS DOUBLE) / 255" for i in range(16)) + "]"
+SQL["chain_links_to_contexts"] = f"""WITH l AS (SELECT DISTINCT cve, kind, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host FROM {LINKS_SQL}),
+ s AS (SELECT DISTINCT {cve_sql('c_custkey')} AS cve, c_name FROM customer),
+ d AS (SELECT cve, 'description:nvd' AS source, 'flaw of ' || c_name AS text FROM s
+   UNION ALL SELECT cve, CASE kind WHEN 'Exploit' THEN 'exploit:' ELSE 'patch:' END || h, '[' || CASE kind WHEN 'Exploit' THEN 'EXPLOIT' ELSE 'PATCH' END || ' from ' || h || '] ' || url || {_NL} || 'title: link of ' || host
+   FROM (SELECT *, CASE WHEN host IN ('github.com', 'git.kernel.org') THEN host ELSE 'other' END AS h FROM l JOIN (SELECT cve FROM s) USING (cve))),
+ p AS (SELECT cve, source, rtrim(text) AS text, source || '|' || md5(text) || '|0' AS item_id, {_HASH('rtrim(text)')} AS v FROM d),
+ q AS (SELECT cve, {_HASH("'how is ' || cve || ' fixed?'")} AS q FROM s),
+ n AS (SELECT cve, source, text, row_number() OVER (PARTITION BY cve ORDER BY round(list_distance(q, v), 6), item_id) AS rank FROM p JOIN q USING (cve)),
+ c AS (SELECT cve, string_agg('Source: ' || source || {_NL} || ' ' || text || {_NL}, '' ORDER BY rank) AS c FROM n WHERE rank <= 3 GROUP BY cve)
+SELECT cve, md5(c) AS digest, CAST(length(c) AS INT) AS chars FROM c"""
