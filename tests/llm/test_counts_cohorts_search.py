@@ -198,3 +198,22 @@ def test_treaps_are_ordered_and_prune():
     whole = impacts.reshape(3, n).T @ weights[:3]
     best = np.lexsort((np.arange(n), -whole))[:10]
     assert doc.tolist() == best.tolist() and score.tolist() == whole[best].tolist() and seen < n / 4
+
+
+def test_preferences_differ_in_the_last_reply(spark):
+    """Shared prefixes of every length, other replies that are missing or equal, negative and very large ids."""
+    from vulnlake.llm import chat_format
+
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b"), (1, 0, "user", "z"), (1, 1, "assistant", "c"), (2, 0, "user", "only"), (3, 0, "assistant", "d"), (4, 0, "user", "alone"), (6, 0, "user", "x"), (6, 1, "assistant", "same"), (7, 0, "user", "y"), (7, 1, "assistant", "same"), (None, 0, "user", "lost"), (-2, 0, None, None), (-1, 0, "assistant", "neg"), (2**60, 0, "user", "u"), (2**60 + 1, 0, "assistant", "v")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("last", F.lit("clash"))
+    out = {r["pair_id"]: r for r in chat_format.format_preferences(*chat_format.pair_other_replies(df)).collect()}
+    said = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert set(out) == {0, 1, 2, 3, 4, 6, 7, -2, -1, 2**60, 2**60 + 1}
+    assert out[0]["prompt_turns"] == 3 and out[0]["prompt"] == said("user", "q") + said("assistant", "a") + said("user", "more")
+    assert out[0]["chosen"] == said("assistant", "b") and out[0]["rejected"] == said("assistant", "c")
+    assert out[1]["prompt"] == said("user", "z") and out[1]["rejected"] == said("assistant", "b")
+    assert out[2]["prompt"] == said("user", "only") and out[2]["chosen"] == "" and out[2]["rejected"] == said("assistant", "d")
+    assert out[3]["rejected"] is None and out[4]["rejected"] is None and out[4]["chosen"] == said("user", "alone") and out[-1]["rejected"] is None
+    assert out[6]["chosen"] == out[6]["rejected"] == "" and out[6]["prompt_turns"] == 2
+    assert out[-2]["rejected"] == said("assistant", "neg") and out[2**60]["rejected"] == said("assistant", "v")
+    assert chat_format.format_preferences(*chat_format.pair_other_replies(df.limit(0))).count() == 0

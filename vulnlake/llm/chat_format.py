@@ -72,3 +72,18 @@ def pair_neighbours(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair = F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")  # exact for every long
     odd = F.pmod(F.col("conv_id"), F.lit(2)) == 1
     return whole.where(~odd).select(pair, "turns"), whole.where(odd).select(pair, "turns")
+
+
+def pair_other_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation (chosen) and itself with another's last reply in the place of its own (rejected); the other is 2k+1 for 2k and 2k for 2k+1.
+
+    So both share all turns before the last reply.  A conversation without a reply gets the other's behind its turns; where the
+    other has none, or isn't there, the pair has no rejected side.
+    """
+    whole = conversations_as_turns(turns)
+    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
+    whole = whole.select(F.col("conv_id").cast("long").alias("pair_id"), "turns", last.alias("last"))
+    replies = whole.where(F.col("last").isNotNull()).select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.element_at("turns", F.col("last")).alias("other"))
+    kept = F.slice("turns", 1, F.coalesce(F.col("last") - 1, F.size("turns")))
+    rejected = whole.join(replies, "pair_id").select("pair_id", F.concat(kept, F.array("other")).alias("turns"))
+    return whole.select("pair_id", "turns"), rejected

@@ -404,7 +404,7 @@ def _rest_links(nodes: DataFrame, prefixes: DataFrame, joined: DataFrame) -> Dat
     return rest
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: list | None = None) -> DataFrame:
     """(rid, id, n_shingles, component_id) for every row of docs."""
     rows = materialise(_shared_sets(docs, id_col, text_col), "jaccard-sets")
     fit = rows.where(F.col("kept").isNotNull())
@@ -426,6 +426,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = materialise(labels.select("node", "low", "rows", F.coalesce("c", "node").alias("c")), "jaccard-components")
     release(final)
     release(nodes)
+    if held is not None:
+        held += [labels, slim]
     first = labels.groupBy("c").agg(F.min("low").alias("component_id"), F.count("*").alias("many"))
     own = _spread_join(labels.select("node", "c"), first.drop("many"), "c", _hot(first.where(F.col("many") > BLOCK).select("c"))).select("node", "component_id")
     linked = _spread_join(slim.where(F.col("node").isNotNull()), own, "node", _hot(labels.where(F.col("rows") > BLOCK).select("node"))).select("rid", "id", "n", "component_id")
@@ -433,15 +435,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.union(alone).select(F.col("rid"), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: list | None = None) -> DataFrame:
     """The rows of docs, all their columns, one of each component: the first row that has the component's smallest id.
 
     Rows without a shingle are all kept; so is a component of which no row has an id.  The rows are read twice and have to
     come in the same order, as they do from files; what is no plain scan of files is written to such first.
+    held: gets the tables that the result reads, for the caller to release once it is written.
     """
     if docs._jdf.queryExecution().optimizedPlan().nodeName() != "LogicalRelation":
         docs = materialise(docs, "jaccard-rows")
-    ranked = near_duplicates(docs, id_col, text_col)
+        if held is not None:
+            held.append(docs)
+    ranked = near_duplicates(docs, id_col, text_col, held)
     keep = ranked.where((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
     group = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("rid")).otherwise(F.xxhash64("component_id"))
     chosen = keep.groupBy(group.alias("g")).agg(F.min("rid").alias("rid")).select("rid")

@@ -20,9 +20,9 @@ def vocabulary_path() -> str:
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vulnlake.llm.chat_format import format_preferences, pair_neighbours
+    from vulnlake.llm.chat_format import format_preferences, pair_other_replies
 
-    return format_preferences(*pair_neighbours(_table(spark, sf_dir, "conversations")))
+    return format_preferences(*pair_other_replies(_table(spark, sf_dir, "conversations")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +116,13 @@ def queries() -> dict:
 
 
 _OP1 = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
- n AS (SELECT CAST(conv_id AS BIGINT) >> 1 AS pair_id, (conv_id % 2) <> 0 AS odd, role, text,
-   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ o1 AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+ k1 AS (SELECT conv_id, coalesce(max(i) FILTER (role = 'assistant'), max(i) + 1) AS last FROM o1 GROUP BY conv_id),
+ y AS (SELECT xor(conv_id, 1) AS conv_id, role, text FROM o1 JOIN k1 USING (conv_id) WHERE i = last),
+ n AS (SELECT conv_id AS pair_id, false AS odd, role, text, i FROM o1
+   UNION ALL SELECT conv_id, true, role, text, i FROM o1 JOIN k1 USING (conv_id) WHERE i < last AND conv_id IN (SELECT conv_id FROM y)
+   UNION ALL SELECT conv_id, true, y.role, y.text, last FROM k1 JOIN y USING (conv_id)),
  b AS (SELECT pair_id, i, c.role IS NOT NULL AND r.role IS NOT NULL AND c.role = r.role AND c.text = r.text AS same
    FROM (SELECT * FROM n WHERE NOT odd) c FULL JOIN (SELECT * FROM n WHERE odd) r USING (pair_id, i)),
  p AS (SELECT pair_id, coalesce(min(i) FILTER (NOT coalesce(same, false)), max(i) + 1) - 1 AS k FROM b GROUP BY pair_id),
