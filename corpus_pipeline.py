@@ -19,6 +19,10 @@ from vulnlake.llm.common import materialise, release
 from vulnlake.llm.queries import vocabulary_path
 
 
+#: Tables that the result of a stage reads; run() releases them once the result is written.
+_HELD: list[DataFrame] = []
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -35,7 +39,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    return ngram_join.keep_first(docs)
+    return ngram_join.keep_first(docs, held=_HELD)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         done = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        while _HELD:
+            release(_HELD.pop())
         if i:
             release(docs)
         docs = done
