@@ -217,3 +217,27 @@ def test_preferences_differ_in_the_last_reply(spark):
     assert out[6]["chosen"] == out[6]["rejected"] == "" and out[6]["prompt_turns"] == 2
     assert out[-2]["rejected"] == said("assistant", "neg") and out[2**60]["rejected"] == said("assistant", "v")
     assert chat_format.format_preferences(*chat_format.pair_other_replies(df.limit(0))).count() == 0
+
+
+def test_paraphrases_of_short_items_are_found(spark):
+    """Items of 5 to 12 words, planted with each word replaced at a chance of 20 %: those that the checks would confirm are found."""
+    from vulnlake.llm import decontaminate
+
+    r = random.Random(12)
+    lexicon = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(700)]
+    word = lambda: lexicon[min(int(r.paretovariate(0.6)) - 1, 699)]
+    items = [(i, " ".join(word() for _ in range(r.randint(5, 12)))) for i in range(400)]
+    texts, sure = [], []
+    for i, t in items:
+        words = t.split()
+        kept = [r.random() >= 0.2 for _ in words]
+        said = [w if k else f"new{r.randint(0, 99)}" for w, k in zip(words, kept, strict=True)]
+        body = " ".join([*(word() for _ in range(r.randint(0, 60))), *said, *(word() for _ in range(r.randint(0, 60)))])
+        texts.append((1000 + i, body))
+        answer = kept[-max(1, len(words) // 4) :]
+        share = sum(kept) / len(words)
+        if share >= 0.8 or (share >= 0.6 and 3 * sum(answer) >= 2 * len(answer)):
+            sure.append((1000 + i, i))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, decontaminate.fit_space(docs, bench)).collect()}
+    assert len(sure) > 250 and len(found & set(sure)) >= 0.97 * len(sure)

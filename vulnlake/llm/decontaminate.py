@@ -12,6 +12,9 @@ about half of it (`reach`), is a candidate.  Around a candidate the item must be
 its longest common subsequence with that stretch of the text covers `whole` of its words, or `part` of them and also its
 answer (the last quarter of its words, of which two thirds must be in the stretch).
 
+Items of fewer than `short` words fill too little of a passage for its direction to tell.  They are also looked up by pairs of
+their words that stand up to GAPS places apart: two such pairs, about equally far into the item, make a candidate.
+
 Items that occur word for word are also looked up directly, by the hash of their first words (HEAD at most), whatever their
 cosine.  Items of fewer than `least` words say too little for anything else; items without words are left out.  The rank
 grows with the square root of the number of items.
@@ -39,6 +42,8 @@ _TABLE = bytes(32 if (b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128)
 ITEM_BLOCK = 2048
 #: First words of an item by which it is looked up, and what their hash is made of.
 HEAD = 8
+#: How far apart the words of a pair stand at most, and how far two pairs of a candidate may be shifted against each other.
+GAPS, SHIFT = 3, 8
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,11 +64,51 @@ class Space:
     lengths: np.ndarray = None  # how far along an item's direction a passage has to reach
     cosines: np.ndarray = None  # and how near it
     heads: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = field(default_factory=dict)  # by their number of words: sorted hashes, items of a hash
+    pairs: list[tuple[np.ndarray, ...]] = field(default_factory=list)  # by gap: sorted pairs of words, where their items begin, items, places
     cosine: float = 0.5
     reach: float = 0.5
     whole: float = 0.8
     part: float = 0.6
     least: int = 5
+    short: int = 15
+
+    def index_pairs(self) -> None:
+        """File the pairs of words of short items."""
+        size = len(self.vocabulary)
+        for gap in range(1, GAPS + 1):
+            rows = sorted((words[i] * size + words[i + gap], at, i) for at, (_, words) in enumerate(self.items) if self.least <= len(words) < self.short for i in range(len(words) - gap))
+            codes, first = np.unique(np.array([r[0] for r in rows], np.int64), return_index=True)
+            self.pairs.append((codes, np.append(first, len(rows)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)))
+
+    def paired(self, owns: list[np.ndarray]) -> set[tuple[int, int, int]]:
+        """(text, item, window) of short items of which two pairs of words stand close together."""
+        if not any(len(codes) for codes, *_ in self.pairs):
+            return set()
+        size = len(self.vocabulary)
+        far = np.full(GAPS, size, np.int32)  # stands in no pair
+        flat = np.concatenate([x for own in owns for x in (own, far)]).astype(np.int64)
+        begins = np.cumsum([0] + [len(own) + GAPS for own in owns])
+        found = []
+        for gap, (codes, first, items, places) in enumerate(self.pairs, 1):
+            known = np.flatnonzero((flat[:-gap] < size) & (flat[gap:] < size))
+            code = flat[known] * size + flat[known + gap]
+            slot = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+            hit = codes[slot] == code if len(codes) else np.zeros(len(code), bool)
+            known, slot = known[hit], slot[hit]
+            many = first[slot + 1] - first[slot]
+            entry = np.repeat(first[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            at = np.repeat(known, many)
+            found.append((items[entry], at - places[entry], at))
+        item, start, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = set()
+        for shift in (0, SHIFT // 2):  # either grid has close starts in one cell
+            cell = np.stack([item, (start + GAPS * SHIFT + shift) // SHIFT])
+            order = np.lexsort(cell)
+            same = (cell[:, order[1:]] == cell[:, order[:-1]]).all(axis=0)
+            for i in order[1:][same].tolist():
+                text = int(np.searchsorted(begins, at[i], "right")) - 1
+                out.add((text, int(item[i]), max(int(start[i] - begins[text]), 0) // STRIDE))
+        return out
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = words_in(text)
@@ -133,6 +178,11 @@ class Space:
         latent = np.concatenate(parts)
         length = np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
         best: dict[tuple[int, int], float] = dict.fromkeys(self.verbatim(owns), 1.0)
+        for i, at, window_at in self.paired(owns):
+            if best.get((i, at), 0.0) < 1.0 and len(owns[i]):
+                share = self.confirm(at, owns[i], window_at)
+                if share > best.get((i, at), 0.0):
+                    best[i, at] = share
         for start in range(0, len(self.items), ITEM_BLOCK):
             near = latent @ self.latent[start : start + ITEM_BLOCK].T  # the passage along the item's direction
             enough = (near >= self.cosines[start : start + ITEM_BLOCK] * length) & (near >= self.lengths[start : start + ITEM_BLOCK])
@@ -177,6 +227,7 @@ def _read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> Space:
         n, code = list(_codes(np.array(words[:HEAD], np.int32), HEAD))[-1]
         by.setdefault(n, {}).setdefault(int(code[0]), []).append(at)
     space.heads = {n: (np.array(sorted(x), np.uint64), x) for n, x in by.items()}
+    space.index_pairs()
     return space
 
 
