@@ -241,3 +241,32 @@ def test_paraphrases_of_short_items_are_found(spark):
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, decontaminate.fit_space(docs, bench)).collect()}
     assert len(sure) > 250 and len(found & set(sure)) >= 0.97 * len(sure)
+
+
+def test_the_attention_is_improved_on_all_learning_texts(spark):
+    """Averages over tasks lower the loss, move the ids that each task met, and weigh tasks by what they read."""
+    from vulnlake.llm import lm_score
+
+    r = np.random.default_rng(4)
+    n, kinds = 60, lm_score.CLASSES
+    kind = (np.arange(n + 1) % kinds).astype(np.int64)
+    table = np.zeros((n + 1, kinds), np.float32)
+    texts = [np.repeat(r.integers(0, n // 2, 30), 2).astype(np.int32) + (n // 2 if i % 2 else 0) for i in range(60)]  # ids come in pairs: what was last comes again
+    rows = [(i, t.astype(lm_score._number(n)).tobytes(), i % 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "rid long, ids binary, part int").repartitionByRange(2, "part").select("rid", "ids")
+    f = lambda *s: r.normal(0, 0.3, s).astype(np.float32)
+    p = {"e": f(n + 1, lm_score.WIDTH), "q": f(lm_score.WIDTH, lm_score.HEAD), "k": f(lm_score.WIDTH, lm_score.HEAD), "v": f(lm_score.WIDTH, lm_score.HEAD), "o": f(lm_score.HEAD, kinds), "b": np.zeros(lm_score.KEYS, np.float32)}
+    x, y, first, valid, _ = lm_score.blocks(texts, n)
+    seen = np.concatenate([x[np.maximum(np.arange(len(x)) - 1, 0), lm_score.STRIDE - lm_score.PAST :], x], axis=1)
+    loss = lambda p: lm_score.gradients(p, x, seen, kind[y], first, valid, table)[0]
+    losses, now = [loss(p)], p
+    for turn in range(6):
+        now = lm_score._improve(df, now, kind, table, n, turn, share=1)
+        losses.append(loss(now))
+    assert all(b < a for a, b in zip(losses, losses[1:], strict=False)), losses
+    assert (np.abs(now["e"] - p["e"]).max(axis=1) > 0).all() and set(now) == set(p)
+    again = lm_score._improve(df, p, kind, table, n, 0, share=1)
+    assert all(np.allclose(again[name], lm_score._improve(df, p, kind, table, n, 0, share=1)[name]) for name in p)
+    same = lm_score._improve(df.limit(0), p, kind, table, n, 0)
+    assert all((same[name] == p[name]).all() for name in p)
+    assert lm_score._unpack([texts[0].astype("<u2").tobytes(), b""], n)[0].tolist() == texts[0].tolist() and lm_score._number(70_000) == np.dtype("<i4")

@@ -543,7 +543,7 @@ def test_all_pairs_of_ids_are_counted(spark):
         own = [coder.end, *coder.ids(t).tolist(), coder.end]
         pairs.update(zip(own[:-1], own[1:], strict=True))
     head = {w: i for i, w in enumerate(sorted(words)[::2])}
-    counted = lm_score._counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), ranks, head)
+    counted = lm_score._counts(lm_score.encoded(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), ranks), coder.end, head)
     rows = {r["key"]: r["n"] for r in counted.collect()}
     assert rows == {a * n + b: c for (a, b), c in pairs.items()} | {-1 - i: words[w] for w, i in head.items()} | {lm_score.ROWS: len(texts)}
     for most in (1 << 20, 50):  # all of them, and a few of them in the table: the sums are over all in either case
