@@ -138,6 +138,7 @@ _SCALARS = {
     "release_date": ["releaseDate", "releasedDate"],
     "last_modified": ["lastModifiedDate", "latestRevisionDate"],
 }
+#: Fixed values, as above: lists; parts of scores, products, remedies and references.
 _LISTS = {
     "cwe": ["cweDetailsList", "cweList", "cwe"],
     "acknowledgements": ["acknowledgements", "credits"],
