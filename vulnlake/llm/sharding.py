@@ -1,7 +1,7 @@
 """Sharding by sampled splitters (native).
 
 A size-weighted sample of the keys gives quantile boundaries; records are range-partitioned by them, ranges that come
-out overfull get boundaries of their own, and a running sum inside each range (plus the offsets of the ranges before
+out overfull get boundaries of their own, from ever denser samples, until none of several records is, and a running sum inside each range (plus the offsets of the ranges before
 it) gives every record its exact place in key order.  A record's shard is where the middle of its bytes falls, so
 shard sizes differ by about one record.
 
@@ -80,13 +80,16 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     rate = n_ranges * samples_per_range / max(2.0 * total, 1.0)
     bounds = sampled(base, rate)[samples_per_range::samples_per_range]
     share = 2.0 * total / n_ranges
-    for _ in range(2):
-        overfull = _ranged(base, bounds).groupBy("r").agg(F.sum(weight).alias("w")).where(F.col("w") > 2 * share).select("r")
-        full = sorted(r[0] for r in overfull.collect())  # at most half as many as ranges
+    step = rate
+    while step < 1.0:  # at 1 every record of an overfull range is a boundary's candidate
+        step = min(1.0, step * 8)
+        loads = _ranged(base, bounds).groupBy("r").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+        full = sorted(r[0] for r in loads.where((F.col("w") > 2 * share) & (F.col("n") > 1)).select("r").collect())  # at most half as many as ranges
         if not full:
             break
-        more = sampled(_ranged(base, bounds).join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in full], "r int")), "r"), min(1.0, rate * 8))
-        bounds = sorted({*bounds, *more[samples_per_range * 4 :: samples_per_range * 4]})
+        more = sampled(_ranged(base, bounds).join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in full], "r int")), "r"), step)
+        every = samples_per_range * 4 if step < 1.0 else 1
+        bounds = sorted({*bounds, *more[every::every]})
     placed = _ranged(base, bounds)
     order = Window.partitionBy("r").orderBy("k", "d", "p")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
