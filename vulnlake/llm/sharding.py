@@ -1,7 +1,7 @@
 """Sharding by sampled splitters (native).
 
 A size-weighted sample of the keys gives quantile boundaries; records are range-partitioned by them, ranges that come
-out overfull get boundaries of their own, from ever denser samples, until none of several records is, and a running sum inside each range (plus the offsets of the ranges before
+out overfull get boundaries of their own, from ever denser samples, until none is that could be divided, and a running sum inside each range (plus the offsets of the ranges before
 it) gives every record its exact place in key order.  A record's shard is where the middle of its bytes falls, so
 shard sizes differ by about one record.
 
@@ -14,6 +14,8 @@ sort first; repeated rows are separate records; an empty table gives an empty re
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,13 +85,17 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     step = rate
     while step < 1.0:  # at 1 every record of an overfull range is a boundary's candidate
         step = min(1.0, step * 8)
-        loads = _ranged(base, bounds).groupBy("r").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-        full = sorted(r[0] for r in loads.where((F.col("w") > 2 * share) & (F.col("n") > 1)).select("r").collect())  # at most half as many as ranges
+        loads = _ranged(base, bounds).groupBy("r").agg((F.sum(weight) - F.max(weight)).alias("w"))  # beside its largest record, which no boundary can divide
+        full = {r["r"]: r["w"] for r in loads.where(F.col("w") > 2 * share).collect()}  # at most half as many as ranges
         if not full:
             break
-        more = sampled(_ranged(base, bounds).join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in full], "r int")), "r"), step)
-        every = samples_per_range * 4 if step < 1.0 else 1
-        bounds = sorted({*bounds, *more[every::every]})
+        keys: dict[int, list] = {}
+        for key in sampled(_ranged(base, bounds).join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in full], "r int")), "r"), step):
+            keys.setdefault(bisect_right(bounds, key), []).append(key)
+        for r, own in keys.items():  # as many parts as shares
+            parts = int(full.get(r, 0) // share) + 2
+            bounds = [*bounds, *(own[len(own) * i // parts] for i in range(1, parts))]
+        bounds = sorted(set(bounds))
     placed = _ranged(base, bounds)
     order = Window.partitionBy("r").orderBy("k", "d", "p")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
