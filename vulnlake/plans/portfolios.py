@@ -49,11 +49,11 @@ def j6_url_lookup(spark, sf_dir):
 
 
 def j7_j8_composite(spark, sf_dir):
-    """Functions by (cve, commit, file)."""
+    """Functions by (cve, commit, file); a CVE's text cuts long numbers, so the number itself is met beside it."""
     li = table(spark, sf_dir, "lineitem")
-    have = li.select(cve_col(F.col("l_orderkey")).alias("cve"), F.col("l_partkey").alias("commit"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("file"), "l_quantity")
-    want = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(cve_col(F.col("o_orderkey")).alias("cve"), F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("file"))
-    return want.join(have, ["cve", "file"]).select("cve", "commit", "file", "l_quantity")
+    have = li.select(F.col("l_orderkey").alias("number"), cve_col(F.col("l_orderkey")).alias("cve"), F.col("l_partkey").alias("commit"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("file"), "l_quantity")
+    want = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("number"), cve_col(F.col("o_orderkey")).alias("cve"), F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("file"))
+    return want.join(have, ["number", "cve", "file"]).select("cve", "commit", "file", "l_quantity")
 
 
 def j11_file_join(spark, sf_dir):
