@@ -64,8 +64,9 @@ def j11_file_join(spark, sf_dir):
 
 
 def j12_patched_prefix(spark, sf_dir):
+    """A file belongs to one CVE, however many records of the spine name it."""
     files = table(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "P").otherwise(""), cve_col(F.col("c_custkey"))).alias("name"), "c_acctbal")
-    return _spine(spark, sf_dir).select("cve", F.concat(F.lit("P"), "cve").alias("name")).join(files, "name").select("cve", "name", "c_acctbal")
+    return _spine(spark, sf_dir).select("cve", F.concat(F.lit("P"), "cve").alias("name")).distinct().join(files, "name").select("cve", "name", "c_acctbal")
 
 
 def j10_sorted_pairs(spark, sf_dir):
