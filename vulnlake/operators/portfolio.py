@@ -169,7 +169,7 @@ def _array(text: Column) -> Column:
 
 def _records(text: Column, use) -> Column:
     """use(map of its fields) of each element of a JSON array that is an object."""
-    return F.transform(F.filter(_array(text), lambda x: x.startswith("{")), lambda x: use(F.from_json(x, "map<string,string>")))
+    return F.transform(F.filter(_array(text), lambda x: x.startswith("{")), lambda x: once(F.from_json(x, "map<string,string>"), use))
 
 
 def product_list(payload: Column) -> Column:
@@ -184,8 +184,8 @@ def reference_list(payload: Column) -> Column:
     """References may be plain addresses or objects."""
 
     def one(x: Column) -> Column:
-        record = F.from_json(F.when(x.startswith("{"), x), "map<string,string>")
-        return F.struct(F.when(x.startswith("{"), _pick(record, _REFERENCES["url"])).otherwise(x).alias("url"), F.when(x.startswith("{"), _pick(record, _REFERENCES["label"])).alias("label"))
+        build = lambda record: F.struct(F.when(x.startswith("{"), _pick(record, _REFERENCES["url"])).otherwise(x).alias("url"), F.when(x.startswith("{"), _pick(record, _REFERENCES["label"])).alias("label"))
+        return once(F.from_json(F.when(x.startswith("{"), x), "map<string,string>"), build)
 
     return F.transform(_array(_pick(payload, ["references", "externalReferences"])), one)
 

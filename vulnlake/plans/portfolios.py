@@ -110,7 +110,8 @@ def _payloads(spark, sf_dir):
         F.lit(',"affectedProducts":[{"productName":"'), F.col("p_brand"), F.lit('","platform":"x","versions":["1","'), k.cast("string"), F.lit('"]},"odd"],"kbArticles":[{"id":"KB'), k.cast("string"), F.lit('","downloadUrl":"https://example.org/'), k.cast("string"),
         F.lit('"}],"references":["https://example.org/r",{"href":"https://example.org/'), k.cast("string"), F.lit('","title":"t"}],"publiclyDisclosed":'), F.when(k % 4 == 0, "true").otherwise("null"), F.lit(',"releasedDate":"2020-01-0'), (k % 9 + 1).cast("string"), F.lit('"}'),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", cve_col(k).alias("cve"), text.alias("payload"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand").repartition("p_partkey")  # payloads cost more than the file's few splits can share
+    return part.select("p_partkey", cve_col(k).alias("cve"), text.alias("payload"))
 
 
 def p9_guide_record(spark, sf_dir):
