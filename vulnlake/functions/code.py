@@ -17,11 +17,13 @@ FUNCTION_HEAD = r"(?:[\w\s*&]+\s+)?([a-zA-Z_]\w*(?:##[a-zA-Z_]\w*)?)\s*\("
 def hunk_function(context: Column) -> Column:
     """Function that the context behind a hunk header names, or null."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(context), r"/\*.*?\*/", ""), "//.*", ""))
-    head = F.trim(F.split(bare, r"\{", 2)[0])
-    name = F.regexp_extract(head, FUNCTION_HEAD, 1)
-    shouted = (name == F.upper(name)) & name.rlike("[A-Z]")
-    ok = (name != "") & ~head.startswith("#define") & ~name.isin(C_KEYWORDS) & (~shouted | F.contains(name, F.lit("##")))
-    return F.when(ok, name)
+
+    def named(head: Column, name: Column) -> Column:
+        shouted = (name == F.upper(name)) & name.rlike("[A-Z]")
+        ok = (name != "") & ~head.startswith("#define") & ~name.isin(C_KEYWORDS) & (~shouted | F.contains(name, F.lit("##")))
+        return F.when(ok, name)
+
+    return once(F.trim(F.split(bare, r"\{", 2)[0]), lambda head: once(F.regexp_extract(head, FUNCTION_HEAD, 1), lambda name: named(head, name)))
 
 
 def added_lines(diff: Column) -> Column:
@@ -111,6 +113,22 @@ def diff_path(line: Column) -> Column:
     return F.when(line.startswith("diff --git a/"), F.coalesce(F.regexp_replace(path, "^b/", ""), F.lit("")))
 
 
+def named_functions(diff: Column) -> Column:
+    """array of struct(file, function): what the hunks of a diff's C files name, and header and assembler files themselves; hunks without a file name none."""
+
+    def of(block: Column, file: Column) -> Column:
+        inside = F.filter(F.transform(F.filter(block, lambda x: x.startswith("@@ ")), lambda x: hunk_function(F.regexp_replace(x, "^@@.*?@@", ""))), lambda f: f.isNotNull())
+        names = F.when(file.rlike(r"\.[hS]$"), F.array(file)).when(file.endswith(".c"), inside).otherwise(F.array().cast("array<string>"))
+        return F.transform(names, lambda f: F.struct(file.alias("file"), f.alias("function")))
+
+    def blocks(rows: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1))), lambda i: F.get(rows, i - 1).startswith("diff --git a/"))
+        block = lambda all_: F.transform(all_, lambda at, i: F.slice(rows, at, F.coalesce(F.get(all_, i + 1), F.size(rows) + 1) - at))
+        return once(heads, lambda all_: F.flatten(F.transform(block(all_), lambda b: once(F.nullif(diff_path(b[0]), F.lit("")), lambda file: of(b, file)))))
+
+    return once(lines(diff), blocks)
+
+
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?([^\n]*)"
 
 

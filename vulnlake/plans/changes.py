@@ -95,7 +95,7 @@ def w5_broken_heads(spark, sf_dir):
     k = F.col("o_orderkey")
     head = F.when(k % 3 == 0, F.lit("diff --git a/x.c")).when(k % 3 == 1, F.lit("diff --git a/x.c b/sub/x.c more")).otherwise("diff --git a/x.S x.S")
     diff = F.concat(F.lit("diff --git a/first.c b/first.c\n@@ -1 +1 @@ one(\n"), head, F.lit("\n@@ -1 +1 @@ int two_"), k.cast("string"), F.lit("(void)\n"))
-    return impacted_functions(table(spark, sf_dir, "orders").select(k.alias("k"), diff.alias("diff")))
+    return impacted_functions(table(spark, sf_dir, "orders").select("o_orderkey").repartition("o_orderkey").select(k.alias("k"), diff.alias("diff")))
 
 
 QUERIES = {f.__name__: f for f in (c23_ragged_links, s17_patch_apply, s17_hunk_rows, w6_lexed_bodies, w5_broken_heads)}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vulnlake.functions import code
 from vulnlake.functions import text as tx
@@ -100,12 +99,8 @@ def c19_added_lines(spark, sf_dir):
 
 def impacted_functions(rows: DataFrame) -> DataFrame:
     """(k, file, functions) of (k, diff): the file of the last `diff` line goes along to the hunks below it; a line with too few parts names none."""
-    rows = rows.select("k", F.posexplode(tx.lines(F.col("diff"))).alias("pos", "line"))
-    order = Window.partitionBy("k").orderBy("pos")
-    rows = rows.withColumn("file", F.nullif(F.last(code.diff_path(F.col("line")), True).over(order), F.lit("")))
-    named = F.when(F.col("line").startswith("diff --git a/") & F.col("file").rlike(r"\.[hS]$"), F.col("file"))
-    hunk = F.when(F.col("line").startswith("@@ ") & F.col("file").endswith(".c"), code.hunk_function(F.regexp_replace("line", "^@@.*?@@", "")))
-    return rows.select("k", "file", F.coalesce(named, hunk).alias("function")).where("function is not null").groupBy("k", "file").agg(F.array_join(F.array_sort(F.collect_set("function")), ",").alias("functions"))
+    found = rows.select("k", F.explode_outer(code.named_functions(F.col("diff"))).alias("f")).select("k", "f.file", "f.function").where("function is not null")
+    return found.groupBy("k", "file").agg(F.array_join(F.array_sort(F.collect_set("function")), ",").alias("functions"))
 
 
 def w5_impacted_functions(spark, sf_dir):
