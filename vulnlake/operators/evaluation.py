@@ -77,21 +77,14 @@ def conformal_thresholds(human: DataFrame, model: DataFrame, alpha: float = 0.1)
     return kth_smallest(diff, alpha)
 
 
-#: Parts that a key's distinct values are cut into before one of them is sorted.
-CUTS = 128
-
-
 def kth_smallest(values: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(key, n, k, q) of (key, d): per key the k-th smallest value by the conformal rank, to 4 digits; nulls don't count.
 
-    Equal values are counted first.  A key's distinct values are then cut at sampled quantiles; the counts of the parts, at most
-    CUTS a key, say which part holds the k-th, and only that part is sorted.  Which quantiles are met matters for the
-    size of a part, not for the result.
+    Equal values are counted first.  The distinct ones are dealt by ranges of (key, d); the counts of the ranges say which one holds
+    a key's k-th, and only that one is sorted.  Where ranges are cut matters for their size, not for the result.
     """
-    counts = materialise(values.where("d is not null").groupBy("key", "d").agg(F.count("*").alias("c")), "selection")
-    steps = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    grid = counts.groupBy("key").agg(F.percentile_approx("d", steps, 20 * CUTS).alias("grid"))
-    parted = counts.join(grid, "key").select("key", "d", "c", F.size(F.filter("grid", lambda g: g < F.col("d"))).alias("part"))
+    counts = values.where("d is not null").groupBy("key", "d").agg(F.count("*").alias("c"))
+    parted = materialise(counts.repartitionByRange("key", "d").withColumn("part", F.spark_partition_id()), "selection")
     sums = parted.groupBy("key", "part").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("key")
     totals = sums.select("key", "part", "c", F.sum("c").over(w).alias("n"), F.sum("c").over(w.orderBy("part")).alias("upto")).withColumn("k", scoring.conformal_rank(F.col("n"), alpha))
