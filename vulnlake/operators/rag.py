@@ -67,12 +67,28 @@ def _coder(path: str):
     return _CODERS[path]
 
 
+#: Characters of texts that are encoded together.
+TOGETHER = 200_000
+
+
+def _encodings(path: str, texts: pd.Series):
+    """The encodings of texts in order; an encoding is many times its text, so those of few texts are held at a time."""
+    coder, held, size = _coder(path), [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1]) + 1
+        if size >= TOGETHER:
+            yield from coder.encode_batch(held, add_special_tokens=False)
+            held, size = [], 0
+    yield from coder.encode_batch(held, add_special_tokens=False)
+
+
 def bpe_token_count(path: str):
     """A column function that counts a vocabulary file's tokens, in Arrow batches; a null text has none."""
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(e.ids) for e in _coder(path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
+        return pd.Series([len(e.ids) for e in _encodings(path, texts)], dtype="int32")
 
     return count
 
@@ -85,8 +101,7 @@ def bpe_truncated(path: str, most: int):
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
-        coded = _coder(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([t if t is None or len(e.ids) <= most else t[: e.offsets[most - 1][1] if most > 0 else 0] for t, e in zip(texts, coded, strict=True)])
+        return pd.Series([t if t is None or len(e.ids) <= most else t[: e.offsets[most - 1][1] if most > 0 else 0] for t, e in zip(texts, _encodings(path, texts), strict=True)], dtype=object)
 
     return cut
 
