@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnlake.functions.links import once
 from vulnlake.functions.patterns import literal_index, matched, required_literals
 
 #: White space as Unicode has it, and the four separators that regex classes leave out.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 #: Ends of lines.
+RARE_END = "[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 #: What a kernel-related mail may say.
@@ -112,8 +114,8 @@ def without_prefix(c: Column, prefix: str) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text; an end of line at the very end begins no further line."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.when(c.rlike(RARE_END), F.split(c, LINE_END)).otherwise(F.split(c, "\n"))  # a split at one character is much cheaper
+    return once(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def clean_commit_message(c: Column) -> Column:

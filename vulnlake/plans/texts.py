@@ -131,7 +131,8 @@ def c25_c35_log_blocks(spark, sf_dir):
     """Entries of logs of two commits: header lines, message and files; header lines may be of any length."""
     k = F.col("o_orderkey")
     entry = lambda salt: F.concat(F.lit("commit "), F.md5(F.concat(_key(), F.lit(salt)).cast("binary")), F.lit("\nAuthor: A"), F.repeat(F.lit("a"), (k % 3 * 700).cast("int")), F.lit(" <a@b>\nDate:   today\n\n    fix "), _key(), F.lit(f"\n    {salt}\n\nM\ta.c\nR100\told.c\tnew"), F.lit(salt), F.lit(".c\n"))
-    logs = _orders(spark, sf_dir).select("o_orderkey", F.posexplode(code.log_blocks(F.concat(entry("x"), F.lit("\n"), entry("y")))).alias("pos", "block"))
+    orders = _orders(spark, sf_dir).select("o_orderkey").repartition("o_orderkey")  # logs cost more than the file's few splits can share
+    logs = orders.select("o_orderkey", F.posexplode(code.log_blocks(F.concat(entry("x"), F.lit("\n"), entry("y")))).alias("pos", "block"))
     e = logs.select("o_orderkey", "pos", code.log_entry(F.col("block")).alias("e"))
     return e.select("o_orderkey", "pos", "e.hash", F.md5(F.col("e.author").cast("binary")).alias("author"), "e.date", "e.message", F.array_join(F.transform("e.files", lambda f: F.concat_ws("=", f["name"], f["status"])), ",").alias("files"))
 
