@@ -75,10 +75,15 @@ def s8_s10_keyed_files(spark, sf_dir):
     return back.groupBy("nation").agg(F.array_join(F.array_sort(F.collect_list("cve")), ",").alias("cves"))
 
 
+#: Files that a task writes.
+FILES = 250
+
+
 def _bodies(spark, sf_dir, path: str) -> None:
     """A text file for each supplier in a folder of its own below its nation's, written by the tasks that hold the rows."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("id"), F.concat(F.lit("body of "), "s_name", F.lit("\n"), F.col("s_nationkey").cast("string")).alias("value"))
-    rows.repartition("group").write.partitionBy("group", "id").option("lineSep", "\0").text(path)
+    tasks = rows.count() // FILES + 1  # a number that grows with the files; else a small table's files would all be one task's
+    rows.repartition(tasks, "id").write.partitionBy("group", "id").option("lineSep", "\0").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 def s9_keyed_files(spark, sf_dir):
