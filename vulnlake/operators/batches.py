@@ -1,10 +1,11 @@
 """Greedy batches of one long list over many tasks.
 
 A list is numbered and summed up by ranges.  Where a batch that begins at a row ends follows from the sums alone: the row in whose
-span the budget behind the begin falls begins the next batch, so every row has a next begin, found in a window over a stretch of
-one budget.  Stretches of HOPS budgets are then walked at once: each row's first begin beyond its stretch.  Only begins at which some
-row leaves its stretch can be where the list's own batches enter one; pointers between those are doubled until all that the first
-row leads to are known; and with its entry each stretch numbers its own batches.
+span the budget behind the begin falls begins the next batch.  Stretches of HOPS budgets are cut by these sums; each gets the rows of
+the next one's first budget too, so all its rows' next begins are found in it by a search.  Begins by which a list's batches enter
+a stretch stand in its first budget (or are its first row), so only for those it is told where they leave it and after how many
+batches; pointers between them are doubled until all that the first row leads to are known.  A stretch is kept as one packed row,
+so numbering it needs its entry and the batches before it, but no other shuffle of its rows.
 
 Rows without tokens take no span; a run of them lies in one stretch.
 """
@@ -54,40 +55,64 @@ def numbered(rows: DataFrame) -> DataFrame:
     return local.join(before, ["k", "part"]).select("k", "pos", "tokens", (F.col("li") + F.col("n")).alias("i"), (F.col("ls") + F.col("t")).alias("s"))
 
 
-def next_begins(rows: DataFrame, budget: int) -> DataFrame:
-    """rows with `next`: where the batch after one that begins at the row begins; null if that one ends the list."""
-    b = F.lit(budget)
-    stretch = lambda c: F.floor(c / b).cast("long")
-    last = F.least(F.col("s") + F.col("tokens") - 1, F.col("s") + b)
-    points = rows.where("tokens > 0").select("k", F.explode(F.sequence(stretch(F.col("s")), stretch(last))).alias("bucket"), F.col("s").alias("at"), F.lit(0).alias("kind"), F.col("i").alias("point"), "i", "s", "pos", "tokens")
-    asks = rows.select("k", stretch(F.col("s") + b).alias("bucket"), (F.col("s") + b).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("point"), "i", "s", "pos", "tokens")
-    w = Window.partitionBy("k", "bucket").orderBy("at", "kind", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = points.unionByName(asks).withColumn("hit", F.last(F.when(F.col("kind") == 0, F.struct(F.col("point").alias("i"), F.col("s").alias("s"), (F.col("s") + F.col("tokens")).alias("e"))), True).over(w)).where("kind = 1")
-    spans = F.col("hit.e") > F.col("at")  # else the list ends before the budget does
+def _next(s: np.ndarray, tokens: np.ndarray, budget: int) -> np.ndarray:
+    """Place of the row that begins the next batch after one that begins at each row; len(s) or more if no such row is here."""
+    full = np.flatnonzero(tokens > 0)
+    if not len(full):
+        return np.full(len(s), len(s))
+    hit = np.searchsorted(s[full], s + budget, "right") - 1  # the last row with tokens that begins within the budget
+    at = full[np.maximum(hit, 0)]
+    spans = (hit >= 0) & (s[at] + tokens[at] > s + budget)
     # the row that the budget falls into begins the next batch, unless it is this batch's first one with tokens
-    own = F.when(spans, F.when(F.col("hit.s") == F.col("s"), F.col("hit.i") + 1).otherwise(F.col("hit.i")))
-    return found.select("k", "pos", "tokens", "i", "s", own.alias("next"))
+    return np.where(spans, np.where(s[at] == s, at + 1, at), len(s) + 1)
 
 
-def _leave(table: pa.Table) -> pa.Table:
-    """For every row of a stretch the first begin beyond it."""
-    table = table.sort_by("i")
-    i = table.column("i").to_numpy()
-    to = table.column("next").fill_null(-1).to_numpy().copy()
-    while len(inside := np.flatnonzero((to >= i[0]) & (to <= i[-1]))):
-        to[inside] = to[to[inside] - i[0]]
-    return pa.table([table.column("k"), table.column("i"), pa.array(to)], ["k", "i", "exit"])
+def _pack(budget: int, hops: int):
+    """A stretch as one row: its first number, positions, next begins (-1: the list ends before); and for the rows that can be its entry where they leave it."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        i, s, tokens = (table.column(c).to_numpy() for c in ("i", "s", "tokens"))
+        own = int((~table.column("halo").to_numpy()).sum())  # what is lent follows
+        to = _next(s, tokens, budget)
+        to = np.where(to <= len(s), i[0] + to, -1)[:own]
+        left, count = to.copy(), np.ones(own, np.int64)
+        while len(inside := np.flatnonzero((left >= i[0]) & (left < i[0] + own))):
+            at = left[inside] - i[0]
+            left[inside], count[inside] = left[at], count[inside] + count[at]
+        cand = np.flatnonzero((s[:own] - table.column("stretch")[0].as_py() * budget * hops <= budget) | (np.arange(own) == 0))
+        pack = lambda x: pa.array([x.astype(np.int64).tobytes()], pa.binary())
+        of = table.slice(0, 1)
+        pos = table.column("pos").slice(0, own).combine_chunks()
+        return pa.table([of.column("k"), of.column("stretch"), pa.array(i[:1]), pa.ListArray.from_arrays(pa.array([0, own], pa.int32()), pos), pack(to), pack(i[cand]), pack(left[cand]), pack(count[cand])], PACKED)
 
-def _mark(table: pa.Table) -> pa.Table:
-    """The begins of a stretch from its entry on (-1: none), counted up."""
-    table = table.sort_by("i")
-    i, to = table.column("i").to_numpy(), table.column("next").fill_null(-1).to_numpy()
-    at, begins = table.column("entry")[0].as_py(), np.zeros(len(i), np.int64)
-    while at is not None and i[0] <= at <= i[-1]:
-        begins[at - i[0]] = 1
-        at = int(to[at - i[0]])
-    return pa.table([table.column("k"), table.column("stretch"), table.column("pos"), table.column("i"), pa.array(np.cumsum(begins)), pa.array(np.full(len(i), begins.sum()))], ["k", "stretch", "pos", "i", "own", "all"])
+    return run
+
+
+PACKED = ["k", "stretch", "first", "pos", "next", "at", "exit", "count"]
+
+
+def _exits(batches):
+    """(k, stretch, i, exit, count) of the rows that can be a stretch's entry."""
+    for batch in batches:
+        for j in range(batch.num_rows):
+            at, left, count = (np.frombuffer(batch.column(c)[j].as_py(), np.int64) for c in ("at", "exit", "count"))
+            index = pa.array(np.full(len(at), j))
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(index), batch.column("stretch").take(index), pa.array(at), pa.array(left), pa.array(count)], ["k", "stretch", "i", "exit", "count"])
+
+
+def _mark(batches):
+    """(k, pos, batch) of packed stretches with their entry (null: none) and the batches before it."""
+    for batch in batches:
+        for j in range(batch.num_rows):
+            first, entry, before, pos = batch.column("first")[j].as_py(), batch.column("entry")[j].as_py(), batch.column("before")[j].as_py(), batch.column("pos")[j].values
+            to = np.frombuffer(batch.column("next")[j].as_py(), np.int64)
+            begins, at = np.zeros(len(to), np.int64), entry
+            while at is not None and first <= at < first + len(to):
+                begins[at - first] = 1
+                at = int(to[at - first])
+            number = (before - 1 + np.cumsum(begins)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(np.full(len(to), j))), pos, pa.array(number)], ["k", "pos", "batch"])
 
 
 def long_batches(rows: DataFrame, key: str, pos: str, tokens: str, budget: int = 300_000, hops: int = HOPS) -> DataFrame:
@@ -96,14 +121,18 @@ def long_batches(rows: DataFrame, key: str, pos: str, tokens: str, budget: int =
     A single text over the budget is a batch of its own; no batch is empty; a null count is 0; equal positions are
     ordered by their counts; rows of a null key are left out.
     """
-    plain = rows.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
+    plain = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
     kinds = dict(plain.dtypes)
-    steps = next_begins(numbered(plain), budget).withColumn("stretch", F.floor(F.col("s") / (budget * hops)).cast("long"))
-    steps = materialise(steps, "batch-steps")
-    left = materialise(steps.select("k", "stretch", "i", "next").groupBy("k", "stretch").applyInArrow(_leave, f"k {kinds['k']}, i long, exit long"), "batch-exits")
-    nodes = left.where("exit >= 0").select("k", F.col("exit").alias("i")).unionAll(steps.where("i = 0").select("k", "i")).distinct()
-    jumps = materialise(left.join(nodes, ["k", "i"]), "batch-jumps")
-    reached = materialise(steps.where("i = 0").select("k", "i").distinct(), "batch-reached")
+    stretch = F.floor(F.col("s") / (budget * hops)).cast("long")
+    lent = (F.col("own") > 0) & (F.col("s") - F.col("own") * (budget * hops) <= budget)
+    dealt = numbered(plain).withColumn("own", stretch).withColumn("stretch", F.explode(F.when(lent, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))))
+    dealt = dealt.select("k", "stretch", "pos", "tokens", "i", "s", (F.col("stretch") != F.col("own")).alias("halo"))
+    schema = f"k {kinds['k']}, stretch long, first long, pos array<{kinds['pos']}>, next binary, at binary, exit binary, count binary"
+    packed = materialise(dealt.groupBy("k", "stretch").applyInArrow(_pack(budget, hops), schema), "batch-stretches")
+    left = materialise(packed.select("k", "stretch", "at", "exit", "count").mapInArrow(_exits, f"k {kinds['k']}, stretch long, i long, exit long, count long"), "batch-exits")
+    nodes = left.where("exit >= 0").select("k", F.col("exit").alias("i")).unionAll(left.where("i = 0").select("k", "i")).distinct()
+    jumps = materialise(left.join(nodes, ["k", "i"]).select("k", "i", "exit"), "batch-jumps")
+    reached = materialise(left.where("i = 0").select("k", "i").distinct(), "batch-reached")
     while True:
         on = reached.join(jumps, ["k", "i"]).where("exit >= 0").select("k", F.col("exit").alias("i"))
         wider = materialise(reached.unionAll(on).distinct(), "batch-reached")
@@ -116,9 +145,9 @@ def long_batches(rows: DataFrame, key: str, pos: str, tokens: str, budget: int =
         doubled = materialise(jumps.join(further, ["k", "exit"], "left").select("k", "i", F.coalesce(F.when(F.col("exit") >= 0, F.col("to")), F.lit(-1)).alias("exit")), "batch-jumps")
         release(jumps)
         jumps = doubled
-    entries = steps.join(reached, ["k", "i"]).groupBy("k", "stretch").agg(F.min("i").alias("entry"))
-    marked = steps.select("k", "stretch", "pos", "i", "next").join(entries, ["k", "stretch"], "left").withColumn("entry", F.coalesce("entry", F.lit(-1)))
-    marked = materialise(marked.groupBy("k", "stretch").applyInArrow(_mark, f"k {kinds['k']}, stretch long, pos {kinds['pos']}, i long, own long, all long"), "batch-marks")
-    counts = marked.groupBy("k", "stretch").agg(F.max("all").alias("all"))
-    before = counts.select("k", "stretch", F.coalesce(F.sum("all").over(Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return marked.join(before, ["k", "stretch"]).select(F.col("k").alias(key), F.col("pos").alias(pos), (F.col("before") + F.col("own") - 1).cast("int").alias("batch"))
+    entries = left.join(reached, ["k", "i"]).select("k", "stretch", F.col("i").alias("entry"), "count")
+    met = packed.select("k", "stretch").join(entries, ["k", "stretch"], "left")
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = met.select("k", "stretch", "entry", before.alias("before"))
+    found = packed.select("k", "stretch", "first", "pos", "next").join(numbers, ["k", "stretch"])
+    return found.mapInArrow(_mark, f"k {kinds['k']}, pos {kinds['pos']}, batch int").select(F.col("k").alias(key), F.col("pos").alias(pos), "batch")
