@@ -7,7 +7,10 @@ distances, nor than half of what the pivot is farther off than the query's neare
 rings, until they hold enough items; the distance of its last result then bounds which other rings it asks.  Where vectors are
 spread so evenly that nothing can be left out, all rings are asked, in blocks of rings and queries.
 
-A key of no more items than a ring is joined plainly.  A common key is many rings, and its queries are many blocks of BLOCK at most; no task holds all of a key's queries or items.
+Of items of one vector only those that can be a result are kept: the n + 1 smallest ids, since a query leaves out one at most.
+
+A key of no more items than a ring is joined plainly.  A common key is many rings, and its queries are many blocks of BLOCK at most; what asks
+a ring is dealt over as many groups as it is blocks, so groups grow with the asks and not with rings times blocks.  No task holds all of a key's queries or items.
 
 Defined cases: rows of a null key, id or vector, or whose vector holds a null or a number that is not finite, take no part; vectors
 are compared with those of their length; a query's own item (equal id) is left out; distances are rounded to 6 digits and ties go to
@@ -146,9 +149,11 @@ def _visits(n: int, second: bool):
             d = _distances(_rows(queries.column("v"), dim), pivots)
             for i, (own, nearest_pivot) in enumerate(zip(d[:, cell] if len(d) * len(cell) < 4_000_000 else (x[cell] for x in d), d.min(axis=1), strict=True)):
                 bound = np.maximum(np.maximum(low - own, own - high), np.maximum((own - nearest_pivot) / 2, 0.0))
-                order = np.argsort(bound, kind="stable")
-                first = int(np.searchsorted(np.cumsum(sizes[order]), n + 1)) + 1
-                asked = order[first:][bound[order[first:]] <= reach[i] + SLACK] if second else order[:first]
+                order = np.argpartition(bound, n + 1)[: n + 2] if len(bound) > n + 2 else np.arange(len(bound))  # rings hold an item at least
+                order = order[np.lexsort((order, bound[order]))]
+                asked = order[: int(np.searchsorted(np.cumsum(sizes[order]), n + 1)) + 1]
+                if second:
+                    asked = np.setdiff1d(np.flatnonzero(bound <= reach[i] + SLACK), asked, assume_unique=True)
                 at += [i] * len(asked)
                 found += ids[asked].tolist()
         own = queries.take(pa.array(at, pa.int64()))
@@ -184,7 +189,14 @@ def _compare(n: int):
     return run
 
 
+def _dealt(visits: DataFrame) -> DataFrame:
+    """visits with the block of each row among those that ask its ring, BLOCK rows each or about that."""
+    parts = visits.groupBy("ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__b"))
+    return visits.join(parts, "ring").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("__b")).cast("int")).drop("__b")
+
+
 def _ask(visits: DataFrame, rings: DataFrame, n: int) -> DataFrame:
+    visits = _dealt(materialise(visits, "neighbour-visits"))
     kinds = dict(visits.dtypes)
     blocks = visits.select(F.col("ring").alias("of"), F.col("block").alias("part")).distinct()  # other names than those of the side it is grouped with
     wanted = blocks.join(rings.select(F.col("ring").alias("of"), "dim", "ids", "vectors"), "of")
@@ -208,9 +220,16 @@ def prepared(queries: DataFrame, key: str, id_col: str = "query_id", vector: str
     return rows.join(counts, ["k", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("__b")).cast("int")).drop("__b")
 
 
+def _possible(items: DataFrame, n: int) -> DataFrame:
+    """Items without those that n + 1 others of their vector and of smaller ids keep from being a result; of repeats n are enough."""
+    of = ["k", "dim", "v"]
+    few = items.withColumn("__d", F.dense_rank().over(Window.partitionBy(*of).orderBy("id"))).where(F.col("__d") <= n + 1).drop("__d")
+    return few.withColumn("__r", F.row_number().over(Window.partitionBy(*of, "id").orderBy("id"))).where(F.col("__r") <= n).drop("__r")
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, n: int, ring: int = RING, most: int = PIVOTS) -> DataFrame:
     """(key, query_id, item_id, d, rank): the n nearest items of the same key; queries: (key, query_id, q), corpus: (key, item_id, v)."""
-    items = materialise(_valid(corpus, key, "item_id", "v"), "neighbour-items")
+    items = materialise(_possible(_valid(corpus, key, "item_id", "v"), n), "neighbour-items")
     asked = materialise(prepared(queries, key), "neighbour-queries")
     large = items.groupBy("k", "dim").agg(F.count("*").alias("n")).where(F.col("n") > ring).select("k", "dim")
     best = Window.partitionBy("k", "query_id").orderBy("d", "item_id")
